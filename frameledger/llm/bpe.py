@@ -218,13 +218,14 @@ class WordBpe:
         runs, words = self.runs, self.words
         for special, i in self.special.items():
             runs[" " + special] = i.to_bytes(4, "little")
-        unseen = {r for rs in lists for r in rs if r not in runs}
+        known = [list(map(runs.get, rs)) for rs in lists]
+        unseen = {r for rs, got in zip(lists, known, strict=True) if None in got for r, x in zip(rs, got, strict=True) if x is None}
         cut = {r: _WORDS.findall(r) for r in unseen}
         new = list({w: None for ws in cut.values() for w in ws if w not in words})
         words.update(zip(new, self.index.encode([w.encode() for w in new]), strict=True))
         for r, ws in cut.items():
             runs[r] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
-        return [b"".join([runs[r] for r in rs]) for rs in lists]
+        return [b"".join([runs[r] if x is None else x for r, x in zip(rs, got, strict=True)] if None in got else got) for rs, got in zip(lists, known, strict=True)]
 
     def decode(self, packed: bytes) -> str:
         """The tokens' strings with a space between, as the file without a decoder asks for."""
