@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, neardup, quality
+from . import bpe, chat, extract, licences, mixing, neardup, neighbours, quality, urlfilter, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": neardup.query,
+    "op2_warc": warc.query,
     "op3_mix_sources": mixing.query,
+    "op4_extract_html": extract.query,
     "op5_bpe": bpe.query,
+    "op6_nearest_neighbours": neighbours.query,
+    "op7_url_filter": urlfilter.query,
+    "op8_chat_perspectives": chat.query,
     "op9_quality_rules": quality.query,
     "op9_quality_ablations": quality.query_ablations,
+    "op10_licence_scan": licences.query,
 }
 
 SQL = {
     "op1_minhash_near_dedup": neardup.SQL,
+    "op2_warc": warc.SQL,
+    "op7_url_filter": urlfilter.SQL,
+    "op8_chat_perspectives": chat.SQL,
     "op9_quality_rules": quality.SQL,
     "op9_quality_ablations": quality.ABLATIONS_SQL,
 }

@@ -57,9 +57,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS, _INVERSES
 
 
-def _hash_block(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_block(block: np.ndarray, white: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first byte of each word of a block that cuts no word."""
-    word = ~_WHITE[block]
+    word = ~white[block]
     edges = np.flatnonzero(np.diff(np.concatenate(([False], word, [False]))))
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
@@ -70,16 +70,19 @@ def _hash_block(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return splitmix((sums[ends] - sums[starts]) * inverses[starts]), starts
 
 
-def word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of every word of a buffer of any length, in bounded blocks."""
+def word_hashes(buffer: bytes, white: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of every word of a buffer of any length, in bounded blocks.
+
+    ``white`` marks the bytes that stand between words.
+    """
     data = np.frombuffer(buffer, dtype=np.uint8)
     hashes, starts, at = [], [], 0
     while at < len(data):
         end = min(at + CHUNK_BYTES, len(data))
-        while end < len(data) and not _WHITE[data[end]]:
-            white = np.flatnonzero(_WHITE[data[end : end + CHUNK_BYTES]])
-            end = end + int(white[0]) if len(white) else min(end + CHUNK_BYTES, len(data))
-        h, s = _hash_block(data[at:end])
+        while end < len(data) and not white[data[end]]:
+            gaps = np.flatnonzero(white[data[end : end + CHUNK_BYTES]])
+            end = end + int(gaps[0]) if len(gaps) else min(end + CHUNK_BYTES, len(data))
+        h, s = _hash_block(data[at:end], white)
         hashes.append(h)
         starts.append(s + at)
         at = end
