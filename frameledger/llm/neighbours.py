@@ -72,6 +72,11 @@ def _graph_rows(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, keep: int
     return pa.table({"node": pa.array(nodes, pa.int64()), "nbrs": _lists(other, counts, pa.int64()), "sims": _lists(sim, counts, pa.float32())})
 
 
+def _fresh(df: DataFrame) -> DataFrame:
+    """The same columns under new identities, so that two sides of one origin can be told apart."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _part(column: str, parts: int):
     return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
 
@@ -214,7 +219,7 @@ def descend(graph: DataFrame, nodes: DataFrame, parts: int, degree: int, reverse
         owner, other, sim = _best(np.concatenate(owners), np.concatenate(others), np.concatenate(sims).astype(np.float32), degree)
         return pa.table({"owner": pa.array(owner, pa.int64()), "other": pa.array(other, pa.int64()), "sim": pa.array(sim, pa.float32())})
 
-    found = meets.groupBy("part").cogroup(needed.groupBy("part")).applyInArrow(run, "owner long, other long, sim float")
+    found = _fresh(meets).groupBy("part").cogroup(_fresh(needed).groupBy("part")).applyInArrow(run, "owner long, other long, sim float")
     return _merge(_edges(graph).union(found), parts, degree)
 
 
@@ -291,7 +296,7 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam:
                 out.append({"q": row["q"], "nodes": nodes_.tolist(), "sims": sims.tolist(), "followed": followed.tolist(), "seen": seen.tolist(), "open": bool((~followed).any())})
             return pa.Table.from_pylist(out, schema=pa.schema([("q", pa.int64()), ("nodes", pa.list_(pa.int64())), ("sims", pa.list_(pa.float64())), ("followed", pa.list_(pa.bool_())), ("seen", pa.list_(pa.int64())), ("open", pa.bool_())]))
 
-        moved = store(left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(run, STATE), fresh_path(spark, "beams"))
+        moved = store(_fresh(left).groupBy("part").cogroup(_fresh(right).groupBy("part")).applyInArrow(run, STATE), fresh_path(spark, "beams"))
         done.append(moved.where("NOT open").select("q", "nodes", "sims"))
         state = moved.where("open")
         if state.isEmpty():
