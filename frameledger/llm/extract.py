@@ -149,7 +149,10 @@ def _signed(x: int) -> int:
 
 
 def _style_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, kind, feature, page): what each path of a page holds; kind 0 is presentation, 1 content."""
+    """(host, path, kind, feature, page): what each path of a page holds; kind 0 is presentation, 1 content.
+
+    A text is content of the path it stands in, a branch being as important as what its leaves hold.
+    """
     for batch in rows:
         out: list[tuple[str, int, int, int, int]] = []
 
@@ -164,8 +167,8 @@ def _style_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest = _signed(xxhash.xxh3_64_intdigest(html))
             found = {(path, 0, xxhash.xxh3_64_intdigest(shape)) for path, shape in page.shapes}
             for text, paths, _, _, _ in page.blocks:
-                feature = xxhash.xxh3_64_intdigest(text)
-                found.update((path, 1, feature) for path in paths)
+                if paths:
+                    found.add((paths[-1], 1, xxhash.xxh3_64_intdigest(text)))
             out += [(host, _signed(path), kind, _signed(feature), digest) for path, kind, feature in found]
             if len(out) > 50_000:
                 yield flush()
