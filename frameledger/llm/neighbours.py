@@ -16,24 +16,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, remove, store, table
 
 #: Neighbours in a node's list, and of those pointing back at it how many take part in a join.
-DEGREE = 40
-REVERSE = 40
+DEGREE = 24
+REVERSE = 24
+#: What a node takes from one pivot in a round.
+TAKE = 8
 #: Nodes a hyperplane cell is to have, independent sets of cells, and rounds of NN-descent.
 CELL = 400
 CELL_SETS = 2
-ROUNDS = 4
+ROUNDS = 3
 #: Nodes and queries of a partition's join.
-NODES_TOGETHER = 2048
-QUERIES_TOGETHER = 256
+NODES_TOGETHER = 8192
+QUERIES_TOGETHER = 512
 #: Nodes among which a search goes on, and those it follows in a round.
 BEAM = 400
-FOLLOW = 48
+FOLLOW = 128
 SEARCH_ROUNDS = 40
 SEED = 20
 
@@ -138,21 +141,23 @@ def first_graph(nodes: DataFrame, n: int, dims: int, degree: int, cell: int, set
             others.append(part[top].ravel())
             sims.append(np.take_along_axis(s, top, axis=1).ravel())
         if not owners:
-            return pa.table({"owner": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "sim": pa.array([], pa.float32())})
-        return pa.table({"owner": pa.array(np.concatenate(owners), pa.int64()), "other": pa.array(np.concatenate(others), pa.int64()), "sim": pa.array(np.concatenate(sims), pa.float32())})
+            return _graph_rows(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32), degree)
+        return _graph_rows(np.concatenate(owners), np.concatenate(others), np.concatenate(sims), degree)
 
     planes = max(0, math.ceil(math.log2(max(1, n) / cell)))
-    found = _cells(nodes, planes, sets, dims).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1)))
-    return found.groupBy("cell").applyInArrow(within, "owner long, other long, sim float")
+    found = _cells(nodes, planes, sets, dims)
+    return found.groupBy("cell").applyInArrow(within, GRAPH)
 
 
-def _merge(candidates: DataFrame, parts: int, degree: int) -> DataFrame:
-    """(owner, other, sim) rows to a graph row a node."""
+def _merge(lists: DataFrame, parts: int, degree: int) -> DataFrame:
+    """Graph rows, several a node, to one a node."""
 
     def run(group: pa.Table) -> pa.Table:
-        return _graph_rows(group["owner"].to_numpy(), group["other"].to_numpy(), group["sim"].to_numpy(), degree)
+        nbrs, sims = group["nbrs"].combine_chunks(), group["sims"].combine_chunks()
+        owner = np.repeat(group["node"].to_numpy(), np.diff(nbrs.offsets.to_numpy()))
+        return _graph_rows(owner, nbrs.flatten().to_numpy(), sims.flatten().to_numpy(), degree)
 
-    return candidates.withColumn("part", _part("owner", parts)).groupBy("part").applyInArrow(run, GRAPH)
+    return lists.withColumn("part", _part("node", parts)).groupBy("part").applyInArrow(run, GRAPH)
 
 
 def _edges(graph: DataFrame) -> DataFrame:
@@ -208,19 +213,21 @@ def descend(graph: DataFrame, nodes: DataFrame, parts: int, degree: int, reverse
             forward = int((~back[i:j]).sum())
             b = np.unique(at[i : min(j, i + forward + reverse)])
             s = x[b] @ x[b].T
-            better = s > least[b][:, None]
-            np.fill_diagonal(better, False)
-            r, c = np.nonzero(better)
+            np.fill_diagonal(s, -np.inf)
+            if len(b) > TAKE:
+                floor = -np.partition(-s, TAKE - 1, axis=1)[:, TAKE - 1 : TAKE]
+                r, c = np.nonzero((s > least[b][:, None]) & (s >= floor))
+            else:
+                r, c = np.nonzero(s > least[b][:, None])
             owners.append(ids[b[r]])
             others.append(ids[b[c]])
             sims.append(s[r, c])
         if not owners:
-            return pa.table({"owner": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "sim": pa.array([], pa.float32())})
-        owner, other, sim = _best(np.concatenate(owners), np.concatenate(others), np.concatenate(sims).astype(np.float32), degree)
-        return pa.table({"owner": pa.array(owner, pa.int64()), "other": pa.array(other, pa.int64()), "sim": pa.array(sim, pa.float32())})
+            return _graph_rows(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32), degree)
+        return _graph_rows(np.concatenate(owners), np.concatenate(others), np.concatenate(sims).astype(np.float32), degree)
 
-    found = _fresh(meets).groupBy("part").cogroup(_fresh(needed).groupBy("part")).applyInArrow(run, "owner long, other long, sim float")
-    return _merge(_edges(graph).union(found), parts, degree)
+    found = _fresh(meets).groupBy("part").cogroup(_fresh(needed).groupBy("part")).applyInArrow(run, GRAPH)
+    return _merge(graph.select("node", "nbrs", "sims").union(found), parts, degree)
 
 
 def build_graph(nodes: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, rounds: int = ROUNDS, cell: int = CELL, sets: int = CELL_SETS, together: int = NODES_TOGETHER) -> DataFrame:
@@ -247,66 +254,76 @@ def _links(graph: DataFrame, reverse: int) -> DataFrame:
     return graph.join(lists, "node", "full").select("node", F.array_union(F.coalesce("nbrs", empty), F.coalesce("back", empty)).alias("links"))
 
 
-STATE = "q long, nodes array<long>, sims array<double>, followed array<boolean>, seen array<long>, open boolean"
+STATE = "q long, nodes binary, sims binary, followed binary, next array<long>"
 
 
-def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = BEAM, follow: int = FOLLOW, reverse: int = REVERSE, together: int = QUERIES_TOGETHER, rounds: int = SEARCH_ROUNDS) -> DataFrame:
-    """(q, nodes, sims): the best ``beam`` nodes found for each query node, nearest first, itself included.
+def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = BEAM, follow: int = FOLLOW, reverse: int = REVERSE, together: int = QUERIES_TOGETHER, rounds: int = SEARCH_ROUNDS, keep: int = 64) -> DataFrame:
+    """(q, node): the best ``keep`` nodes found for each query node, itself included.
 
-    ``queries`` has a column q of nodes. A query is done when its best ``beam`` nodes have all been
-    followed; done queries leave the rounds.
+    ``queries`` has a column q of nodes. A round follows each query's nearest ``follow`` nodes among its best
+    ``beam`` that haven't been followed; a query of which all have is done and leaves the rounds. Nodes that
+    fell out of a beam can't come back, as what it takes only rises, so none need be remembered.
     """
     spark = queries.sparkSession
     links = store(_links(graph, reverse), fresh_path(spark, "links"))
-    n = queries.count()
-    parts = max(1, math.ceil(n / together))
-    qvec = store(queries.join(nodes.withColumnRenamed("node", "q"), "q").select("q", "vec", _part("q", parts).alias("part")), fresh_path(spark, "queries"))
-    state = qvec.select("q", F.array("q").alias("nodes"), F.array(F.lit(2.0)).alias("sims"), F.array(F.lit(False)).alias("followed"), F.array("q").alias("seen"), F.lit(True).alias("open"))
+    parts = max(1, math.ceil(queries.count() / together))
+    qvec = store(queries.join(nodes.withColumnRenamed("node", "q"), "q").select("q", "vec"), fresh_path(spark, "queries"))
+    none = F.lit(None).cast("binary")
+    state = qvec.select("q", none.alias("nodes"), none.alias("sims"), none.alias("followed"), F.array("q").alias("next"))
+
+    def run(states: pa.Table, data: pa.Table) -> pa.Table:
+        has_list = data["links"].combine_chunks().is_valid()
+        listed, vectors = data.filter(has_list), data.filter(pc.invert(has_list))
+        lists = listed["links"].combine_chunks()
+        met, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py() if len(lists) else np.zeros(1, np.int64)
+        spans = {v: (offsets[i], offsets[i + 1]) for i, v in enumerate(listed["node"].to_pylist())}
+        ids, x = vectors["node"].to_numpy(), _matrix(vectors["vec"])
+        order = np.argsort(ids)
+        ids, x = ids[order], x[order].astype(np.float64)
+        out: dict[str, list] = {c: [] for c in ("q", "nodes", "sims", "followed", "next")}
+        for row in states.to_pylist():
+            q = row["q"]
+            first = row["nodes"] is None
+            held = np.array([q]) if first else np.frombuffer(row["nodes"], np.int64)
+            sims = np.array([np.inf]) if first else np.frombuffer(row["sims"], np.float64)
+            followed = np.zeros(1, bool) if first else np.frombuffer(row["followed"], bool)
+            asked = np.array(row["next"], dtype=np.int64)
+            followed = followed | np.isin(held, asked)
+            found = [met[slice(*spans[v])] for v in asked.tolist() if v in spans]
+            new = np.setdiff1d(np.concatenate(found), held) if found else np.empty(0, np.int64)
+            if len(new):
+                s = x[np.searchsorted(ids, new)] @ np.array(row["vec"], dtype=np.float64)
+                held, sims, followed = np.concatenate((held, new)), np.concatenate((sims, s)), np.concatenate((followed, np.zeros(len(new), bool)))
+                best = np.lexsort((held, -sims))[:beam]
+                held, sims, followed = held[best], sims[best], followed[best]
+            for c, v in zip(out, (q, held.astype(np.int64).tobytes(), sims.tobytes(), followed.tobytes(), held[~followed][:follow].tolist()), strict=True):
+                out[c].append(v)
+        return pa.table(out, schema=pa.schema([("q", pa.int64()), ("nodes", pa.binary()), ("sims", pa.binary()), ("followed", pa.binary()), ("next", pa.list_(pa.int64()))]))
+
     done: list[DataFrame] = []
-    for _ in range(rounds):
-        ahead = F.transform(F.filter(F.arrays_zip("nodes", "followed"), lambda x: ~x["followed"]), lambda x: x["nodes"])
-        asked = state.select(_part("q", parts).alias("part"), "q", F.slice(ahead, 1, follow).alias("next"))
-        lists = asked.select("part", F.explode("next").alias("node")).distinct().join(links, "node").select("part", "node", "links")
-        lists = store(lists, fresh_path(spark, "lists"))
+    for k in range(rounds):
+        asked = state.select(_part("q", parts).alias("part"), F.explode("next").alias("node")).distinct()
+        lists = store(asked.join(links, "node").select("part", "node", "links"), fresh_path(spark, "lists"))
         vectors = lists.select("part", F.explode("links").alias("node")).distinct().join(nodes, "node").select("part", "node", "vec")
         right = lists.select("part", "node", "links", F.lit(None).cast("array<float>").alias("vec")).union(vectors.select("part", "node", F.lit(None).cast("array<long>").alias("links"), "vec"))
-        left = state.join(qvec.select("q", "vec"), "q").withColumn("part", _part("q", parts))
-
-        def run(states: pa.Table, data: pa.Table) -> pa.Table:
-            is_list = data["links"].is_valid().to_numpy()
-            listed, vectors = data.filter(pa.array(is_list)), data.filter(pa.array(~is_list))
-            links_of = dict(zip(listed["node"].to_pylist(), (np.array(x, dtype=np.int64) for x in listed["links"].to_pylist()), strict=True))
-            ids, x = vectors["node"].to_numpy(), _matrix(vectors["vec"])
-            order = np.argsort(ids)
-            ids, x = ids[order], x[order].astype(np.float64)
-            out = []
-            for row in states.to_pylist():
-                nodes_, sims = np.array(row["nodes"], dtype=np.int64), np.array(row["sims"])
-                followed, seen = np.array(row["followed"]), np.array(row["seen"], dtype=np.int64)
-                ahead_ = np.flatnonzero(~followed)[:follow]
-                followed[ahead_] = True
-                met = [links_of[v] for v in nodes_[ahead_].tolist() if v in links_of]
-                new = np.setdiff1d(np.concatenate(met), seen) if met else np.empty(0, np.int64)
-                if len(new):
-                    s = x[np.searchsorted(ids, new)] @ np.array(row["vec"], dtype=np.float64)
-                    nodes_, sims, followed = np.concatenate((nodes_, new)), np.concatenate((sims, s)), np.concatenate((followed, np.zeros(len(new), bool)))
-                    best = np.lexsort((nodes_, -sims))[:beam]
-                    nodes_, sims, followed = nodes_[best], sims[best], followed[best]
-                    seen = np.union1d(seen, new)
-                out.append({"q": row["q"], "nodes": nodes_.tolist(), "sims": sims.tolist(), "followed": followed.tolist(), "seen": seen.tolist(), "open": bool((~followed).any())})
-            return pa.Table.from_pylist(out, schema=pa.schema([("q", pa.int64()), ("nodes", pa.list_(pa.int64())), ("sims", pa.list_(pa.float64())), ("followed", pa.list_(pa.bool_())), ("seen", pa.list_(pa.int64())), ("open", pa.bool_())]))
-
+        left = state.join(qvec, "q").withColumn("part", _part("q", parts))
         moved = store(_fresh(left).groupBy("part").cogroup(_fresh(right).groupBy("part")).applyInArrow(run, STATE), fresh_path(spark, "beams"))
-        done.append(moved.where("NOT open").select("q", "nodes", "sims"))
-        state = moved.where("open")
+        over = (F.size("next") == 0) if k + 1 < rounds else F.lit(True)
+        done.append(moved.where(over).select("q", "nodes"))
+        state = moved.where(~over)
         if state.isEmpty():
             break
-    else:
-        done.append(state.select("q", "nodes", "sims"))
     found = done[0]
     for d in done[1:]:
         found = found.union(d)
-    return found
+
+    def spell(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            best = [np.frombuffer(b, np.int64)[:keep] for b in batch.column(1).to_pylist()]
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(b) for b in best])), pa.array(np.concatenate(best))], names=["q", "node"])
+
+    return found.mapInArrow(spell, "q long, node long")
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", **options: int) -> DataFrame:
@@ -331,9 +348,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     print_of = _prints(vectors, id_col, vector_col)
     query_nodes = store(asked.join(print_of, "query_id").select("query_id", "node"), fresh_path(spark, "asked"))
     graph = build_graph(nodes, **graph_options)
-    found = store(greedy_search(query_nodes.select(F.col("node").alias("q")).distinct(), nodes, graph, **search_options), fresh_path(spark, "found"))
-    close = found.select("q", F.slice("nodes", 1, 3 * k + 1).alias("nodes")).select("q", F.explode("nodes").alias("node"))
-    pairs = query_nodes.join(close.withColumnRenamed("q", "query_node").withColumnRenamed("node", "hit"), F.col("node") == F.col("query_node")).select("query_id", "node", "hit")
+    found = store(greedy_search(query_nodes.select(F.col("node").alias("q")).distinct(), nodes, graph, keep=2 * k + 1, **search_options), fresh_path(spark, "found"))
+    pairs = query_nodes.join(found.select(F.col("q").alias("query_node"), F.col("node").alias("hit")), F.col("node") == F.col("query_node")).select("query_id", "hit")
     exact = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vec"))
     q_exact, n_exact = exact.select(F.col("id").alias("query_id"), F.col("vec").alias("x")).dropDuplicates(["query_id"]), exact.select(F.col("id").alias("hit"), F.col("vec").alias("y")).dropDuplicates(["hit"])
     product = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda total, p: total + p)
