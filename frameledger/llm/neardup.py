@@ -7,8 +7,12 @@ once for every slot that may be wrong. All pairs under that signature distance m
 a pair at similarity 0.8 misses every bucket with a probability of about 1e-6.
 
 Buckets are not expanded into pairs. A first round links each set to the closest of its earlier
-bucket neighbours; a second compares, in the buckets that still hold more than one component,
-members of different components. Links are confirmed on the full sets.
+bucket neighbours. In the buckets that then hold more than one component, the shingles of the sets are
+ranked: first those that only the set's own component has, then the rarer ones. Each set is compared with
+the bucket's member that has the fewest of the former, the likeliest original. Members that are still in
+different components after that are compared where they meet in the starts of their rankings, with
+enough shingles to come; a heavily edited copy in a large group of copies has too many rare ones for
+that. Links are confirmed on the full sets, and no pair that could be one is left out.
 """
 
 from __future__ import annotations
@@ -153,6 +157,58 @@ def _near(x: str, y: str, percent: int) -> Column:
     return sizes & (apart <= SKETCH_DISTANCE)
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
+    """(key, id, component) of the buckets that hold more than one component."""
+    placed = members.join(components, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return placed.join(mixed.select("key"), "key", "left_semi")
+
+
+def _spelled(rows: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        ids, components = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for at in range(0, batch.num_rows, 256):
+            found = list(shingle_sets(batch.column(2).slice(at, 256).cast(pa.binary()).to_pylist(), width))
+            counts = [len(f) for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(ids[at : at + 256], counts)), pa.array(np.repeat(components[at : at + 256], counts))],
+                names=["shingle", "id", "component"],
+            )
+
+
+def _ranked(placed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, n, n_own, shingle, at): the start of each given set's shingles in one order for all sets.
+
+    First come those that no other component has, of which there are ``n_own``, then the rarer ones. A
+    set that shares too little with another to be linked shares nothing with it in these starts, or
+    only at places after which too few shingles follow; the row keeps the place for that. Shingles that
+    are a component's own are counted but have no row, unless a set has no other: then ``shingle`` is null.
+    """
+    rows = docs.join(placed, "id").select("id", "component", "text").mapInArrow(lambda r: _spelled(r, width), "shingle long, id long, component long").distinct()
+    spread = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), (F.min("component") != F.max("component")).alias("mixed"))
+    every = Window.partitionBy("id")
+    found = rows.join(spread, "shingle").select(
+        "id",
+        F.count(F.lit(1)).over(every).alias("n"),
+        F.count_if(~F.col("mixed")).over(every).alias("n_own"),
+        "shingle",
+        "mixed",
+        (F.row_number().over(every.orderBy("mixed", "df", "shingle")) - 1).alias("at"),
+    )
+    start = found.where((F.col("at") * 100 <= F.col("n") * (100 - percent)) & (F.col("mixed") | (F.col("at") == 0)))
+    return start.select("id", "n", "n_own", F.when(F.col("mixed"), F.col("shingle")).alias("shingle"), "at")
+
+
+def _reach(n_x: str, own_x: str, n_y: str, own_y: str, percent: int) -> Column:
+    """Sets of these sizes in different components could be linked: what either has for itself is in no intersection."""
+    most = F.least(F.col(n_x) - F.col(own_x), F.col(n_y) - F.col(own_y))
+    return most * 100 >= (F.col(n_x) + F.col(n_y) - most) * percent
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per document its set size, the smallest id of its near-duplicate component and whether it stays.
 
@@ -195,16 +251,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first_round = store(connected_components(links), fresh_path(spark, "round"))
 
     members = near.select("key", "id").union(near.select("key", F.col("first").alias("id")).distinct())
-    placed = members.join(first_round, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    open_ = placed.join(mixed, "key", "left_semi").join(small, "id")
-    open_ = store(open_.select("key", F.struct("id", "component", "n_shingles", "sketch1", "sketch2").alias("m")), fresh_path(spark, "open"))
-    x, y = open_.select("key", F.col("m").alias("x")), open_.select("key", F.col("m").alias("y"))
-    crossing = x.join(y, "key").where((F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _near("x", "y", percent))
-    untried = crossing.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = store(confirm_links(store(untried, fresh_path(spark, "untried")), texts, width, percent), fresh_path(spark, "links"))
-
-    components = connected_components(links.union(more)) if not more.isEmpty() else first_round
+    placed = _mixed(members, first_round)
+    starts = store(_ranked(placed.select("id", "component").distinct(), texts, width, percent), fresh_path(spark, "starts"))
+    own = starts.groupBy("id").agg(F.max("n_own").alias("n_own"))
+    able = small.join(own, "id").where((F.col("n_shingles") - F.col("n_own")) * 100 >= F.col("n_shingles") * percent)
+    able = store(able.select("id", "n_shingles", "n_own", "sketch1", "sketch2"), fresh_path(spark, "able"))
+    members = store(_mixed(placed.select("key", "id").join(able.select("id"), "id", "left_semi"), first_round).select("key", "id"), fresh_path(spark, "members"))
+
+    # the likeliest original of each bucket against its other members
+    open_ = _mixed(members, first_round).join(able, "id")
+    member = F.struct("n_own", "id", "component", "n_shingles", "sketch1", "sketch2")
+    hubs = open_.groupBy("key").agg(F.min(member).alias("y"))
+    toward = open_.select("key", member.alias("x")).join(hubs, "key").where((F.col("x.component") != F.col("y.component")) & _near("x", "y", percent) & _reach("x.n_shingles", "x.n_own", "y.n_shingles", "y.n_own", percent))
+    untried = store(_ordered(toward).join(tried, ["a", "b"], "left_anti"), fresh_path(spark, "untried"))
+    tried = tried.union(untried)
+    links = links.union(store(confirm_links(untried, texts, width, percent), fresh_path(spark, "links")))
+    second_round = store(connected_components(links), fresh_path(spark, "round"))
+
+    # whatever is left between components, by the starts of the ranked sets
+    seen = starts.where("shingle IS NOT NULL").join(second_round, "id", "left").select("shingle", "id", "n", "at", F.coalesce("component", "id").alias("component"))
+    mixed = seen.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
+    side = F.struct("id", "component", "n", "at", "n_shingles", "sketch1", "sketch2")
+    open_ = store(seen.join(mixed, "shingle", "left_semi").join(able.drop("n_own"), "id").select("shingle", side.alias("x")), fresh_path(spark, "open"))
+    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id"))))
+    enough = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    crossing = open_.join(open_.select("shingle", F.col("x").alias("y")), "shingle").where(apart & enough & _near("x", "y", percent))
+    untried = store(_ordered(crossing).join(tried, ["a", "b"], "left_anti"), fresh_path(spark, "untried"))
+    more = store(confirm_links(untried, texts, width, percent), fresh_path(spark, "links"))
+
+    components = connected_components(links.union(more)) if not more.isEmpty() else second_round
     placed_reps = reps.join(components.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "print1", "print2", F.coalesce("component", "rep").alias("component"))
     found = sets.select("id", "n_shingles", "print1", "print2").join(placed_reps, ["n_shingles", "print1", "print2"], "left")
     component = F.coalesce("component", "id")
