@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import duplicates, jobs, metrics, review, splits, statistics
+from .operators import duplicates, jobs, metrics, models, review, splits, statistics
 from .plans import views as V
 from .plans.views import AUDIT_IMAGES, AUDITS, FEEDBACK, FRAME_PAIRS, FRAMES, PX, SCORED, TRIALS, table
 from .schemas import CLASSES, TARGETS
+from .streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -595,3 +596,26 @@ def issue_code_counts(spark, d):
 @query("SELECT source, count(*) AS n, count(DISTINCT lang) AS n_langs, sum(n_chars)::BIGINT AS chars, round(avg(n_chars), 6) AS mean_chars FROM documents GROUP BY source")
 def validation_summary(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lang").alias("n_langs"), F.sum("n_chars").alias("chars"), F.round(F.avg("n_chars"), 6).alias("mean_chars"))
+
+
+# streams and models
+
+
+@query("SELECT count(*) AS n, count(DISTINCT (user_id, event_type)) AS n_keys FROM (SELECT user_id, event_type, event_id FROM events)")
+def stream_dedupe(spark, d):
+    """Every event through the stream once, and the keys it holds."""
+    out = streams.drain_append(streams.once_per_key(streams.read_events(spark, f"{d}/event*.parquet"), ["event_id"]).select("event_id", "user_id", "event_type"))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id", "event_type").alias("n_keys"))
+
+
+@query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL")
+def stream_queue_metrics(spark, d):
+    return streams.drain_complete(streams.queue_metrics(streams.read_events(spark, f"{d}/event*.parquet"))).select("event_type", F.col("day").cast("string").alias("day"), "n")
+
+
+@query()
+def rf_predict(spark, d):
+    """Forest probabilities of every image, corrected to uniform priors."""
+    rows = V.grey_images(spark, d).withColumn("cls", F.col("label") % 5)
+    found = models.forest_probabilities(rows.where("image_id % 2 = 0"), rows, "pixels", "cls")
+    return found.select("image_id", "cls", S.argmax(models.correct_prior(F.col("proba"), [1.0] * 5, 1.0)).alias("predicted"))
