@@ -22,7 +22,8 @@ def hamming_pairs(rows: DataFrame, id_col: str, hash_col: str, k: int, bits: int
     edges = [bits * b // (k + 1) for b in range(k + 2)]
 
     def band(c, b: int):
-        return F.shiftrightunsigned(c, edges[b]).bitwiseAND(F.lit((1 << (edges[b + 1] - edges[b])) - 1).cast("long"))
+        width = edges[b + 1] - edges[b]
+        return F.shiftrightunsigned(c, edges[b]).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long"))
 
     banded = rows.select(F.col(id_col).alias("id"), F.col(hash_col).cast("long").alias("h"), F.posexplode(F.array(*[band(F.col(hash_col).cast("long"), b) for b in range(k + 1)])).alias("band", "v"))
     a, b = banded.alias("a"), banded.alias("b")
