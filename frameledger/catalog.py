@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
@@ -356,7 +356,6 @@ def fitted_temperature(spark, d):
     return statistics.nll(rows, F.get(S.softmax(F.col("z"), t), F.col("truth"))).withColumn("temperature", F.lit(t))
 
 
-_DRAW_SQL = "draws AS (SELECT r, ('0x' || substr(md5('0:' || r || ':' || slot), 1, 12))::BIGINT % k AS g FROM (SELECT unnest(range(200)) AS r), (SELECT count(DISTINCT image_id) AS k FROM px), LATERAL (SELECT unnest(range(k)) AS slot))"
 BOOT_SQL = f"""{CELLS}, gs AS (SELECT image_id, sum(CASE WHEN t = p THEN n ELSE 0 END) AS good, sum(n) AS n FROM cells GROUP BY image_id), k AS (SELECT count(*) AS k FROM gs), g AS (SELECT *, row_number() OVER (ORDER BY image_id) - 1 AS g FROM gs),
 slots AS (SELECT r, k, unnest(range(k)) AS slot FROM (SELECT unnest(range(200)) AS r), k), draws AS (SELECT r, ('0x' || substr(md5('0:' || r || ':' || slot), 1, 12))::BIGINT % k AS g FROM slots),
 vals AS (SELECT r, sum(good) / sum(n)::DOUBLE AS value FROM draws JOIN g USING (g) GROUP BY r)"""
@@ -619,3 +618,78 @@ def rf_predict(spark, d):
     rows = V.grey_images(spark, d).withColumn("cls", F.col("label") % 5)
     found = models.forest_probabilities(rows.where("image_id % 2 = 0"), rows, "pixels", "cls")
     return found.select("image_id", "cls", S.argmax(models.correct_prior(F.col("proba"), [1.0] * 5, 1.0)).alias("predicted"))
+
+
+# further stages and study queries
+
+
+@query(f"WITH {SPLIT_SQL} SELECT split, count(*) AS n FROM s0 GROUP BY split")
+def split_calibration(spark, d):
+    return splits.calibration_stage(V.frames(spark, d), CALIBRATION).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {SPLIT_SQL} SELECT image_id, exclusion_reason FROM s2 WHERE split = 'excluded'")
+def split_dup_exclusion(spark, d):
+    rows = splits.duplicate_stages(splits.calibration_stage(V.frames(spark, d), CALIBRATION), V.frame_pairs(spark, d))
+    return rows.where("split = 'excluded'").select("image_id", "exclusion_reason")
+
+
+@query(f"WITH {FRAMES}, g AS (SELECT t.image_id, min(abs(t.frame_index - e.frame_index)) AS gap FROM frames t JOIN frames e USING (sequence_id) WHERE t.official_split = 'train' AND e.official_split <> 'train' GROUP BY 1) SELECT image_id, gap FROM g WHERE gap <= {BUFFER}")
+def split_buffer_exclusion(spark, d):
+    f = V.frames(spark, d)
+    near = duplicates.nearest_gap(f.where("official_split = 'train'"), f.where("official_split <> 'train'"), "sequence_id", "frame_index", "image_id")
+    return near.where(F.col("gap") <= BUFFER).select("image_id", "gap")
+
+
+@query(f"WITH {BOOT_SQL} SELECT image_id, good::BIGINT AS good, n::BIGINT AS n FROM gs")
+def group_sums(spark, d):
+    return _group_sums(spark, d)
+
+
+@query(f"WITH {SOFT}, m AS (SELECT truth, list_position(p, list_max(p)) - 1 AS c, list_max(p) AS x FROM soft) SELECT count(*) AS n, count_if(c > 0) AS n_foreground, round(avg(x) FILTER (c > 0), 6) AS mean_confidence FROM m")
+def foreground_mask(spark, d):
+    rows = _soft(spark, d).select(S.argmax(F.col("p")).alias("c"), F.array_max("p").alias("x"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c") > 0).alias("n_foreground"), F.round(F.avg(F.when(F.col("c") > 0, F.col("x"))), 6).alias("mean_confidence"))
+
+
+@query(f"WITH {PX} SELECT CASE t WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 1 WHEN 3 THEN 4 WHEN 4 THEN 2 WHEN 255 THEN 255 END AS mapped, count(*) AS n FROM px GROUP BY 1")
+def remap_labels(spark, d):
+    return jobs.remap(V.pixels(spark, d), "t", {0: 0, 1: 3, 2: 1, 3: 4, 4: 2}).groupBy("mapped").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {PX} SELECT image_id, array_to_string(list_sort(list(DISTINCT t)), ',') AS unmapped FROM px WHERE t NOT IN (0, 1, 2, 255) GROUP BY image_id")
+def unmapped_values(spark, d):
+    rows = jobs.remap(V.pixels(spark, d), "t", {0: 0, 1: 1, 2: 2}).where("mapped IS NULL")
+    return rows.groupBy("image_id").agg(F.array_join(F.array_sort(F.collect_set("t")), ",").alias("unmapped"))
+
+
+@query(f"WITH {PX}, c AS ({_RAW.format(c='p')}), q AS (SELECT quantile_cont(total_target, 1/3::DOUBLE) AS a, quantile_cont(total_target, 2/3::DOUBLE) AS b FROM c) SELECT CASE WHEN total_target <= a THEN 'low' WHEN total_target <= b THEN 'middle' ELSE 'high' END AS tertile, count(*) AS n FROM c, q GROUP BY 1")
+def stratified_coverage_tertiles(spark, d):
+    c = metrics.coverage(V.pixels(spark, d), ["image_id"])
+    cuts = c.agg(F.percentile("total_target", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
+    name = F.when(F.col("total_target") <= F.get("q", F.lit(0)), "low").when(F.col("total_target") <= F.get("q", F.lit(1)), "middle").otherwise("high")
+    return c.crossJoin(F.broadcast(cuts)).groupBy(name.alias("tertile")).agg(F.count(F.lit(1)).alias("n"))  # one row
+
+
+@query(f"WITH {FRAMES}, o AS (SELECT image_id, sequence_id, (row_number() OVER (PARTITION BY sequence_id ORDER BY value, image_id) - 1) // 2 AS pair FROM frames) SELECT image_id, sequence_id, pair, CASE WHEN row_number() OVER (PARTITION BY sequence_id, pair ORDER BY md5('0:' || image_id), image_id) = 1 THEN 'A' ELSE 'B' END AS set FROM o")
+def pair_assignment(spark, d):
+    return jobs.pair_assignment(V.frames(spark, d), "value", "image_id", "sequence_id")
+
+
+@query(f"WITH {FEEDBACK}, l AS (SELECT image_id, max_by(decision, feedback_id) AS decision FROM feedback GROUP BY image_id), c AS (SELECT doc_id % 3 <> 0 AS consent, CASE WHEN n_chars > 200 THEN 'complete' ELSE 'failed' END AS status, decision FROM documents LEFT JOIN l ON image_id = doc_id), r AS (SELECT CASE WHEN NOT consent THEN 'no_consent' WHEN status <> 'complete' THEN 'not_complete' WHEN decision IS NULL THEN 'no_feedback' END AS reason FROM c) SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason")
+def feedback_skips(spark, d):
+    last = jobs.latest_per_key(V.feedback(spark, d), "image_id", "feedback_id", ["decision"]).select(F.col("image_id").alias("doc_id"), "decision")
+    docs = table(spark, d, "documents").join(last, "doc_id", "left")
+    return jobs.feedback_skips(docs.select((F.col("doc_id") % 3 != 0).alias("consent"), F.when(F.col("n_chars") > 200, "complete").otherwise("failed").alias("status"), "decision"))
+
+
+@query()
+def spaced_frames(spark, d):
+    return jobs.spaced_selection(V.frames(spark, d), "sequence_id", "frame_index", "image_id", 20_000)
+
+
+@query("SELECT c_mktsegment, n_name, count(*) AS n, count_if(o_orderstatus = 'F') AS n_finished, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS total_cents FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
+def audits_by_site(spark, d):
+    """Audits by the profile and site of their camera: a filter-free star join, its dimensions by their checked size."""
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.groupBy("c_mktsegment", "n_name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("n_finished"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("total_cents"))

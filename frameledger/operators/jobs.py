@@ -125,3 +125,40 @@ def prior_ratio(whole: DataFrame, sample: DataFrame, cls: str) -> DataFrame:
     both = a.join(b, cls, "full").select(cls, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
     ratio = F.try_divide(F.col("n") / F.sum("n").over(every), F.col("m") / F.sum("m").over(every))
     return both.select(cls, F.when((F.col("n") > 0) & (F.col("m") > 0), ratio).otherwise(F.lit(1.0)).alias("ratio"))
+
+
+def pair_assignment(rows: DataFrame, order: str, id_col: str, group: str, seed: int = 0) -> DataFrame:
+    """(id, pair, set): neighbours in the order of each group form pairs, whose members go to sets A and B by a hash."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(order, id_col)) - 1
+    paired = rows.select(id_col, group, F.floor(place / 2).alias("pair"))
+    tie = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary"))
+    first = F.row_number().over(Window.partitionBy(group, "pair").orderBy(tie, id_col)) == 1
+    return paired.select(id_col, group, "pair", F.when(first, "A").otherwise("B").alias("set"))
+
+
+def feedback_skips(candidates: DataFrame) -> DataFrame:
+    """(reason, n) of candidates (consent, status, decision) that no batch takes, the first reason that holds."""
+    reason = F.when(~F.col("consent"), "no_consent").when(F.col("status") != "complete", "not_complete").when(F.col("decision").isNull(), "no_feedback")
+    return candidates.select(reason.alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def remap(rows: DataFrame, cls: str, mapping: dict[int, int], ignored: int = 255) -> DataFrame:
+    """Adds ``mapped``: the internal id of a source id; the ignored one passes through, others without an entry are null."""
+    table = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    return rows.withColumn("mapped", F.when(F.col(cls) == ignored, F.lit(ignored)).otherwise(F.try_element_at(table, F.col(cls))))
+
+
+def spaced_selection(frames: DataFrame, group: str, at: str, id_col: str, gap: int) -> DataFrame:
+    """(group, id): going up a sequence, each frame at least ``gap`` after the last one taken.
+
+    The choice of a frame depends on the one before, so a sequence is folded in order; only its frames'
+    places are gathered, and sequences are recordings of bounded length.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(at).cast("long").alias("at"), F.col(id_col).alias("id"))))
+    start = F.struct(F.lit(-(1 << 62)).cast("long").alias("last"), F.filter(ordered, lambda x: F.lit(False)).alias("taken"))
+
+    def step(s: Column, x: Column) -> Column:
+        fits = x["at"] - s["last"] >= gap
+        return F.struct(F.when(fits, x["at"]).otherwise(s["last"]).alias("last"), F.when(fits, F.concat(s["taken"], F.array(x))).otherwise(s["taken"]).alias("taken"))
+
+    return frames.groupBy(group).agg(F.aggregate(ordered, start, step)["taken"].alias("taken")).select(group, F.explode("taken").alias("x")).select(group, F.col("x.id").alias(id_col))
