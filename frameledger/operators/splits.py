@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .duplicates import nearest_gap
 
 EVALUATION = ("val", "calibration", "test")
@@ -29,7 +30,7 @@ def _exclude_pairs(rows: DataFrame, pairs: DataFrame, from_: tuple[str, ...], ag
 
 def duplicate_stages(rows: DataFrame, pairs: DataFrame, drop_train: bool = True) -> DataFrame:
     """Val and calibration rows paired with test go first; then train rows paired with what is left of the evaluation."""
-    rows = _exclude_pairs(rows, pairs, ("val", "calibration"), ("test",), "duplicate_of_test")
+    rows = stored(_exclude_pairs(rows, pairs, ("val", "calibration"), ("test",), "duplicate_of_test"), "splits")
     return _exclude_pairs(rows, pairs, ("train",), EVALUATION, "duplicate_of_eval") if drop_train else rows
 
 
@@ -50,9 +51,13 @@ def mark_unseen(rows: DataFrame) -> DataFrame:
 
 
 def assign_splits(images: DataFrame, pairs: DataFrame, calibration: list, buffer: int, drop_train: bool = True) -> DataFrame:
-    """The whole policy on (image_id, official_split, sequence_id, frame_index) and pairs (pair_no, id_a, id_b)."""
+    """The whole policy on (image_id, official_split, sequence_id, frame_index) and pairs (pair_no, id_a, id_b).
+
+    Each stage reads the one before several times, so stages are written.
+    """
     rows = calibration_stage(images, calibration)
-    return mark_unseen(buffer_stage(duplicate_stages(rows, pairs, drop_train), buffer))
+    rows = stored(duplicate_stages(rows, pairs, drop_train), "splits")
+    return mark_unseen(stored(buffer_stage(rows, buffer), "splits"))
 
 
 def split_summary(assigned: DataFrame) -> DataFrame:

@@ -2,21 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder for a stream's output and state, under the cluster's checkpoint folder where it names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..sources.shared import shared_folder
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -38,14 +27,14 @@ def queue_metrics(events: DataFrame) -> DataFrame:
 
 def drain_append(rows: DataFrame) -> DataFrame:
     """Runs the stream over what is there and returns what it wrote."""
-    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession)
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "stream")
     rows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{folder}/out")
 
 
 def drain_complete(rows: DataFrame) -> DataFrame:
     """As :func:`drain_append` for aggregates: the last version of the whole result."""
-    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession)
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "stream")
 
     def keep(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out")
