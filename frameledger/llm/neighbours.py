@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by inner product: an NN-descent graph and greedy search over it.
 
-Vectors with the same components are one node of the graph. NN-descent starts from random-hyperplane
-cells and joins, round by round, the neighbours of each node's neighbours, keeping those that are
-nearer than what a node has. A query starts from its own node and follows the graph: each round
+Vectors with the same components are one node of the graph. NN-descent starts from the cells of random-projection
+trees, which are split at medians, and joins, round by round, the neighbours of each node's neighbours, keeping those that are
+nearer than what a node has. A query starts from its own node and a few common ones and follows the graph: each round
 joins the lists of its nearest nodes not yet followed, until none is left among the best ``beam``.
 
 All rounds are joins on partitions of a bounded number of nodes or queries: a row holds a node's
@@ -27,10 +27,16 @@ DEGREE = 24
 REVERSE = 24
 #: What a node takes from one pivot in a round.
 TAKE = 8
-#: Nodes a hyperplane cell is to have, independent sets of cells, and rounds of NN-descent.
+#: Nodes a cell has at most, independent sets of cells, and rounds of NN-descent.
 CELL = 400
 CELL_SETS = 2
 ROUNDS = 3
+#: Nodes of a sample that each leaf of the tree above the cells gets for its bounds.
+LEAF_SAMPLE = 32
+#: Share of a vector's length by which its projection is moved by its id, to part vectors that are nearly equal.
+NUDGE = 1e-6
+#: Longest nodes, and nodes by a hash, from which each search starts besides its own.
+ENTRIES = 16
 #: Nodes and queries of a partition's join.
 NODES_TOGETHER = 8192
 QUERIES_TOGETHER = 512
@@ -102,51 +108,92 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str, keep: int
     return nodes.select("node", "vec"), members.select("node", "vec_id")
 
 
-def _cells(nodes: DataFrame, planes: int, sets: int, dims: int) -> DataFrame:
-    """(node, vec, cell): each node in one cell of every set, a cell being the signs of its projections."""
+def _projection(ids: np.ndarray, x: np.ndarray, s: int, level: int) -> np.ndarray:
+    """Places on the line that a level of set ``s`` splits; equal ones are told apart by the id."""
+    normal = np.random.default_rng([SEED, s, level]).standard_normal(x.shape[1])
+    x = x.astype(np.float64)
+    spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) / (1 << 24)
+    return (x * normal).sum(axis=1) + NUDGE * np.sqrt((x * x).sum(axis=1)) * spread
+
+
+def _bounds(ids: np.ndarray, x: np.ndarray, levels: int, s: int) -> list[np.ndarray]:
+    """For each level of a tree the medians of its parts, by a sample of the nodes."""
+    leaf, out = np.zeros(len(ids), np.int64), []
+    for level in range(levels):
+        at = _projection(ids, x, s, level)
+        median = np.array([np.median(at[leaf == k]) if (leaf == k).any() else 0.0 for k in range(1 << level)])
+        out.append(median)
+        leaf = leaf * 2 + (at > median[leaf])
+    return out
+
+
+def _leaves(nodes: DataFrame, bounds: list[list[np.ndarray]]) -> DataFrame:
+    """(node, vec, leaf): each node in one leaf of every set's tree."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            x = _matrix(batch.column(1)).astype(np.float64)
+            ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
             if not len(x):
                 continue
-            for s in range(sets):
-                normals = np.random.default_rng([SEED, s]).standard_normal((dims, max(planes, 1)))
-                bits = (x @ normals > 0)[:, :planes]
-                code = bits @ (1 << np.arange(planes, dtype=np.int64)) if planes else np.zeros(len(x), np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(code * sets + s)], names=["node", "vec", "cell"])
+            for s, levels in enumerate(bounds):
+                leaf = np.zeros(len(ids), np.int64)
+                for level, median in enumerate(levels):
+                    leaf = leaf * 2 + (_projection(ids, x, s, level) > median[leaf])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf * len(bounds) + s)], names=["node", "vec", "leaf"])
+
+    return nodes.select("node", "vec").mapInArrow(run, "node long, vec array<float>, leaf long")
+
+
+def entry_nodes(nodes: DataFrame, count: int = ENTRIES) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the ``count`` longest nodes and of ``count`` by a hash."""
+    length = F.aggregate("vec", F.lit(0.0), lambda total, v: total + v.cast("double") * v)
+    rows = {r["node"]: r["vec"] for order in (length.desc(), F.xxhash64("node")) for r in nodes.orderBy(order, "node").limit(count).collect()}
+    return np.array(list(rows), np.int64), np.array(list(rows.values()), np.float32)
 
-    return nodes.mapInArrow(run, "node long, vec array<float>, cell long")
 
+def first_graph(nodes: DataFrame, n: int, degree: int, cell: int, sets: int, together: int, entries: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Each node's nearest nodes in its cells.
 
-def first_graph(nodes: DataFrame, n: int, dims: int, degree: int, cell: int, sets: int) -> DataFrame:
-    """Each node's nearest nodes in its hyperplane cells. Large cells are compared in blocks of nodes that
-    follow each other in id order, so a crowded direction costs no more memory than another."""
+    The cells of a set are the leaves of a tree that splits each part at the median of a random projection,
+    so they have like numbers of nodes however the vectors lie. Down to about ``together`` nodes the medians are a sample's;
+    such a leaf is one group, in which they are exact. A node that is alone in a leaf is compared with ``entries``.
+    """
+    levels = max(0, math.ceil(math.log2(max(1, n) / together)))
+    bounds: list[list[np.ndarray]] = [[] for _ in range(sets)]
+    if levels:
+        sample = nodes.where(_part("node", max(1, n // (LEAF_SAMPLE << levels))) == 0).select("node", "vec").toArrow()
+        bounds = [_bounds(sample["node"].to_numpy(), _matrix(sample["vec"]), levels, s) for s in range(sets)]
+    most = max(cell, 3)  # halves have two nodes at least
 
     def within(group: pa.Table) -> pa.Table:
         ids, x = group["node"].to_numpy(), _matrix(group["vec"])
+        s = int(group["leaf"][0].as_py()) % sets
         order = np.argsort(ids)
         ids, x = ids[order], x[order]
+        if len(ids) == 1:
+            other = entries[0] != ids[0]
+            found = (entries[1][other] @ x[0]).astype(np.float32)
+            return _graph_rows(np.repeat(ids, len(found)), entries[0][other], found, degree)
         owners, others, sims = [], [], []
-        block = 4 * cell
-        for at in range(0, len(ids), block):
-            part, px = ids[at : at + block], x[at : at + block]
-            s = px @ px.T
-            np.fill_diagonal(s, -np.inf)
-            k = min(degree, len(part) - 1)
-            if k <= 0:
+        parts = [(np.arange(len(ids)), levels)]
+        while parts:
+            at, level = parts.pop()
+            if len(at) > most:
+                half = len(at) // 2
+                split = np.argpartition(_projection(ids[at], x[at], s, level), half)
+                parts += [(at[split[:half]], level + 1), (at[split[half:]], level + 1)]
                 continue
-            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            part, px = ids[at], x[at]
+            sim = px @ px.T
+            np.fill_diagonal(sim, -np.inf)
+            k = min(degree, len(part) - 1)
+            top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
             owners.append(np.repeat(part, k))
             others.append(part[top].ravel())
-            sims.append(np.take_along_axis(s, top, axis=1).ravel())
-        if not owners:
-            return _graph_rows(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32), degree)
+            sims.append(np.take_along_axis(sim, top, axis=1).ravel())
         return _graph_rows(np.concatenate(owners), np.concatenate(others), np.concatenate(sims), degree)
 
-    planes = max(0, math.ceil(math.log2(max(1, n) / cell)))
-    found = _cells(nodes, planes, sets, dims)
-    return found.groupBy("cell").applyInArrow(within, GRAPH)
+    return _leaves(nodes, bounds).groupBy("leaf").applyInArrow(within, GRAPH)
 
 
 def _merge(lists: DataFrame, parts: int, degree: int) -> DataFrame:
@@ -196,8 +243,8 @@ def descend(graph: DataFrame, nodes: DataFrame, parts: int, degree: int, reverse
     Of the nodes that point at a pivot its ``reverse`` nearest take part. The result is a graph.
     """
     meets = _around(graph).withColumn("part", _part("pivot", parts))
-    worst = graph.select(F.col("node").alias("u"), F.when(F.size("sims") >= degree, F.array_min("sims")).otherwise(F.lit(-2.0).cast("float")).alias("worst"))
-    needed = meets.select("part", "u").distinct().join(nodes.join(worst.withColumnRenamed("u", "node"), "node", "left").select(F.col("node").alias("u"), "vec", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst")), "u")
+    worst = graph.select(F.col("node").alias("u"), F.when(F.size("sims") >= degree, F.array_min("sims")).otherwise(F.lit(float("-inf")).cast("float")).alias("worst"))
+    needed = meets.select("part", "u").distinct().join(nodes.join(worst.withColumnRenamed("u", "node"), "node", "left").select(F.col("node").alias("u"), "vec", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst")), "u")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, x, least = right["u"].to_numpy(), _matrix(right["vec"]), right["worst"].to_numpy()
@@ -233,10 +280,11 @@ def descend(graph: DataFrame, nodes: DataFrame, parts: int, degree: int, reverse
 def build_graph(nodes: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, rounds: int = ROUNDS, cell: int = CELL, sets: int = CELL_SETS, together: int = NODES_TOGETHER) -> DataFrame:
     """(node, nbrs, sims) of (node, vec): every node's ``degree`` nearest found, nearest first."""
     spark = nodes.sparkSession
-    one = nodes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dims")).first()
-    parts = max(1, math.ceil(one["n"] / together))
+    n = nodes.count()
+    parts = max(1, math.ceil(n / together))
+    entries = entry_nodes(nodes)
     path = fresh_path(spark, "graph")
-    graph = store(_merge(first_graph(nodes, one["n"], one["dims"] or 1, degree, cell, sets), parts, degree), path)
+    graph = store(_merge(first_graph(nodes, n, degree, cell, sets, together, entries), parts, degree), path)
     for _ in range(rounds):
         following = fresh_path(spark, "graph")
         graph = store(descend(graph, nodes, parts, degree, reverse), following)
@@ -260,6 +308,8 @@ STATE = "q long, nodes binary, sims binary, followed binary, next array<long>"
 def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = BEAM, follow: int = FOLLOW, reverse: int = REVERSE, together: int = QUERIES_TOGETHER, rounds: int = SEARCH_ROUNDS, keep: int = 64) -> DataFrame:
     """(q, node): the best ``keep`` nodes found for each query node, itself included.
 
+    A search starts from its own node's list and from a few nodes that are the same for all, so that a part
+    of the graph to which no way leads from the query's can be entered.
     ``queries`` has a column q of nodes. A round follows each query's nearest ``follow`` nodes among its best
     ``beam`` that haven't been followed; a query of which all have is done and leaves the rounds. Nodes that
     fell out of a beam can't come back, as what it takes only rises, so none need be remembered.
@@ -269,6 +319,8 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam:
     parts = max(1, math.ceil(queries.count() / together))
     qvec = store(queries.join(nodes.withColumnRenamed("node", "q"), "q").select("q", "vec"), fresh_path(spark, "queries"))
     none = F.lit(None).cast("binary")
+    empty = F.expr("cast(array() as array<bigint>)")
+    entries = F.array(*[F.lit(e).cast("long") for e in entry_nodes(nodes)[0].tolist()]).cast("array<long>")
     state = qvec.select("q", none.alias("nodes"), none.alias("sims"), none.alias("followed"), F.array("q").alias("next"))
 
     def run(states: pa.Table, data: pa.Table) -> pa.Table:
@@ -303,7 +355,8 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam:
     done: list[DataFrame] = []
     for k in range(rounds):
         asked = state.select(_part("q", parts).alias("part"), F.explode("next").alias("node")).distinct()
-        lists = store(asked.join(links, "node").select("part", "node", "links"), fresh_path(spark, "lists"))
+        listed = F.coalesce("links", empty)
+        lists = store(asked.join(links, "node", "left").select("part", "node", (listed if k else F.array_union(listed, entries)).alias("links")), fresh_path(spark, "lists"))
         vectors = lists.select("part", F.explode("links").alias("node")).distinct().join(nodes, "node").select("part", "node", "vec")
         right = lists.select("part", "node", "links", F.lit(None).cast("array<float>").alias("vec")).union(vectors.select("part", "node", F.lit(None).cast("array<long>").alias("links"), "vec"))
         left = state.join(qvec, "q").withColumn("part", _part("q", parts))

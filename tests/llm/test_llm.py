@@ -225,6 +225,28 @@ def test_neighbours_recall_and_edges(spark):
     assert neighbours.nearest(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["common direction", "hot cluster"])
+def test_neighbours_every_node_is_in_the_graph(spark, kind):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((900, 16))
+    if kind == "common direction":
+        x[:, 0] += 12
+        x[:40] -= 2 * x[:40, :1] * np.eye(16)[0]  # a few that lie opposite
+    else:
+        x[:300] = x[0] * 3 + 0.01 * rng.standard_normal((300, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    nodes = df.selectExpr("vec_id AS node", "embedding AS vec").cache()
+    first = neighbours.build_graph(nodes, rounds=0, cell=8, together=100)
+    assert sorted(r.node for r in first.where("size(nbrs) > 0").collect()) == list(range(900))
+    got = {}
+    for r in neighbours.nearest(df, every=10, cell=8).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(range(0, 900, 10)) and all(len(v) == 20 for v in got.values())
+    x = x.astype(np.float32).astype(np.float64)
+    want = {q: set([int(v) for v in np.argsort(-(x @ x[q])) if v != q][:20]) for q in got}
+    assert sum(len(want[q] & got[q]) for q in got) >= 0.9 * 20 * len(got)
+
+
 # 7
 
 
