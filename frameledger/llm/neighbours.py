@@ -25,12 +25,13 @@ from .common import fresh_path, remove, store, table
 #: Neighbours in a node's list, and of those pointing back at it how many take part in a join.
 DEGREE = 24
 REVERSE = 24
-#: What a node takes from one pivot in a round.
-TAKE = 8
-#: Nodes a cell has at most, independent sets of cells, and rounds of NN-descent.
+#: Nodes a cell has at most, and independent sets of cells.
 CELL = 400
 CELL_SETS = 2
-ROUNDS = 3
+#: NN-descent ends with the round that changed a smaller share of the entries of all lists.
+DELTA = 0.001
+#: Finds that a partition holds before it keeps only each node's best.
+FINDS_TOGETHER = 4_000_000
 #: Nodes of a sample that each leaf of the tree above the cells gets for its bounds.
 LEAF_SAMPLE = 32
 #: Share of a vector's length by which its projection is moved by its id, to part vectors that are nearly equal.
@@ -219,77 +220,72 @@ def _edges(graph: DataFrame) -> DataFrame:
     return graph.select("node", "nbrs", "sims").mapInArrow(run, "owner long, other long, sim float")
 
 
-def _around(graph: DataFrame) -> DataFrame:
-    """(pivot, u, worst, near, reverse): who meets at each pivot, and the similarity that a find for u must beat."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            nodes, nbrs = batch.column(0).to_numpy(), batch.column(1)
-            counts = np.diff(nbrs.offsets.to_numpy())
-            flat, sims = nbrs.flatten().to_numpy(), batch.column(2).flatten().to_numpy()
-            me = np.repeat(nodes, counts)
-            n = len(me)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((me, flat))), pa.array(np.concatenate((flat, me))), pa.array(np.concatenate((sims, sims))), pa.array(np.concatenate((np.zeros(n, bool), np.ones(n, bool))))],
-                names=["pivot", "u", "near", "reverse"],
-            )
-
-    return graph.mapInArrow(run, "pivot long, u long, near float, reverse boolean")
-
-
 def descend(graph: DataFrame, nodes: DataFrame, parts: int, degree: int, reverse: int) -> DataFrame:
     """One round of NN-descent: the pairs that meet at a pivot, where they are nearer than what a node has.
 
-    Of the nodes that point at a pivot its ``reverse`` nearest take part. The result is a graph.
+    At a pivot its list meets, and of the nodes that point at it the ``reverse`` nearest, which are ranked before they
+    are brought together. A node takes from a pivot as much as its list has room for. The result is a graph.
     """
-    meets = _around(graph).withColumn("part", _part("pivot", parts))
-    worst = graph.select(F.col("node").alias("u"), F.when(F.size("sims") >= degree, F.array_min("sims")).otherwise(F.lit(float("-inf")).cast("float")).alias("worst"))
-    needed = meets.select("part", "u").distinct().join(nodes.join(worst.withColumnRenamed("u", "node"), "node", "left").select(F.col("node").alias("u"), "vec", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst")), "u")
+    meets = _links(graph, reverse).withColumn("part", _part("node", parts)).select("part", F.col("node").alias("pivot"), "links")
+    worst = graph.select("node", F.when(F.size("sims") >= degree, F.array_min("sims")).otherwise(F.lit(float("-inf")).cast("float")).alias("worst"))
+    known = nodes.join(worst, "node", "left").select(F.col("node").alias("u"), "vec", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"))
+    needed = meets.select("part", F.explode("links").alias("u")).distinct().join(known, "u")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, x, least = right["u"].to_numpy(), _matrix(right["vec"]), right["worst"].to_numpy()
         order = np.argsort(ids)
         ids, x, least = ids[order], x[order], least[order]
-        pivot, u, near, back = (left[c].to_numpy() for c in ("pivot", "u", "near", "reverse"))
-        at = np.searchsorted(ids, u)
-        order = np.lexsort((-near, back, pivot))
-        pivot, at, back = pivot[order], at[order], back[order]
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(pivot)) + 1, [len(pivot)])) if len(pivot) else np.zeros(1, int)
-        owners, others, sims = [], [], []
+        lists = left["links"].combine_chunks()
+        at = np.searchsorted(ids, lists.flatten().to_numpy())
+        cuts = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))).astype(int)
+        owners, others, sims, held = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)], 0
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            forward = int((~back[i:j]).sum())
-            b = np.unique(at[i : min(j, i + forward + reverse)])
+            b = at[i:j]
             s = x[b] @ x[b].T
             np.fill_diagonal(s, -np.inf)
-            if len(b) > TAKE:
-                floor = -np.partition(-s, TAKE - 1, axis=1)[:, TAKE - 1 : TAKE]
-                r, c = np.nonzero((s > least[b][:, None]) & (s >= floor))
-            else:
-                r, c = np.nonzero(s > least[b][:, None])
-            owners.append(ids[b[r]])
-            others.append(ids[b[c]])
+            near = s > least[b][:, None]
+            if len(b) > degree:
+                near &= s >= -np.partition(-s, degree - 1, axis=1)[:, degree - 1 : degree]
+            r, c = np.nonzero(near)
+            owners.append(b[r])
+            others.append(b[c])
             sims.append(s[r, c])
-        if not owners:
-            return _graph_rows(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32), degree)
-        return _graph_rows(np.concatenate(owners), np.concatenate(others), np.concatenate(sims).astype(np.float32), degree)
+            held += len(r)
+            if held > FINDS_TOGETHER:
+                best = _best(np.concatenate(owners), np.concatenate(others), np.concatenate(sims), degree)
+                (owners, others, sims), held = ([v] for v in best), 0
+        return _graph_rows(ids[np.concatenate(owners)], ids[np.concatenate(others)], np.concatenate(sims).astype(np.float32), degree)
 
     found = _fresh(meets).groupBy("part").cogroup(_fresh(needed).groupBy("part")).applyInArrow(run, GRAPH)
     return _merge(graph.select("node", "nbrs", "sims").union(found), parts, degree)
 
 
-def build_graph(nodes: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, rounds: int = ROUNDS, cell: int = CELL, sets: int = CELL_SETS, together: int = NODES_TOGETHER) -> DataFrame:
-    """(node, nbrs, sims) of (node, vec): every node's ``degree`` nearest found, nearest first."""
+def changed_share(old: DataFrame, new: DataFrame) -> float:
+    """The share of the entries of ``new``'s lists that ``old``'s don't have."""
+    both = new.select("node", "nbrs").join(old.select("node", F.col("nbrs").alias("was")), "node", "left")
+    fresh = F.size(F.array_except("nbrs", F.coalesce("was", F.expr("cast(array() as array<bigint>)"))))
+    one = both.agg(F.sum(fresh).alias("changed"), F.sum(F.size("nbrs")).alias("whole")).first()
+    return (one["changed"] or 0) / (one["whole"] or 1)
+
+
+def build_graph(nodes: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, rounds: int | None = None, cell: int = CELL, sets: int = CELL_SETS, together: int = NODES_TOGETHER) -> DataFrame:
+    """(node, nbrs, sims) of (node, vec): every node's ``degree`` nearest found, nearest first.
+
+    Rounds go on until one changes less than ``DELTA`` of the entries, or to ``rounds`` if that is given.
+    """
     spark = nodes.sparkSession
     n = nodes.count()
     parts = max(1, math.ceil(n / together))
     entries = entry_nodes(nodes)
     path = fresh_path(spark, "graph")
     graph = store(_merge(first_graph(nodes, n, degree, cell, sets, together, entries), parts, degree), path)
-    for _ in range(rounds):
+    share, k = 1.0, 0
+    while k < rounds if rounds is not None else share >= DELTA:
         following = fresh_path(spark, "graph")
-        graph = store(descend(graph, nodes, parts, degree, reverse), following)
+        better = store(descend(graph, nodes, parts, degree, reverse), following)
+        share, k = changed_share(graph, better), k + 1
         remove(spark, path)
-        path = following
+        graph, path = better, following
     return graph
 
 

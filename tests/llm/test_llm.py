@@ -247,6 +247,20 @@ def test_neighbours_every_node_is_in_the_graph(spark, kind):
     assert sum(len(want[q] & got[q]) for q in got) >= 0.9 * 20 * len(got)
 
 
+def test_neighbours_descend_until_lists_stay(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1500, 12)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "node long, vec array<float>").cache()
+    # cells this small leave so much to be found that three rounds don't do
+    graph = neighbours.build_graph(nodes, degree=10, reverse=10, cell=8, sets=2)
+    got = {r.node: set(r.nbrs) for r in graph.collect()}
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    best = np.argsort(-s, axis=1)[:, :10]
+    assert sum(len(got[i] & set(best[i].tolist())) for i in range(1500)) >= 0.8 * 15000
+
+
 # 7
 
 
