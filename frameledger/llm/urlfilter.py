@@ -18,10 +18,12 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINKS = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/"'?#\s<>]+)"""
 DAMPING = 0.85
-ROUNDS = 12
+#: Ranks are settled when no host's grows by more than this share between two tables.
+TOLERANCE = 1e-3
 #: Rounds between tables that cut the lineage.
 CUT = 3
-#: A host is blocked if its received distrust is over this and over ``RATIO`` times its received trust.
+#: A host is blocked if its received distrust, in blocked pages, is over this and over ``RATIO`` times its received trust,
+#: in allowed pages. Neither depends on how many pages there are elsewhere.
 LEAST_DISTRUST = 1e-6
 RATIO = 1.0
 
@@ -66,26 +68,32 @@ def host_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     return links.where("src <> dst AND src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
 
 
-def received_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def received_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, least: float = LEAST_DISTRUST) -> DataFrame:
     """(host, got): personalised PageRank of ``seeds`` (host, seed) without the hosts' own seed.
 
-    ``edges`` are (src, share, dst), the shares of a source summing to 1. Ranks start at the seeds and
-    are written to the shared folder every few rounds. Hosts that nothing reaches are left out.
+    ``edges`` are (src, share, dst), the shares of a source summing to 1. Ranks start at the seeds, only grow, and
+    are written to the shared folder every few rounds, until no host's grew by more than ``tolerance`` of
+    itself or of ``least``. Hosts that nothing reaches are left out.
     """
     spark = edges.sparkSession
     start = seeds.select("host", (F.lit(1 - damping) * F.col("seed")).alias("base"))
-    ranks, path = start.select("host", F.col("base").alias("rank")), None
-    got = ranks.select("host", F.lit(0.0).alias("got")).where("false")
-    for k in range(1, rounds + 1):
-        sent = edges.join(ranks.withColumnRenamed("host", "src"), "src")
-        got = sent.groupBy(F.col("dst").alias("host")).agg((F.lit(damping) * F.sum(F.col("rank") * F.col("share"))).alias("got"))
-        if k % CUT == 0 or k == rounds:
-            old, path = path, fresh_path(spark, "ranks")
-            got = store(got, path)
-            if old:
-                remove(spark, old)
+    ranks, old, path = start.select("host", F.col("base").alias("rank")), None, None
+    while True:
+        for _ in range(CUT):
+            sent = edges.join(ranks.withColumnRenamed("host", "src"), "src")
+            got = sent.groupBy(F.col("dst").alias("host")).agg((F.lit(damping) * F.sum(F.col("rank") * F.col("share"))).alias("got"))
+            ranks = start.join(got, "host", "full").select("host", (F.coalesce("base", F.lit(0.0)) + F.coalesce("got", F.lit(0.0))).alias("rank"))
+        following = fresh_path(spark, "ranks")
+        got = store(got, following)
         ranks = start.join(got, "host", "full").select("host", (F.coalesce("base", F.lit(0.0)) + F.coalesce("got", F.lit(0.0))).alias("rank"))
-    return got
+        settled = got.isEmpty()
+        if old is not None:
+            both = got.join(old.withColumnRenamed("got", "was"), "host", "left")
+            settled = both.where(F.col("got") - F.coalesce("was", F.lit(0.0)) > F.lit(tolerance) * F.greatest("got", F.lit(least))).isEmpty()
+            remove(spark, path)
+        if settled:
+            return got
+        old, path = got, following
 
 
 def filter_urls(
@@ -117,17 +125,16 @@ def filter_urls(
     else:
         by_host = ruled.where("best IS NOT NULL").groupBy("host").agg(F.count_if(F.col("best.verdict") == "allow").alias("good"), F.count_if(F.col("best.verdict") == "block").alias("bad"))
         by_host = materialize(by_host, "seeds")
-        total = by_host.agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad")).first()
 
-        def seeds(column: str, whole: int | None) -> DataFrame:
-            return by_host.where(F.col(column) > 0).select("host", (F.col(column) / F.lit(float(whole or 1))).alias("seed"))
+        def seeds(column: str) -> DataFrame:
+            return by_host.where(F.col(column) > 0).select("host", F.col(column).cast("double").alias("seed"))
 
         def shares(src: str, dst: str) -> DataFrame:
             out = edges.groupBy(F.col(src).alias("src")).agg(F.sum("w").alias("out"))
             return edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"), "w").join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share"))
 
-        trust = received_rank(materialize(shares("src", "dst"), "shares"), seeds("good", total["all_good"])).withColumnRenamed("got", "trust")
-        distrust = received_rank(materialize(shares("dst", "src"), "shares"), seeds("bad", total["all_bad"])).withColumnRenamed("got", "distrust")
+        trust = received_rank(materialize(shares("src", "dst"), "shares"), seeds("good")).withColumnRenamed("got", "trust")
+        distrust = received_rank(materialize(shares("dst", "src"), "shares"), seeds("bad")).withColumnRenamed("got", "distrust")
         scores = materialize(trust.join(distrust, "host", "full"), "scores")
         judged = ruled.join(scores, "host", "left").withColumns({"trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))})
     bad = (F.col("distrust") > least) & (F.col("distrust") > F.col("trust") * ratio)

@@ -279,6 +279,17 @@ def test_url_rules_and_links(spark):
     assert urlfilter.filter_urls(pages(spark, [])).count() == 0
 
 
+def test_url_verdicts_do_not_depend_on_unrelated_pages(spark):
+    link = '<a href="http://{}/x">y</a>'
+    rows = [(0, "http://y.net/fr/", "", 0), (1, "http://h1.org/", link.format("y.net"), 0), (50, "http://good.com/", link.format("mixed.org") * 3 + link.format("nice.org"), 0), (51, "http://nice.org/", "", 0), (52, "http://mixed.org/", link.format("y.net"), 0)]
+    rows += [(i, f"http://h{i}.org/", link.format(f"h{i - 1}.org"), 0) for i in range(2, 18)]  # more hops than a dozen
+    few = pages(spark, rows)
+    many = few.union(spark.range(1000, 401_000).selectExpr("id", "concat('http://mass.net/fr/', id)", "''", "cast(0 AS int)").toDF(*few.columns))
+    want = {r.page_id: r.verdict for r in urlfilter.filter_urls(few).collect()}
+    assert {r.page_id: r.verdict for r in urlfilter.filter_urls(many).where("page_id < 1000").collect()} == want
+    assert all(want[i] == "block" for i in range(18)) and want[51] == "allow"
+
+
 # 8
 
 
