@@ -2,9 +2,9 @@
 
 A first pass over the texts stores, per document, the postings (place, word) of the words that occur
 in a licence template, and nothing later reads a text again. Document frequencies over all
-documents give the words' IDF. In each document the templates' highest-IDF words are looked up;
-their places relative to the template's must agree, which fixes where the template would lie; there its
-coverage is measured and its mandatory phrases are verified.
+documents give the words' IDF. A document's licence words are looked up in the templates' postings; each votes
+with its IDF for the places where a template would begin. Where votes that lie within a tolerance could make up
+the coverage, it is measured, words in order, and the mandatory phrases are verified.
 """
 
 from __future__ import annotations
@@ -56,8 +56,9 @@ TEMPLATES = (
     Template("cc-by-sa", "Licensed under CC BY-SA 4.0", ("cc by sa 4 0",)),
     Template("cc-by", "licensed under a Creative Commons Attribution 4.0 International License", ("creative commons attribution 4 0",)),
 )
-RARE_WORDS = 4
 LEAST_COVERAGE = 0.8
+#: Words by which parts of a copy may be shifted, as by words put in or left out.
+TOLERANCE = 4
 
 
 def words_of(text: str) -> list[str]:
@@ -139,13 +140,12 @@ def _runs(places: np.ndarray, words: np.ndarray, phrase: list[int]) -> np.ndarra
 
 
 class _Matcher:
-    def __init__(self, templates: tuple[Template, ...], base: dict[str, str], idf: np.ndarray, vocabulary: _Vocabulary, rare_words: int, least: float):
-        self.least = least
+    def __init__(self, templates: tuple[Template, ...], base: dict[str, str], idf: np.ndarray, vocabulary: _Vocabulary, least: float, tolerance: int):
+        self.least, self.tolerance = least, tolerance
         self.base = [(label, vocabulary.numbers(p)) for label, p in base.items()]
         self.templates = []
         for t in templates:
             own = np.array(vocabulary.numbers(t.text))
-            rare = sorted(set(own.tolist()), key=lambda w: (-idf[w], w))[:rare_words]
             weights = idf[own]
             phrases = []
             for p in map(vocabulary.numbers, t.mandatory):
@@ -153,7 +153,31 @@ class _Matcher:
                 if at is None:
                     raise ValueError(f"a mandatory phrase isn't in its template: {t.label}")
                 phrases.append((at, np.array(p)))
-            self.templates.append((t.label, own, [(w, np.flatnonzero(own == w)) for w in rare], weights / weights.sum(), phrases))
+            weights = weights / weights.sum()
+            postings = [(w, np.flatnonzero(own == w), float(weights[own == w].sum())) for w in sorted(set(own.tolist()))]
+            self.templates.append((t.label, own, postings, weights, phrases))
+
+    def _begins(self, places: np.ndarray, words: np.ndarray, postings: list, weights: np.ndarray) -> np.ndarray:
+        """Where a template's first word would stand so that votes within the tolerance reach the least coverage."""
+        offsets, votes = [], []
+        for w, inside, _ in postings:
+            spots = places[words == w]
+            offsets.append((spots[:, None].astype(np.int64) - inside[None, :]).ravel())
+            votes.append(np.tile(weights[inside], len(spots)))
+        at, which = np.unique(np.concatenate(offsets), return_inverse=True)
+        total = np.concatenate(([0.0], np.cumsum(np.bincount(which, np.concatenate(votes), len(at)))))
+        near = total[np.searchsorted(at, at + self.tolerance, "right")] - total[np.searchsorted(at, at - self.tolerance)]
+        return at[near >= self.least - 1e-9]
+
+    def _coverage(self, begin: int, places: np.ndarray, words: np.ndarray, own: np.ndarray, weights: np.ndarray) -> float:
+        """The largest weight of template words that stand in order, none shifted by more than the tolerance."""
+        ends: list[tuple[int, float]] = []  # place of the last word taken, weight so far
+        lo = np.searchsorted(places, begin - self.tolerance)
+        hi = np.searchsorted(places, begin + len(own) + self.tolerance)
+        here = list(zip(places[lo:hi].tolist(), words[lo:hi].tolist(), strict=True))
+        for k, (word, weight) in enumerate(zip(own.tolist(), weights.tolist(), strict=True)):
+            ends += [(p, weight + max((v for q, v in ends if q < p), default=0.0)) for p, w in here if w == word and abs(p - begin - k) <= self.tolerance]
+        return max((v for _, v in ends), default=0.0)
 
     def __call__(self, places: np.ndarray, words: np.ndarray) -> tuple[int, int | None, int | None, list[str], list[str], float]:
         n_base, first, last, labels = 0, None, None, set()
@@ -166,28 +190,23 @@ class _Matcher:
                 labels.add(label)
         found, score = set(labels), 1.0 if labels else 0.0
         present = set(np.unique(words).tolist())
-        for label, own, rare, weights, phrases in self.templates:
-            if any(w not in present for w, _ in rare):
+        for label, own, postings, weights, phrases in self.templates:
+            if sum(share for w, _, share in postings if w in present) < self.least - 1e-9:
+                continue  # not even all places together would do
+            stand = [(k, _runs(places, words, p.tolist())) for k, p in phrases]
+            if not all(len(spots) for _, spots in stand):
                 continue
-            offsets = None  # where the template's first word would stand, as every rare word has it
-            for w, inside in rare:
-                spots = places[words == w]
-                mine = np.unique((spots[:, None] - inside[None, :]).ravel())
-                offsets = mine if offsets is None else np.intersect1d(offsets, mine, assume_unique=True)
-                if not len(offsets):
-                    break
-            for offset in offsets:
-                at = np.searchsorted(places, offset + np.arange(len(own)))
-                inside = np.minimum(at, len(places) - 1)
-                same = (places[inside] == offset + np.arange(len(own))) & (words[inside] == own)
-                coverage = float(weights[same].sum())
-                if coverage >= self.least and all(same[k : k + len(p)].all() for k, p in phrases):
+            for begin in self._begins(places, words, postings, weights).tolist():
+                if not all(np.searchsorted(spots, begin + k + self.tolerance, "right") > np.searchsorted(spots, begin + k - self.tolerance) for k, spots in stand):
+                    continue
+                coverage = self._coverage(begin, places, words, own, weights)
+                if coverage >= self.least:
                     found.add(label)
                     score = max(score, min(1.0, round(coverage, 9)))
         return n_base, first, last, sorted(labels), sorted(found), score
 
 
-def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dict[str, str] = BASE, id_col: str = "doc_id", text_col: str = "text", rare_words: int = RARE_WORDS, least: float = LEAST_COVERAGE) -> DataFrame:
+def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dict[str, str] = BASE, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_COVERAGE, tolerance: int = TOLERANCE) -> DataFrame:
     """Per document (``id_col``, n_words, n_base, first_word, last_word, base_labels, labels, score).
 
     ``score`` is 1 where a base phrase stands, else the best coverage of a template found, by IDF weight,
@@ -204,7 +223,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dic
     idf += 1e-6  # a word that every document has still counts for something
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = _Matcher(templates, base, idf, _Vocabulary(templates, base), rare_words, least)
+        match = _Matcher(templates, base, idf, _Vocabulary(templates, base), least, tolerance)
         for batch in rows:
             out = [match(np.frombuffer(p, dtype="<i4"), np.frombuffer(w, dtype="<i4")) for p, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             cols = list(zip(*out, strict=True)) if out else [()] * 6

@@ -354,6 +354,15 @@ def test_licences_equal_brute_force(spark):
     assert licences.scan(docs(spark, [])).count() == 0
 
 
+def test_licences_of_changed_copies(spark):
+    gpl = "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"
+    texts = [gpl, gpl.replace(" (at your option)", ""), gpl.replace("as published", "as it was published"), "x y " + mit.replace("associated", "related"), gpl.replace("version 3", "version 4"), " ".join(reversed(gpl.split()))]
+    texts += ["nothing of the kind is said in this text"] * 20 + [" ".join(["the license"] * 3000)]
+    got = [r.labels for r in licences.scan(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["gpl-3", "gpl-3", "gpl-3", "mit", "", ""] + [""] * 21
+
+
 # the pipeline
 
 
