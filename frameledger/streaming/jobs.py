@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
 
+_STATE_CLASS = "spark.sql.streaming.stateStore.providerClass"
+
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """An unbounded table of the files under ``path``, which may be a pattern; the schema is the present files'."""
@@ -15,9 +17,12 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return events.withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def once_per_key(events: DataFrame, keys: list[str], delay: str = "2 hours") -> DataFrame:
-    """The first event of each key inside the watermark: a repeated result of a job is accepted once."""
-    return events.withWatermark("at", delay).dropDuplicatesWithinWatermark(keys)
+def once_per_key(events: DataFrame, keys: list[str]) -> DataFrame:
+    """The first event of each key: a repeated result of a job is accepted once.
+
+    There is no watermark, as files come in any order of time: every key stays in the state, and no event is late.
+    """
+    return events.dropDuplicates(keys)
 
 
 def queue_metrics(events: DataFrame) -> DataFrame:
@@ -26,9 +31,17 @@ def queue_metrics(events: DataFrame) -> DataFrame:
 
 
 def drain_append(rows: DataFrame) -> DataFrame:
-    """Runs the stream over what is there and returns what it wrote."""
+    """Runs the stream over what is there and returns what it wrote. State is kept on disk, so keys needn't fit in memory."""
     spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "stream")
-    rows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    given = spark.conf.get(_STATE_CLASS, None)
+    spark.conf.set(_STATE_CLASS, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    finally:
+        if given is None:
+            spark.conf.unset(_STATE_CLASS)
+        else:
+            spark.conf.set(_STATE_CLASS, given)
     return spark.read.schema(rows.schema).parquet(f"{folder}/out")
 
 

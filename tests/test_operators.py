@@ -121,3 +121,24 @@ def test_policy_metrics(spark):
     df = spark.createDataFrame(rows, "id int, sha256 string, positive boolean, total_target double, uncertain double, quality_issues array<string>")
     got = {r.id: (r.route, r.reasons, r.priority) for r in review.decide(df).collect()}
     assert got[1] == ("review", ["coverage"], 0.2) and got[2] == ("review", ["uncertainty"], 0.15) and got[3] == ("retake_image", ["blurry"], 1.0)
+
+
+def test_stream_dedupe_takes_files_in_any_order_of_time(spark, tmp_path):
+    import datetime
+    import os
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from frameledger.streaming import jobs as streams
+
+    hours = list(range(70))
+    random.Random(3).shuffle(hours)
+    for k, hour in enumerate(hours):  # the last event of each file is one that all files repeat
+        at = [datetime.datetime(2026, 1, 1) + datetime.timedelta(hours=6 * hour, minutes=m) for m in range(3)]
+        path = tmp_path / f"events-{k:02}.parquet"
+        pq.write_table(pa.table({"event_id": [2 * hour, 2 * hour + 1, 1000], "ts": pa.array(at, pa.timestamp("us"))}), path)
+        os.utime(path, (1_700_000_000 + 10 * k,) * 2)
+    out = streams.drain_append(streams.once_per_key(streams.read_events(spark, f"file://{tmp_path}/event*.parquet"), ["event_id"]).select("event_id"))
+    assert sorted(r.event_id for r in out.collect()) == [*range(140), 1000]
