@@ -2,8 +2,10 @@
 
 The pages of a host are merged into one tree of styles: a node is a path of tags and classes. A node's
 importance combines the entropy of its presentations (the child sequences it has) with that of its
-contents (how far its texts are spread over the pages). Branches of low importance go, beside those
-whose tags, classes or roles say that they are no part of the article.
+contents (how far its texts are spread over the pages); what its tags, classes and roles say of the path is a feature
+of its presentation that lowers or raises it. A text stays if the importance of the path it stands in isn't low.
+
+Each page is parsed once: its texts and their paths are written, and both the tree and the result are made from that.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ from .urlfilter import host_of
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that hold no article text whatever their class.
-_NOISE_TAGS = frozenset("script style noscript template head title nav header footer aside form button select option textarea fieldset iframe object embed svg canvas dialog menu menuitem map audio video".split())
+_NOISE_TAGS = frozenset("script style noscript template head title nav footer aside form button select option textarea fieldset iframe object embed svg canvas dialog menu menuitem map audio video".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Parts of class names and ids that name such elements.
 _NOISE_NAMES = frozenset(
@@ -37,61 +38,81 @@ _MAIN_NAMES = frozenset("article content main post entry story".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _FENCES = frozenset("ul ol dl table select body html article section div".split())
 
-#: Distinct pages a node must be on before its statistics count.
-LEAST_PAGES = 8
+#: What a path's tags, classes and roles say: it holds no article, it is outside of the page's article, nothing, it is in an article.
+NOISE, OUTSIDE, PLAIN, MAIN = range(4)
+#: Factor by which each lowers the importance, and the least that it leaves.
+LEAN = {NOISE: (0.1, 0.0), OUTSIDE: (0.1, 0.0), PLAIN: (1.0, 0.0), MAIN: (0.5, 0.5)}
 LOW_IMPORTANCE = 0.15
 #: Share of the content's entropy in a node's importance; the rest is the presentation's.
 CONTENT_SHARE = 0.9
+#: Pages of a host at which its own tree counts as much as the tree of all hosts.
+PRIOR_PAGES = 4.0
 
 
 class _Node:
-    __slots__ = ("tag", "path", "noise", "main", "named", "children")
+    __slots__ = ("tag", "path", "noise", "main", "children")
 
-    def __init__(self, tag: str, path: int, noise: bool, main: int, named: bool):
-        self.tag, self.path, self.noise, self.main, self.named = tag, path, noise, main, named
+    def __init__(self, tag: str, path: int, noise: bool, main: bool):
+        self.tag, self.path, self.noise, self.main = tag, path, noise, main
         self.children: list[str] = []
 
 
-def _names(value: str | None) -> set[str]:
-    return set(re.split(r"[^a-z0-9]+", (value or "").lower()))
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _speaks(value: str | None) -> tuple[bool, bool]:
+    """Whether a class or id names something that is no article, and whether it names one."""
+    noise = main = False
+    for name in (value or "").lower().split():
+        parts = set(re.split(r"[^a-z0-9]+", name))
+        own = not parts.isdisjoint(_MAIN_NAMES)
+        noise |= not (parts - {"header"} if own else parts).isdisjoint(_NOISE_NAMES)  # the header of a post has its title
+        main |= own
+    return noise, main
 
 
 class Page(HTMLParser):
-    """The blocks of a page: (text, style path, noise, container, prunable), and each path's child sequences.
+    """The blocks of a page: (text, path, presentation). A path stands for its tags, its classes and what they say.
 
-    The container is 2 inside an article, 1 inside a main element, else 0.
+    Memory and time are linear in the page, however deep it nests: a path is a hash of its own tag and its parent's path.
     """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, tuple[int, ...], bool, int, tuple[int, ...]]] = []
-        self.shapes: list[tuple[int, str]] = []
-        self.stack = [_Node("", 0, False, 0, False)]
+        self.found: list[tuple[str, _Node, int]] = []
+        self.stack = [_Node("", 0, False, False)]
+        self.open: dict[str, int] = {}
         self.text: list[str] = []
+        self.has_main = False
         self.feed(html)
         self.close()
         self._end_block()
-        while len(self.stack) > 1:
-            self._pop()
+
+    @property
+    def blocks(self) -> list[tuple[str, int, int, int]]:
+        """(text, path, presentation, lean): where the page has an article, what stands outside of all is none of it."""
+        out = []
+        for text, node, lean in self.found:
+            if lean == PLAIN and self.has_main and not node.main:
+                lean = OUTSIDE
+            out.append((text, _signed(xxhash.xxh3_64_intdigest(bytes([lean]), node.path)), _signed(xxhash.xxh3_64_intdigest(",".join(node.children))), lean))
+        return out
 
     def _end_block(self) -> None:
         words = "".join(self.text).split()
         self.text.clear()
         if words:
             top = self.stack[-1]
-            paths = tuple(n.path for n in self.stack[1:])
-            open_ = tuple(n.path for n in self.stack[1:] if n.main < 2 or n.named)
-            self.blocks.append((" ".join(words), paths, top.noise, top.main, open_))
-
-    def _pop(self) -> None:
-        node = self.stack.pop()
-        self.shapes.append((node.path, ",".join(node.children)))
+            lean = NOISE if top.noise else MAIN if top.main and not top.tag.startswith(".") else PLAIN
+            self.has_main |= lean == MAIN
+            self.found.append((" ".join(words), top, lean))
 
     def _close_to(self, depth: int) -> None:
         while len(self.stack) > depth:
-            if self.stack[-1].tag not in _INLINE:
+            if self.stack[-1].tag.lstrip(".") not in _INLINE:
                 self._end_block()
-            self._pop()
+            self.open[self.stack.pop().tag.lstrip(".")] -= 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -102,41 +123,49 @@ class Page(HTMLParser):
             return
         if tag not in _INLINE:
             self._end_block()
-            for depth in range(len(self.stack) - 1, 0, -1):
-                open_ = self.stack[depth].tag
-                if open_ == "p" or open_ in _CLOSES.get(tag, ()):
-                    self._close_to(depth)
-                    if tag not in ("tr", "td", "th"):
+            closes = _CLOSES.get(tag, ())
+            if self.open.get("p") or any(self.open.get(t) for t in closes):
+                for depth in range(len(self.stack) - 1, 0, -1):
+                    open_ = self.stack[depth].tag.lstrip(".")
+                    if open_ == "p" or open_ in closes:
+                        self._close_to(depth)
+                        if tag not in ("tr", "td", "th"):
+                            break
+                    elif open_ in _FENCES:
                         break
-                elif open_ in _FENCES:
-                    break
         top = self.stack[-1]
-        noise, main, label = top.noise or tag in _NOISE_TAGS, top.main, ""
-        if tag == "article":
-            main = 2
-        elif tag == "main":
-            main = max(main, 1)
+        noise, main, label, own = top.noise or tag in _NOISE_TAGS or (tag == "header" and not top.main), top.main, "", top.tag.startswith(".")
+        strong = tag in ("article", "main")
         if attrs:
             given = dict(attrs)
-            names = _names(given.get("class")) | _names(given.get("id"))
+            (bad, good), (bad_id, good_id) = _speaks(given.get("class")), _speaks(given.get("id"))
             role = (given.get("role") or "").lower()
             style = re.sub(r"\s", "", given.get("style") or "").lower()
-            if names & _NOISE_NAMES or role in _NOISE_ROLES or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in style:
-                noise = noise or tag not in ("html", "body", "article", "main")
-            elif role == "main" or role == "article" or (tag not in _INLINE and tag not in ("html", "body") and names & _MAIN_NAMES):
-                main = max(main, 1)
+            if bad or bad_id or role in _NOISE_ROLES or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in style:
+                noise = noise or (tag not in ("html", "body") and not strong)
+            strong = strong or role in ("main", "article")
             label = "." + ".".join(sorted((given.get("class") or "").split()))
-        style_tag = tag + label
-        top.children.append(style_tag)
-        named = top.named or (top.main == 2 and bool(label) and tag not in _INLINE)
-        self.stack.append(_Node(tag, xxhash.xxh3_64_intdigest(style_tag, top.path), noise, main, named))
+            if main and label != "." and tag not in _INLINE:
+                own = True  # a branch of an article with a class of its own speaks for itself
+            if not strong and tag not in _INLINE and tag not in ("html", "body") and (good or good_id) and not main:
+                main, own = True, False
+        if tag == "header" and main:
+            own = True
+        if strong:
+            main, own = True, False
+        top.children.append(tag + label)
+        said = f"{tag}{label} {noise:d}{main:d}{own:d}"
+        self.stack.append(_Node("." * own + tag, xxhash.xxh3_64_intdigest(said, top.path), noise, main))
+        self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.open.get(tag):
+            return
         for depth in range(len(self.stack) - 1, 0, -1):
-            if self.stack[depth].tag == tag:
+            if self.stack[depth].tag.lstrip(".") == tag:
                 self._close_to(depth)
                 return
 
@@ -144,101 +173,103 @@ class Page(HTMLParser):
         self.text.append(data)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+PARSED = "site long, digest long, template long, texts array<string>, paths array<long>, shapes array<long>, contents array<long>, leans array<int>"
+PARSED_AT_ONCE_CHARS = 4 << 20
 
 
-def _style_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, kind, feature, page): what each path of a page holds; kind 0 is presentation, 1 content.
+def parse_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(id, url, site, digest, template, texts, paths, shapes, contents, leans): the blocks of each page in order.
 
-    A text is content of the path it stands in, a branch being as important as what its leaves hold.
+    ``site`` stands for the host, ``digest`` for the whole page and ``template`` for the set of its paths.
     """
-    for batch in rows:
-        out: list[tuple[str, int, int, int, int]] = []
-
-        def flush() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) if out else [()] * 5
-            made = pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[3:]]], names=["host", "path", "kind", "feature", "page"])
-            out.clear()
-            return made
-
-        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            page = Page(html)
-            digest = _signed(xxhash.xxh3_64_intdigest(html))
-            found = {(path, 0, xxhash.xxh3_64_intdigest(shape)) for path, shape in page.shapes}
-            for text, paths, _, _, _ in page.blocks:
-                if paths:
-                    found.add((paths[-1], 1, xxhash.xxh3_64_intdigest(text)))
-            out += [(host, _signed(path), kind, _signed(feature), digest) for path, kind, feature in found]
-            if len(out) > 50_000:
-                yield flush()
-        yield flush()
-
-
-def low_branches(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW_IMPORTANCE) -> DataFrame:
-    """(host, low): the style paths of low importance on each host, from (host, html) rows.
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            first, size, cols = 0, 0, [[] for _ in range(7)]
+
+            def flush(end: int, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), *[pa.list_(pa.int64())] * 3, pa.list_(pa.int32())]
+                made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+                for c in cols:
+                    c.clear()
+                return pa.RecordBatch.from_arrays([*[batch.column(i).slice(first, end - first) for i in range(3)], *made], names=["id", "url", "site", "digest", "template", "texts", "paths", "shapes", "contents", "leans"])
+
+            for i in range(batch.num_rows):
+                html = batch.column(3)[i].as_py()
+                blocks = Page(html).blocks
+                paths = [b[1] for b in blocks]
+                template = xxhash.xxh3_64_intdigest(",".join(map(str, sorted(set(paths)))))
+                values = (_signed(xxhash.xxh3_64_intdigest(html)), _signed(template), [b[0] for b in blocks], paths, [b[2] for b in blocks], [_signed(xxhash.xxh3_64_intdigest(b[0])) for b in blocks], [b[3] for b in blocks])
+                for c, v in zip(cols, values, strict=True):
+                    c.append(v)
+                size += len(html)
+                if size > PARSED_AT_ONCE_CHARS:
+                    yield flush(i + 1)
+                    first, size = i + 1, 0
+            yield flush(batch.num_rows)
+
+    types = dict(pages.dtypes)
+    named = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.xxhash64(F.coalesce(host_of(F.col(url_col)), F.lit(""))).alias("site"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    return named.mapInArrow(run, f"id {types[id_col]}, url {types[url_col]}, {PARSED}")
+
+
+def importance(parsed: DataFrame) -> DataFrame:
+    """(site, path, lean, m, importance): the style tree's nodes that hold text.
 
     With m distinct pages on a path, a feature on c of them has the entropy log c / log m. Content
     importance is 1 less the mean of that over the path's texts; presentation importance is the entropy
-    of its child sequences. Equal pages count once, so copies of an article don't make it look like
-    a menu.
+    of its child sequences. A path on one page is of importance 1. Equal pages count once, so copies of an
+    article don't make it look like a menu. The tree of all hosts has the same measures; a host's own counts the
+    more the more pages it has (``PRIOR_PAGES``), so that small hosts go by it.
     """
-    rows = pages.select("host", "html").mapInArrow(_style_rows, "host string, path long, kind int, feature long, page long")
-    spread = rows.distinct().groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("c"))
-    m = F.sum(F.when(F.col("kind") == 0, F.col("c")))
-    logs = F.sum(F.when(F.col("kind") == 0, F.col("c") * F.log("c")))
-    each = spread.groupBy("host", "path").agg(
-        m.alias("m"),
-        logs.alias("logs"),
-        F.sum(F.when(F.col("kind") == 1, F.log("c"))).alias("spread"),
-        F.count_if(F.col("kind") == 1).alias("texts"),
-    )
-    each = each.where((F.col("m") >= least_pages) & (F.col("texts") > 0))
-    shape = F.lit(1.0) - F.col("logs") / (F.col("m") * F.log("m"))
-    content = F.lit(1.0) - F.col("spread") / (F.col("texts") * F.log("m"))
-    importance = F.lit(CONTENT_SHARE) * content + F.lit(1 - CONTENT_SHARE) * shape
-    return each.where(importance < low).groupBy("host").agg(F.collect_list("path").alias("low"))
-
-
-def main_text(html: str, low: frozenset[int] = frozenset()) -> str:
-    """The article's blocks, joined by line feeds; ``low`` are style paths to leave out.
-
-    Inside an article only branches with a class of their own are pruned by importance. A page from which
-    pruning would take everything keeps it.
-    """
-    blocks = [b for b in Page(html).blocks if not b[2]]
-    best = max((b[3] for b in blocks), default=0)
-    blocks = [b for b in blocks if b[3] == best] if best else blocks
-    kept = [b for b in blocks if not low.intersection(b[4])] if low else blocks
-    return "\n".join(b[0] for b in kept or blocks)
-
-
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, low: float = LOW_IMPORTANCE) -> DataFrame:
+    each = parsed.select("site", "digest", F.explode(F.arrays_zip("paths", "leans", "shapes", "contents")).alias("b"))
+    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("b.shapes").alias("feature")), F.struct(F.lit(1).alias("kind"), F.col("b.contents").alias("feature"))))
+    rows = each.select("site", "digest", F.col("b.paths").alias("path"), F.col("b.leans").alias("lean"), kinds.alias("f")).select("site", "digest", "path", "lean", "f.*").distinct()
+    counts = store(rows.groupBy("site", "path", "lean", "kind", "feature").agg(F.count(F.lit(1)).alias("c")), fresh_path(parsed.sparkSession, "features"))
+    # a page has as many presentations of a path as it has nodes there that differ, so pages are counted by themselves
+    pages = each.select("site", "digest", F.col("b.paths").alias("path")).distinct().groupBy("site", "path").agg(F.count(F.lit(1)).alias("m"))
+
+    def measured(features: DataFrame, pages: DataFrame, by: list[str]) -> DataFrame:
+        sums = features.groupBy(*by, "lean").agg(
+            F.sum(F.when(F.col("kind") == 0, F.col("c"))).alias("shown"),
+            F.sum(F.when(F.col("kind") == 0, F.col("c") * F.log("c"))).alias("logs"),
+            F.sum(F.when(F.col("kind") == 1, F.log("c"))).alias("spread"),
+            F.count_if(F.col("kind") == 1).alias("texts"),
+        )
+        joined = sums.join(pages, by)
+        log_m = F.log("m")
+        shape = F.least(F.lit(1.0), (F.log("shown") - F.col("logs") / F.col("shown")) / log_m)
+        content = F.lit(1.0) - F.col("spread") / (F.col("texts") * log_m)
+        value = F.when(F.col("m") > 1, F.lit(CONTENT_SHARE) * content + F.lit(1 - CONTENT_SHARE) * shape).otherwise(F.lit(1.0))
+        return joined.select(*by, "lean", "m", value.alias("value"))
+
+    own = measured(counts, pages, ["site", "path"])
+    every = measured(counts.groupBy("path", "lean", "kind", "feature").agg(F.sum("c").alias("c")), pages.groupBy("path").agg(F.sum("m").alias("m")), ["path"])
+    both = own.join(every.select("path", F.col("value").alias("general")), "path")
+    mixed = (F.col("m") * F.col("value") + F.lit(PRIOR_PAGES) * F.col("general")) / (F.col("m") + F.lit(PRIOR_PAGES))
+    factor = F.element_at(F.create_map(*[F.lit(x) for k, (f, _) in LEAN.items() for x in (k, f)]), F.col("lean"))
+    least = F.element_at(F.create_map(*[F.lit(x) for k, (_, b) in LEAN.items() for x in (k, b)]), F.col("lean"))
+    return both.select("site", "path", "lean", "m", (mixed * factor + least).alias("importance"))
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", low: float = LOW_IMPORTANCE) -> DataFrame:
     """Per page (``id_col``, ``url_col``, text, n_chars).
 
-    A null or empty html gives an empty text. Pages whose url is null or has no host count as one host.
+    A null or empty html gives an empty text, and so does a page of low paths only. Pages whose url is null or has no host count as one host.
     Whole pages are read, whatever their length. Repeated rows and null ids are kept; further columns
     are ignored; no rows give no rows.
+
+    What is low is joined to the sets of paths that a host's pages have, of which there are few, and these to the pages.
     """
     spark = pages.sparkSession
-    named = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    lows = store(low_branches(named, least_pages, low), fresh_path(spark, "styles"))
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            sets: dict[bytes, frozenset[int]] = {}
-            texts = []
-            for html, paths in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
-                packed = np.array(paths.as_py() or [], dtype=np.int64)
-                key = packed.tobytes()
-                if key not in sets:
-                    sets[key] = frozenset(packed.view(np.uint64).tolist())
-                texts.append(main_text(html, sets[key]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
-
-    types = dict(pages.dtypes)
-    joined = named.join(lows, "host", "left").select("id", "url", "html", "low")
-    return joined.mapInArrow(run, f"`{id_col}` {types[id_col]}, `{url_col}` {types[url_col]}, text string, n_chars long")
+    parsed = store(parse_pages(pages, id_col, url_col, html_col), fresh_path(spark, "parsed"))
+    lows = importance(parsed).where(F.col("importance") < low).select("site", "path")
+    templates = parsed.groupBy("site", "template").agg(F.first(F.array_distinct("paths")).alias("paths")).select("site", "template", F.explode("paths").alias("path"))
+    pruned = store(templates.join(lows, ["site", "path"]).groupBy("site", "template").agg(F.collect_set("path").alias("low")), fresh_path(spark, "low"))
+    joined = parsed.select("id", "url", "site", "template", "texts", "paths").join(pruned, ["site", "template"], "left")
+    kept = F.filter(F.arrays_zip("texts", "paths"), lambda b: F.col("low").isNull() | ~F.array_contains("low", b["paths"]))
+    text = F.array_join(F.transform(kept, lambda b: b["texts"]), "\n")
+    return joined.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
