@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -20,6 +21,8 @@ from .common import fresh_path, table
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 4 << 20
+#: Ranges that a task reads when there are more than the cores can have at once.
+RANGES_TOGETHER = 16
 READ_BYTES = 1 << 20
 #: What every record begins with.
 HEAD = b"WARC/"
@@ -33,16 +36,17 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _urn(page_id: int) -> str:
-    return f"<urn:page:{page_id}>"
+def _urn(page_id: int | None, number: int = 0) -> str:
+    """A page's name; a page without an id is told from others by a record number."""
+    return f"<urn:record:{number}>" if page_id is None else f"<urn:page:{page_id}>"
 
 
-def record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, number: int = 0) -> bytes:
     """One WARC record. A revisit holds the response's head only, whose Content-Length is the full payload's."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     target = url.replace("\r", "%0D").replace("\n", "%0A")
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_urn(page_id, number)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}"]
     if refers_to is not None:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(refers_to)}", "WARC-Truncated: length"]
     lines += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -67,20 +71,21 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     Of rows with equal payloads of at least ``min_bytes`` bytes that with the smallest id holds the
     payload and the others revisit it; shorter payloads are always held. A null html is an empty
-    payload and a null url an empty one. Of rows with the smallest id each holds the payload. Rows with
-    a null id aren't written, as no record could be told from another. Further columns are ignored.
+    payload and a null url an empty one. Of rows with the smallest id each holds the payload. A row with
+    a null id is a record of its own, named by a number; it revisits a page with an id, and no record revisits it. Further
+    columns are ignored.
 
     Files are written by the text writer, and so through the file system and the commit protocol
     of the cluster: the members' bytes are its lines, and its line separator is the zero byte in
     which every member ends. Repeated payloads are found on their digests, partially aggregated before
     the shuffle.
     """
-    rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumns({"sha": F.sha1(F.col("html").cast("binary")), "bytes": F.octet_length("html").cast("long")})
     digests = rows.where(F.col("bytes") >= min_bytes).select("id", "sha")
     repeated = digests.groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "first")
     joined = rows.join(repeated, "sha", "left")
-    refers = F.when((F.col("bytes") >= min_bytes) & (F.col("first") < F.col("id")), F.col("first"))
+    refers = F.when((F.col("bytes") >= min_bytes) & (F.col("id").isNull() | (F.col("first") < F.col("id"))), F.col("first"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,7 +95,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             for i in range(batch.num_rows):
                 payload = html[i].as_py()
                 digest = base64.b32encode(bytes.fromhex(batch.column(3)[i].as_py())).decode()
-                member = ending_in_zero(_member(record(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), payload, digest, batch.column(4)[i].as_py())))
+                member = ending_in_zero(_member(record(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), payload, digest, batch.column(4)[i].as_py(), batch.column(5)[i].as_py())))
                 out.append(member[:-1])
                 size += len(member)
                 if size > READ_BYTES * 8:
@@ -98,7 +103,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                     out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    members = joined.select("id", "url", "html", "sha", refers.alias("refers_to")).mapInArrow(pack, "value binary")
+    members = joined.select("id", "url", "html", "sha", refers.alias("refers_to"), F.monotonically_increasing_id().alias("number")).mapInArrow(pack, "value binary")
     members.select(F.col("value").cast("string")).write.option("lineSep", "\0").text(path)
 
 
@@ -203,10 +208,15 @@ def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
 
     ``payload_bytes`` is the full payload's length, which a revisit states although its ``payload`` is
     null. Malformed records and bytes between members are passed over. No files give no rows.
+
+    Ranges are small rows, so the number of tasks is set by the bytes that they stand for: one for every ``RANGES_TOGETHER`` of
+    them, or a range each until there is work for every core.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    n_ranges = files.agg(F.sum(F.ceil(F.col("length") / range_bytes)).alias("n")).first()["n"] or 1
+    tasks = max(math.ceil(n_ranges / RANGES_TOGETHER), min(n_ranges, 4 * spark.sparkContext.defaultParallelism))
     ranges = files.where("length > 0").select("path", F.col("length").alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    ranges = ranges.repartition(tasks, F.col("path"), F.col("start"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), *[(n, pa.string()) for n in ("warc_type", "record_id", "target_uri", "refers_to", "payload_digest")], ("payload_bytes", pa.int64()), ("payload", pa.binary())])
