@@ -1,7 +1,7 @@
 """Quality rules as a bitmask ledger, in native expressions only.
 
-``measure`` evaluates every rule once per document and stores the measurements and one failure bit
-per rule. Policies are versioned bit masks applied to the ledger afterwards, and ablations are
+``write_ledger`` evaluates every rule once per document and stores the measurements and one failure bit
+per rule. Policies are versioned bit masks applied to the stored ledger afterwards, and ablations are
 bitwise aggregations of it, so neither reads a text again.
 """
 
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_DELIMITERS, table
+from .common import WORD_DELIMITERS, fresh_path, table
 
 WINDOW_WORDS = 8
 SYMBOLS = "#*$%&|<>"
@@ -27,27 +27,37 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 def repeated_words(words: Column, width: int = WINDOW_WORDS) -> Column:
     """Words that lie in a window of ``width`` words found twice or more, its first place included.
 
-    Windows are hashed and sorted with their places; the places of repeats are then merged. All of it
-    is n log n in the words of one text.
+    The hash of a window is made of those of its halves, so ``width`` is a power of two. Where all hashes of a text differ,
+    which is the common case, nothing else is worked out; else they are sorted with their places, and
+    the places of repeats are merged. All of it is n log n in the words of one text.
     """
+    if width & (width - 1) or width < 2:
+        raise ValueError("the width of a window is a power of two")
 
-    def in_hashes(h: Column) -> Column:
-        spots = F.sequence(F.lit(0), F.size(h) - width)
-        windows = F.array_sort(F.transform(spots, lambda i: F.struct(F.xxhash64(*[F.get(h, i + k) for k in range(width)]).alias("w"), i.alias("i"))))
-        return _let(windows, in_windows)
+    def doubled(h: Column, step: int) -> Column:
+        n = F.size(h) - step
+        return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(1 + step), n), lambda a, b: F.xxhash64(a, b))
+
+    def in_hashes(h: Column, step: int) -> Column:
+        if step == width:
+            return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(repeats(h))
+        return _let(doubled(h, step), lambda x: in_hashes(x, 2 * step))
+
+    def repeats(h: Column) -> Column:
+        return _let(F.sort_array(F.transform(h, lambda w, i: F.struct(w.alias("w"), i.alias("i")))), in_windows)
 
     def in_windows(s: Column) -> Column:
         def again(x: Column, at: Column) -> Column:
             w = x["w"]
             return F.coalesce(w == F.get(s, at - 1)["w"], F.lit(False)) | F.coalesce(w == F.get(s, at + 1)["w"], F.lit(False))
 
-        return _let(F.array_sort(F.transform(F.filter(s, again), lambda x: x["i"])), covered)
+        return _let(F.sort_array(F.transform(F.filter(s, again), lambda x: x["i"])), covered)
 
     def covered(p: Column) -> Column:
         reach = F.transform(p, lambda x, at: F.least(F.lit(width), F.coalesce(F.get(p, at + 1) - x, F.lit(width))))
         return F.aggregate(reach, F.lit(0).cast("long"), lambda total, x: total + x)
 
-    return F.when(F.size(words) < width + 1, F.lit(0).cast("long")).otherwise(_let(F.transform(words, lambda w: F.xxhash64(w)), in_hashes))
+    return F.when(F.size(words) < width + 1, F.lit(0).cast("long")).otherwise(_let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: in_hashes(h, 1)))
 
 
 @dataclass(frozen=True)
@@ -83,36 +93,33 @@ class Policy:
 
 POLICIES = {
     "base": Policy("base", BASE_RULES),
+    "lines": Policy("lines", (*BASE_RULES, "duplicate_lines")),
     "v1": Policy("v1", tuple(r.name for r in RULES)),
 }
 PRODUCTION = POLICIES["v1"]
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The ledger: one row per document with the measurements and ``fail_bits``.
+    """The ledger's rows: one per document with the measurements and ``fail_bits``.
 
     Null and empty texts have no words, so every measurement is 0. Rows are treated one by one:
     repeated rows, null ids and further columns change nothing. No rows give an empty ledger.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = docs.select(
-        F.col(id_col),
+        F.col(id_col).alias("id"),
         text.alias("t"),
-        F.filter(F.split(text, WORD_DELIMITERS), lambda w: w != "").alias("w"),
+        F.array_remove(F.split(text, WORD_DELIMITERS), "").alias("w"),
         F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("l"),
     )
-    bare = F.regexp_replace("t", WORD_DELIMITERS, "")
     measured = words.select(
-        F.col(id_col),
+        F.col("id").alias(id_col),
         F.size("w").cast("long").alias("n_words"),
-        F.char_length(bare).cast("long").alias("word_chars"),
-        (F.char_length("t") - F.char_length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("t", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         F.size("l").cast("long").alias("n_lines"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("w")).alias("n_repeat_words"),
-        F.size(F.filter("w", lambda w: (F.translate(w, _LOWER, "") == w) & (F.translate(w, _UPPER, "") != w))).cast("long").alias("n_upper_words"),
+        F.size(F.filter("w", lambda w: ~w.rlike("[a-z]") & w.rlike("[A-Z]"))).cast("long").alias("n_upper_words"),
     )
     bits = F.lit(0).cast("long")
     for i, rule in enumerate(rules):
@@ -120,15 +127,28 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     return measured.withColumn("fail_bits", bits)
 
 
+def write_ledger(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Evaluates every rule once, writes the ledger to ``path`` as Parquet and returns it as read from there.
+
+    Policies and ablations are then applied to what was written, in this session or a later one (:func:`read_ledger`).
+    """
+    measure(docs, id_col, text_col, rules).write.parquet(path)
+    return read_ledger(docs.sparkSession, path)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def apply_policy(ledger: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Adds ``kept``: no rule of the policy fails."""
+    """Adds ``kept``: no rule of the policy fails. Only the bits are read, so any version can be applied to one ledger."""
     return ledger.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(policy.mask(rules)).cast("long")) == 0)
 
 
 def ablations(ledger: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per rule: documents failing it, failing it alone, and kept if the policy went without it.
 
-    The ledger is first aggregated to the distinct bit patterns, of which there are at most
+    An empty ledger gives no rows. The ledger is first aggregated to the distinct bit patterns, of which there are at most
     2 ** rules, so the second step is independent of the corpus.
     """
     mask = policy.mask(rules)
@@ -144,15 +164,18 @@ def ablations(ledger: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES
     )
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_ledger(table(spark, sf_dir, "documents").select("doc_id", "text"), fresh_path(spark, "ledger"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = measure(table(spark, sf_dir, "documents"))
     base = F.col("fail_bits").bitwiseAND(F.lit(POLICIES["base"].mask()).cast("long")) != 0
-    judged = apply_policy(ledger, PRODUCTION)
+    judged = apply_policy(_stored(spark, sf_dir), PRODUCTION)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (F.col("kept") & ~base).alias("kept"), "n_lines", "n_upper_words", "fail_bits")
 
 
 def query_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ablations(measure(table(spark, sf_dir, "documents")), PRODUCTION)
+    return ablations(_stored(spark, sf_dir), PRODUCTION)
 
 
 _LEDGER_SQL = r"""
