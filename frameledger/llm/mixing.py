@@ -1,9 +1,9 @@
 """Mixing sources to target weights by Pfair scheduling, in native expressions only.
 
-Weights are fractions c / PERIOD. Block i of a source is released at floor(i * PERIOD / c) and due
-at ceil((i + 1) * PERIOD / c); the earliest deadline among the released blocks goes first. With
+Weights are fractions c / period. Block i of a source is released at floor(i * period / c) and due
+at ceil((i + 1) * period / c); the earliest deadline among the released blocks goes first. With
 weights that sum to 1 every block meets its window, so after any number of slots each source has
-had its target share to within less than one block. Windows repeat after PERIOD slots, so one
+had its target share to within less than one block. Windows repeat after a period of slots, so one
 period's schedule, worked out once by a single expression, places every block of any corpus.
 """
 
@@ -12,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh_path, store, table
 
+#: Slots of a period at least, and for each source, of which a period has whole thousands.
 PERIOD = 1000
+SLOTS_A_SOURCE = 10
 BLOCK_ROWS = 16
 #: Parts into which each source is dealt to be numbered, so that a hot source is many tasks' work.
 PARTS = 1024
@@ -77,7 +79,7 @@ def mix(
     source_col: str = "source",
     id_col: str = "doc_id",
     block_rows: int = BLOCK_ROWS,
-    period: int = PERIOD,
+    period: int | None = None,
     parts: int = PARTS,
     flatten: float = FLATTEN,
 ) -> DataFrame:
@@ -89,13 +91,20 @@ def mix(
     that has run out stay empty, and no row is dropped or repeated. Sources without a weight, or
     with weight 0, get the smallest share. A null source is one of its own; null ids come first; rows
     with equal ids follow each other in any order. Columns of these three names are replaced. An empty
-    table gives an empty result. More sources than ``period`` raise an error when the plan is run.
+    table gives an empty result. ``period`` grows with the number of sources unless it is given; then more
+    sources than it has slots are an error.
     """
     made = ["mix_block", "mix_slot", "mix_offset"]
     rows = docs.drop(*made).withColumns({"__key": _key(F.col(source_col)), "__order": F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))})
     # the leading hex digits of the order: parts follow each other in it
     rows = rows.withColumn("__part", F.floor(F.conv(F.substring("__order", 1, 6), 16, 10).cast("long") * parts / (1 << 24)).cast("int"))
-    counts = docs.select(_key(F.col(source_col)).alias("key"), F.floor(F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 6), 16, 10).cast("long") * parts / (1 << 24)).cast("int").alias("part")).groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy(F.col("__key").alias("key"), F.col("__part").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    counts = store(counts, fresh_path(docs.sparkSession, "counts"))  # ``parts`` rows a source at most
+    n_sources = counts.select("key").distinct().count()
+    if period is None:
+        period = max(PERIOD, -(-SLOTS_A_SOURCE * n_sources // PERIOD) * PERIOD)
+    if n_sources > period:
+        raise ValueError(f"{n_sources} sources don't fit into a period of {period} slots")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(F.col("key").alias("__key"), F.col("part").alias("__part"), before.alias("__before"))
     schedule = period_schedule(target_units(counts.groupBy("key").agg(F.sum("n").alias("n")), weights, period, flatten), period)
@@ -119,3 +128,25 @@ def in_order(mixed: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
     return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_offset")
+
+
+#: The same schedule by a recursion over slots, and the same places by one numbering a source.
+SQL = f"""
+WITH RECURSIVE k AS (SELECT doc_id, source, coalesce('=' || source, '0') AS key, md5(coalesce(doc_id::VARCHAR, '')) AS o FROM documents
+), n AS (SELECT key, count(*) AS n FROM k GROUP BY key
+), p AS (SELECT greatest({PERIOD}, (({SLOTS_A_SOURCE} * count(*) + {PERIOD - 1}) // {PERIOD}) * {PERIOD}) AS period, count(*) AS k FROM n
+), x AS (SELECT key, pow(n::DOUBLE, {FLATTEN}::DOUBLE) / sum(pow(n::DOUBLE, {FLATTEN}::DOUBLE)) OVER () * (period - k) AS x, period, k FROM n, p
+), f AS (SELECT key, floor(x)::BIGINT AS f, x - floor(x) AS rest, period, k FROM x
+), u AS (SELECT key, (f + 1 + CASE WHEN row_number() OVER (ORDER BY rest DESC, key) <= period - k - sum(f) OVER () THEN 1 ELSE 0 END)::BIGINT AS c, period FROM f
+), s AS (SELECT list(key ORDER BY key) AS ks, list(c ORDER BY key) AS cs, max(period)::BIGINT AS period FROM u
+), w AS (
+  SELECT 0::BIGINT AS t, list_transform(cs, lambda c: 0::BIGINT) AS had, 0::BIGINT AS pick FROM s
+  UNION ALL SELECT t + 1, list_transform(had, lambda h, i: h + CASE WHEN i = first THEN 1 ELSE 0 END), first::BIGINT FROM (
+    SELECT t, had, list_position(dues, list_min(dues)) AS first FROM (
+      SELECT t, had, list_transform(cs, lambda c, i: CASE WHEN floor(had[i] * period / c::DOUBLE) <= t AND had[i] < c THEN ceil((had[i] + 1) * period / c::DOUBLE) ELSE period * 4.0 END) AS dues
+      FROM w, s WHERE t < period))
+), slots AS (SELECT ks[pick] AS key, cs[pick] AS c, period, t - 1 AS slot, had[pick] - 1 AS nth FROM w, s WHERE t > 0
+), r AS (SELECT doc_id, source, key, row_number() OVER (PARTITION BY key ORDER BY o) - 1 AS place FROM k)
+SELECT doc_id, source, place // {BLOCK_ROWS} AS mix_block, (place // {BLOCK_ROWS}) // c * period + slot AS mix_slot, (place % {BLOCK_ROWS})::INT AS mix_offset
+FROM r JOIN slots ON slots.key = r.key AND nth = (place // {BLOCK_ROWS}) % c
+"""

@@ -21,6 +21,7 @@ QUERIES = {
 SQL = {
     "op1_minhash_near_dedup": neardup.SQL,
     "op2_warc": warc.SQL,
+    "op3_mix_sources": mixing.SQL,
     "op7_url_filter": urlfilter.SQL,
     "op8_chat_perspectives": chat.SQL,
     "op9_quality_rules": quality.SQL,
