@@ -52,6 +52,11 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), _PARTS, 2)
 
 
+def node_of(host: Column) -> Column:
+    """The host's name without user and port: the node it is in the graph of links, at either end of one."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
 def rules_by_host(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """(host, fits): the rules of each host's own name and of every domain above it."""
     labels = F.split("host", r"\.")
@@ -62,9 +67,9 @@ def rules_by_host(hosts: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def host_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(src, dst, w): links between different hosts, counted."""
-    links = pages.select(host_of(F.col(url_col)).alias("src"), F.explode(F.regexp_extract_all(F.col(html_col), F.lit(_LINKS), F.lit(1))).alias("dst"))
-    links = links.select("src", F.regexp_replace(F.regexp_replace(F.translate("dst", _UPPER, _LOWER), "^.*@", ""), ":[0-9]*$", "").alias("dst"))
+    """(src, dst, w): links between the nodes of different hosts, counted."""
+    links = pages.select(node_of(host_of(F.col(url_col))).alias("src"), F.explode(F.regexp_extract_all(F.col(html_col), F.lit(_LINKS), F.lit(1))).alias("dst"))
+    links = links.select("src", node_of(F.translate("dst", _UPPER, _LOWER)).alias("dst"))
     return links.where("src <> dst AND src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
 
 
@@ -73,7 +78,7 @@ def received_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING,
 
     ``edges`` are (src, share, dst), the shares of a source summing to 1. Ranks start at the seeds, only grow, and
     are written to the shared folder every few rounds, until no host's grew by more than ``tolerance`` of
-    itself or of ``least``. Hosts that nothing reaches are left out.
+    itself or of ``least``. What reaches a host without links ends there. Hosts that nothing reaches are left out.
     """
     spark = edges.sparkSession
     start = seeds.select("host", (F.lit(1 - damping) * F.col("seed")).alias("base"))
@@ -108,11 +113,12 @@ def filter_urls(
     """Per page (``id_col``, host, path, rule, verdict, trust, distrust).
 
     A null url or one without ``://`` has an empty host and path, fits no rule and is allowed. Null html
-    has no links. Of equally long rules the later in the alphabet wins. Repeated rows and null ids are
+    has no links. In links a host counts without its user and port. Of equally long rules the later in the alphabet wins. Repeated rows and null ids are
     judged like others, further columns are ignored, no rows give no rows.
     """
     spark = pages.sparkSession
-    given = spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "rule_host string, path string, verdict string")
+    each = F.array(*[F.struct(F.lit(r.host).alias("rule_host"), F.lit(r.path).alias("path"), F.lit(r.verdict).alias("verdict")) for r in rules])
+    given = spark.range(1).select(F.explode(each).alias("r")).select("r.*") if rules else spark.range(0).selectExpr("'' AS rule_host", "'' AS path", "'' AS verdict")
     parts = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     counts = parts.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
     fits = materialize(rules_by_host(counts, given), "fits")
@@ -123,7 +129,7 @@ def filter_urls(
     if edges.isEmpty():  # nothing can be received
         judged = ruled.withColumns({"trust": F.lit(0.0), "distrust": F.lit(0.0)})
     else:
-        by_host = ruled.where("best IS NOT NULL").groupBy("host").agg(F.count_if(F.col("best.verdict") == "allow").alias("good"), F.count_if(F.col("best.verdict") == "block").alias("bad"))
+        by_host = ruled.where("best IS NOT NULL").groupBy(node_of(F.col("host")).alias("host")).agg(F.count_if(F.col("best.verdict") == "allow").alias("good"), F.count_if(F.col("best.verdict") == "block").alias("bad"))
         by_host = materialize(by_host, "seeds")
 
         def seeds(column: str) -> DataFrame:
@@ -136,7 +142,7 @@ def filter_urls(
         trust = received_rank(materialize(shares("src", "dst"), "shares"), seeds("good")).withColumnRenamed("got", "trust")
         distrust = received_rank(materialize(shares("dst", "src"), "shares"), seeds("bad")).withColumnRenamed("got", "distrust")
         scores = materialize(trust.join(distrust, "host", "full"), "scores")
-        judged = ruled.join(scores, "host", "left").withColumns({"trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))})
+        judged = ruled.withColumn("node", node_of(F.col("host"))).join(scores.withColumnRenamed("host", "node"), "node", "left").withColumns({"trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))})
     bad = (F.col("distrust") > least) & (F.col("distrust") > F.col("trust") * ratio)
     verdict = F.coalesce(F.col("best.verdict"), F.when(bad, F.lit("block")).otherwise(F.lit("allow")))
     return judged.select(F.col(id_col), "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), "trust", "distrust")
