@@ -3,7 +3,7 @@
 Every participant of a dialogue gets a rendering in which their turns are the assistant's and the
 other participants' turns are those of named users. A rendering is a sequence of segments, one a
 turn, with character offsets, so that no dialogue has to be gathered into one value; the loss mask
-covers the text and the end mark of the participant's own turns.
+covers the text and the end mark of the participant's own turns. Offsets of blocks of turns come from lengths, so a text moves once.
 """
 
 from __future__ import annotations
@@ -63,18 +63,22 @@ def rotate(
     )
     # null dialogues and turns join and sort like values
     rows = rows.withColumns({"no_conv": F.col("conv").isNull(), "conv_key": F.coalesce(F.col("conv").cast("string"), F.lit("")), "block": F.coalesce(F.floor(F.col("at") / together), F.lit(-(1 << 62)))})
-    people = rows.where(F.col("role") != t.system_role).select("no_conv", "conv_key", F.col("role").alias("perspective")).distinct()
-    wide = rows.join(people, ["no_conv", "conv_key"])
+    named = F.when(F.col("role") == t.system_role, F.lit(t.system)).otherwise(F.concat(F.lit(t.user_before), _safe(F.col("role"), t), F.lit(t.user_after)))
+    rows = rows.withColumns({"named": named, "size": (F.length(named) + F.length("body") + len(t.end)).cast("long")})
+    key = ["no_conv", "conv_key"]
+    # lengths alone give the place at which each block of each rendering starts
+    sizes = rows.groupBy(*key, "block", "role").agg(F.sum("size").alias("size"), F.sum(F.length("named").cast("long") - len(t.assistant)).alias("less"))
+    people = sizes.where(F.col("role") != t.system_role).select(*key, F.col("role").alias("perspective")).distinct()
+    sums = sizes.join(people, key).groupBy(*key, "perspective", "block").agg(F.sum(F.col("size") - F.when(F.col("role") == F.col("perspective"), F.col("less")).otherwise(F.lit(0).cast("long"))).alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy(*key, "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(*key, "block", F.struct("perspective", before.alias("before")).alias("start")).groupBy(*key, "block").agg(F.collect_list("start").alias("starts"))
+    # the texts move once, to their block
+    wide = rows.join(starts, [*key, "block"]).select("*", F.explode("starts").alias("start")).select("*", "start.*")
     own = F.col("role") == F.col("perspective")
-    head = F.when(F.col("role") == t.system_role, F.lit(t.system)).when(own, F.lit(t.assistant)).otherwise(F.concat(F.lit(t.user_before), _safe(F.col("role"), t), F.lit(t.user_after)))
-    wide = wide.withColumns({"head": head, "own": own})
+    wide = wide.withColumns({"own": own, "head": F.when(own, F.lit(t.assistant)).otherwise(F.col("named"))})
     wide = wide.withColumn("size", (F.length("head") + F.length("body") + len(t.end)).cast("long"))
-    key = ["no_conv", "conv_key", "perspective"]
-    sums = wide.groupBy(*key, "block").agg(F.sum("size").alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select(*key, "block", before.alias("before"))
-    inside = F.sum("size").over(Window.partitionBy(*key, "block").orderBy(F.col("at").asc_nulls_first(), "role", "body").rowsBetween(Window.unboundedPreceding, 0))
-    placed = wide.withColumn("upto", inside).join(starts, [*key, "block"])
+    inside = F.sum("size").over(Window.partitionBy(*key, "block", "perspective").orderBy(F.col("at").asc_nulls_first(), "role", "body").rowsBetween(Window.unboundedPreceding, 0))
+    placed = wide.withColumn("upto", inside)
     end = F.col("before") + F.col("upto")
     return placed.select(
         F.col("conv").alias(conv_col),
