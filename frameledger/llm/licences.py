@@ -2,8 +2,9 @@
 
 A first pass over the texts stores, per document, the postings (place, word) of the words that occur
 in a licence template, and nothing later reads a text again. Document frequencies over all
-documents give the words' IDF. A document's licence words are looked up in the templates' postings; each votes
-with its IDF for the places where a template would begin. Where votes that lie within a tolerance could make up
+documents give the words' IDF. A document's licence words of the highest IDF are looked up in the templates' postings: a copy
+that reaches the coverage holds one of each template's rarest words at least. Of the templates found each licence word votes
+with its IDF for the places where the template would begin. Where votes that lie within a tolerance could make up
 the coverage, it is measured, words in order, and the mandatory phrases are verified.
 """
 
@@ -156,6 +157,15 @@ class _Matcher:
             weights = weights / weights.sum()
             postings = [(w, np.flatnonzero(own == w), float(weights[own == w].sum())) for w in sorted(set(own.tolist()))]
             self.templates.append((t.label, own, postings, weights, phrases))
+        #: Word to the templates among whose rarest words it is: without any of these too little is left for the coverage.
+        self.rare: dict[int, list[int]] = {}
+        for i, (_, _, postings, _, _) in enumerate(self.templates):
+            held = 0.0
+            for w, _, share in sorted(postings, key=lambda p: (-idf[p[0]], p[0])):
+                if held > 1 - least + 1e-9:
+                    break
+                self.rare.setdefault(w, []).append(i)
+                held += share
 
     def _begins(self, places: np.ndarray, words: np.ndarray, postings: list, weights: np.ndarray) -> np.ndarray:
         """Where a template's first word would stand so that votes within the tolerance reach the least coverage."""
@@ -190,7 +200,8 @@ class _Matcher:
                 labels.add(label)
         found, score = set(labels), 1.0 if labels else 0.0
         present = set(np.unique(words).tolist())
-        for label, own, postings, weights, phrases in self.templates:
+        for i in sorted({i for w in present for i in self.rare.get(w, ())}):
+            label, own, postings, weights, phrases = self.templates[i]
             if sum(share for w, _, share in postings if w in present) < self.least - 1e-9:
                 continue  # not even all places together would do
             stand = [(k, _runs(places, words, p.tolist())) for k, p in phrases]
