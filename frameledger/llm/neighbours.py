@@ -5,60 +5,79 @@ trees, which are split at medians, and joins, round by round, the neighbours of
 nearer than what a node has. A query starts from its own node and a few common ones and follows the graph: each round
 joins the lists of its nearest nodes not yet followed, until none is left among the best ``beam``.
 
-All rounds are joins on partitions of a bounded number of nodes or queries: a row holds a node's
-whole list, and a vector travels once to a partition, however many pairs there need it.
+All rounds are joins on partitions of a bounded number of bytes: a row holds a node's whole list, packed, and a vector
+travels once to a partition, however many pairs there need it. Pivots are dealt to partitions by the leaves of a tree, so
+that what meets at near pivots meets in few partitions.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, remove, store, table
 
 #: Neighbours in a node's list, and of those pointing back at it how many take part in a join.
-DEGREE = 24
-REVERSE = 24
+DEGREE = 40
+REVERSE = 40
 #: Nodes a cell has at most, and independent sets of cells.
-CELL = 400
-CELL_SETS = 2
+CELL = 4096
+CELL_SETS = 4
 #: NN-descent ends with the round that changed a smaller share of the entries of all lists.
-DELTA = 0.001
+DELTA = 0.05
+#: Pivots of a partition's join, and partitions at least, for every core to have work.
+PIVOTS_TOGETHER = 2048
+LEAST_PARTS = 32
+#: Bytes of vectors that a cell has at most, for long vectors.
+CELL_BYTES = 32 << 20
+#: Levels of a tree that are worked out at once, and nodes of a sample that each of their leaves gets for its bounds.
+LEVELS_AT_ONCE = 6
+LEAF_SAMPLE = 64
 #: Finds that a partition holds before it keeps only each node's best.
-FINDS_TOGETHER = 4_000_000
-#: Nodes of a sample that each leaf of the tree above the cells gets for its bounds.
-LEAF_SAMPLE = 32
+FINDS_TOGETHER = 2_000_000
 #: Share of a vector's length by which its projection is moved by its id, to part vectors that are nearly equal.
 NUDGE = 1e-6
 #: Longest nodes, and nodes by a hash, from which each search starts besides its own.
 ENTRIES = 16
-#: Nodes and queries of a partition's join.
-NODES_TOGETHER = 8192
-QUERIES_TOGETHER = 512
+#: Queries of a partition's join, and partitions at least. A partition's vectors are no more than its queries times those
+#: followed in a round times the links of each.
+QUERIES_TOGETHER = 384
+LEAST_QUERY_PARTS = 8
 #: Nodes among which a search goes on, and those it follows in a round.
-BEAM = 400
-FOLLOW = 128
-SEARCH_ROUNDS = 40
+BEAM = 200
+FOLLOW = 48
 SEED = 20
 
-GRAPH = "node long, nbrs array<long>, sims array<float>"
+#: nbrs and sims are packed 64-bit ids and 32-bit floats, vec 32-bit floats; part is the partition of the node's join.
+GRAPH = "node long, part int, vec binary, nbrs binary, sims binary, worst float"
+FOUND = "node long, nbrs binary, sims binary"
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def _packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Binary rows of ``counts`` values each."""
+    offsets = np.concatenate(([0], np.cumsum(counts * values.itemsize))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def _flat(column: pa.ChunkedArray | pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of packed rows, and how many each row has; null rows have none."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0), np.float32)
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    data = b"".join(v for v in column.to_pylist() if v is not None) if column.null_count else b"".join(column.to_pylist())
+    return np.frombuffer(data, dtype=dtype), sizes // np.dtype(dtype).itemsize
 
 
-def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values, kind))
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    flat, counts = _flat(column, "<f4")
+    return flat.reshape(len(counts), -1) if len(counts) else np.empty((0, 0), np.float32)
 
 
 def _best(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,10 +95,10 @@ def _best(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, keep: int) -> t
     return owner[top], other[top], sim[top]
 
 
-def _graph_rows(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, keep: int) -> pa.Table:
-    owner, other, sim = _best(owner, other, sim, keep)
+def _found_rows(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, keep: int) -> pa.Table:
+    owner, other, sim = _best(owner, other, sim.astype("<f4"), keep)
     nodes, counts = np.unique(owner, return_counts=True)
-    return pa.table({"node": pa.array(nodes, pa.int64()), "nbrs": _lists(other, counts, pa.int64()), "sims": _lists(sim, counts, pa.float32())})
+    return pa.table({"node": pa.array(nodes, pa.int64()), "nbrs": _packed(other.astype("<i8"), counts), "sims": _packed(sim, counts)})
 
 
 def _fresh(df: DataFrame) -> DataFrame:
@@ -87,26 +106,48 @@ def _fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def _part(column: str, parts: int):
+def _part(column: str, parts: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
 
 
-def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str, keep: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes, members): (node, vec) of the distinct vectors that take part, and (node, vec_id) of each
+def sound_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(vec_id, print, exact, vec) of the rows that take part: a digest of the components in double precision, and
+    the components packed as 64-bit and 32-bit floats.
+
+    Of rows with one id that of the smallest print counts. Where lengths differ, vectors of the commonest length, of
+    equally common ones the longest, take part.
+    """
+    v = F.col(vector_col)
+    sized = vectors.where(F.col(id_col).isNotNull() & (F.size(v) > 0)).groupBy(F.size(v).alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    common = sized.orderBy(F.desc("n"), F.desc("size")).limit(1).collect()  # one row
+    dim = common[0]["size"] if common else 1
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) + 0.0
+            good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+            x = x[good]
+            prints = [hashlib.sha256(row.tobytes()).digest()[:16] for row in x]
+            sizes = np.full(len(x), dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.array(prints, pa.binary()), _packed(x.astype("<f8").ravel(), sizes), _packed(x.astype("<f4").ravel(), sizes)], names=["vec_id", "print", "exact", "vec"])
+
+    rows = vectors.where(F.col(id_col).isNotNull() & (F.size(v) == dim)).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
+    sound = rows.mapInArrow(run, "vec_id long, print binary, exact binary, vec binary")
+    return sound.groupBy("vec_id").agg(F.min(F.struct("print", "exact", "vec")).alias("x")).select("vec_id", "x.*")
+
+
+def distinct_vectors(sound: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, members): (node, vec) of the distinct vectors, and (print, node, vec_id) of each
     node's ``keep`` smallest ids. A node is named by its smallest id.
 
     Numbering goes over salted parts first, so that copies of one vector are many tasks' work.
     """
-    v = F.col(vector_col).cast("array<double>")
-    sound = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: x + F.lit(0.0)).alias("vec"))
-    rows = rows.withColumn("print", F.sha2(F.to_binary(F.to_json("vec"), F.lit("utf-8")), 256))
-    salted = rows.select("print", "vec_id", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt"))
+    salted = sound.select("print", "vec_id", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt"))
     some = salted.withColumn("r", F.row_number().over(Window.partitionBy("print", "salt").orderBy("vec_id"))).where(F.col("r") <= keep)
     some = some.withColumn("r", F.row_number().over(Window.partitionBy("print").orderBy("vec_id"))).where(F.col("r") <= keep)
     members = some.select("print", "vec_id", F.min("vec_id").over(Window.partitionBy("print")).alias("node"))
-    nodes = members.where("vec_id = node").select(F.col("vec_id").alias("node")).distinct().join(rows.select(F.col("vec_id").alias("node"), "vec"), "node").dropDuplicates(["node"])
-    return nodes.select("node", "vec"), members.select("node", "vec_id")
+    nodes = members.where("vec_id = node").select("node").join(sound.select(F.col("vec_id").alias("node"), "vec"), "node")
+    return nodes.select("node", "vec"), members.select("print", "node", "vec_id")
 
 
 def _projection(ids: np.ndarray, x: np.ndarray, s: int, level: int) -> np.ndarray:
@@ -117,64 +158,80 @@ def _projection(ids: np.ndarray, x: np.ndarray, s: int, level: int) -> np.ndarra
     return (x * normal).sum(axis=1) + NUDGE * np.sqrt((x * x).sum(axis=1)) * spread
 
 
-def _bounds(ids: np.ndarray, x: np.ndarray, levels: int, s: int) -> list[np.ndarray]:
-    """For each level of a tree the medians of its parts, by a sample of the nodes."""
-    leaf, out = np.zeros(len(ids), np.int64), []
-    for level in range(levels):
-        at = _projection(ids, x, s, level)
-        median = np.array([np.median(at[leaf == k]) if (leaf == k).any() else 0.0 for k in range(1 << level)])
-        out.append(median)
-        leaf = leaf * 2 + (at > median[leaf])
-    return out
+def _deeper(leaves: DataFrame, n: int, at: int, levels: int) -> DataFrame:
+    """Leaves (node, vec, s, leaf) of trees of ``at`` levels split by ``levels`` more.
+
+    Bounds are medians of a sample of each leaf's nodes; neither they nor the sample pass through the driver.
+    """
+    share = max(1, (n >> at) // (LEAF_SAMPLE << levels))
 
+    def bounds(group: pa.Table) -> pa.Table:
+        ids, x, s = group["node"].to_numpy(), _matrix(group["vec"]), group["s"][0].as_py()
+        leaf, out = np.zeros(len(ids), np.int64), []
+        for level in range(levels):
+            p = _projection(ids, x, s, at + level)
+            median = np.array([np.median(p[leaf == k]) if (leaf == k).any() else 0.0 for k in range(1 << level)])
+            out.append(median)
+            leaf = leaf * 2 + (p > median[leaf])
+        return pa.table({"s": pa.array([s], pa.int32()), "leaf": group["leaf"][:1], "bounds": pa.array([np.concatenate(out).tobytes()], pa.binary())})
 
-def _leaves(nodes: DataFrame, bounds: list[list[np.ndarray]]) -> DataFrame:
-    """(node, vec, leaf): each node in one leaf of every set's tree."""
+    sample = leaves.where(F.pmod(F.xxhash64("node", F.lit(at)), F.lit(share)) == 0)
+    made = store(sample.groupBy("s", "leaf").applyInArrow(bounds, "s int, leaf long, bounds binary"), fresh_path(leaves.sparkSession, "bounds"))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            if not len(x):
-                continue
-            for s, levels in enumerate(bounds):
-                leaf = np.zeros(len(ids), np.int64)
-                for level, median in enumerate(levels):
-                    leaf = leaf * 2 + (_projection(ids, x, s, level) > median[leaf])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf * len(bounds) + s)], names=["node", "vec", "leaf"])
-
-    return nodes.select("node", "vec").mapInArrow(run, "node long, vec array<float>, leaf long")
+            ids, x, s, old = batch.column(0).to_numpy(), _matrix(batch.column(1)), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            leaf = old.copy()
+            packed = batch.column(4)
+            for key in np.unique(np.stack((s, old)), axis=1).T:
+                here = np.flatnonzero((s == key[0]) & (old == key[1]))
+                cut = packed[int(here[0])].as_py()  # a leaf that no sampled node is in isn't split
+                medians, inner = np.frombuffer(cut) if cut else np.zeros((1 << levels) - 1), np.zeros(len(here), np.int64)
+                for level in range(levels):
+                    inner = inner * 2 + (_projection(ids[here], x[here], int(key[0]), at + level) > medians[(1 << level) - 1 + inner])
+                leaf[here] = (old[here] << levels) + inner
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(leaf, pa.int64())], names=["node", "vec", "s", "leaf"])
+
+    return leaves.join(made, ["s", "leaf"], "left").select("node", "vec", "s", "leaf", "bounds").mapInArrow(run, "node long, vec binary, s int, leaf long")
+
+
+def tree_leaves(nodes: DataFrame, n: int, sets: int, levels: int) -> DataFrame:
+    """(node, vec, s, leaf): each node in one leaf of every set's tree of ``levels`` levels, split at medians of random projections."""
+    leaves, at = nodes.select("node", "vec", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("s"), F.lit(0).cast("long").alias("leaf")), 0
+    while at < levels:
+        step = min(LEVELS_AT_ONCE, levels - at)
+        leaves, at = _deeper(leaves, n, at, step), at + step
+    return leaves
 
 
 def entry_nodes(nodes: DataFrame, count: int = ENTRIES) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors of the ``count`` longest nodes and of ``count`` by a hash."""
-    length = F.aggregate("vec", F.lit(0.0), lambda total, v: total + v.cast("double") * v)
-    rows = {r["node"]: r["vec"] for order in (length.desc(), F.xxhash64("node")) for r in nodes.orderBy(order, "node").limit(count).collect()}
+
+    def lengths(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            x = _matrix(batch.column(1)).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x * x).sum(axis=1), pa.float64())], names=["node", "vec", "length"])
+
+    sized = nodes.select("node", "vec").mapInArrow(lengths, "node long, vec binary, length double")
+    rows = {r["node"]: np.frombuffer(r["vec"], "<f4") for order in (F.desc("length"), F.xxhash64("node")) for r in sized.orderBy(order, "node").limit(count).collect()}
     return np.array(list(rows), np.int64), np.array(list(rows.values()), np.float32)
 
 
-def first_graph(nodes: DataFrame, n: int, degree: int, cell: int, sets: int, together: int, entries: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Each node's nearest nodes in its cells.
+def first_lists(leaves: DataFrame, degree: int, cell: int, levels: int, entries: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Each node's nearest nodes in its leaf of each set.
 
-    The cells of a set are the leaves of a tree that splits each part at the median of a random projection,
-    so they have like numbers of nodes however the vectors lie. Down to about ``together`` nodes the medians are a sample's;
-    such a leaf is one group, in which they are exact. A node that is alone in a leaf is compared with ``entries``.
+    A leaf of more than ``cell`` nodes is split on at exact medians, so a crowded direction costs no more than others.
+    A node that is alone in a leaf is compared with ``entries``.
     """
-    levels = max(0, math.ceil(math.log2(max(1, n) / together)))
-    bounds: list[list[np.ndarray]] = [[] for _ in range(sets)]
-    if levels:
-        sample = nodes.where(_part("node", max(1, n // (LEAF_SAMPLE << levels))) == 0).select("node", "vec").toArrow()
-        bounds = [_bounds(sample["node"].to_numpy(), _matrix(sample["vec"]), levels, s) for s in range(sets)]
     most = max(cell, 3)  # halves have two nodes at least
 
     def within(group: pa.Table) -> pa.Table:
-        ids, x = group["node"].to_numpy(), _matrix(group["vec"])
-        s = int(group["leaf"][0].as_py()) % sets
+        ids, x, s = group["node"].to_numpy(), _matrix(group["vec"]), group["s"][0].as_py()
         order = np.argsort(ids)
         ids, x = ids[order], x[order]
         if len(ids) == 1:
             other = entries[0] != ids[0]
-            found = (entries[1][other] @ x[0]).astype(np.float32)
-            return _graph_rows(np.repeat(ids, len(found)), entries[0][other], found, degree)
+            return _found_rows(np.repeat(ids, other.sum()), entries[0][other], entries[1][other] @ x[0], degree)
         owners, others, sims = [], [], []
         parts = [(np.arange(len(ids)), levels)]
         while parts:
@@ -185,68 +242,93 @@ def first_graph(nodes: DataFrame, n: int, degree: int, cell: int, sets: int, tog
                 parts += [(at[split[:half]], level + 1), (at[split[half:]], level + 1)]
                 continue
             part, px = ids[at], x[at]
-            sim = px @ px.T
-            np.fill_diagonal(sim, -np.inf)
             k = min(degree, len(part) - 1)
-            top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-            owners.append(np.repeat(part, k))
-            others.append(part[top].ravel())
-            sims.append(np.take_along_axis(sim, top, axis=1).ravel())
-        return _graph_rows(np.concatenate(owners), np.concatenate(others), np.concatenate(sims), degree)
+            for i in range(0, len(part), 512):
+                sim = px[i : i + 512] @ px.T
+                rows = np.arange(len(sim))
+                sim[rows, i + rows] = -np.inf
+                top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+                owners.append(np.repeat(part[i : i + 512], k))
+                others.append(part[top].ravel())
+                sims.append(np.take_along_axis(sim, top, axis=1).ravel())
+        return _found_rows(np.concatenate(owners), np.concatenate(others), np.concatenate(sims), degree)
 
-    return _leaves(nodes, bounds).groupBy("leaf").applyInArrow(within, GRAPH)
+    return leaves.groupBy("s", "leaf").applyInArrow(within, FOUND)
 
 
-def _merge(lists: DataFrame, parts: int, degree: int) -> DataFrame:
-    """Graph rows, several a node, to one a node."""
+def _merge(homes: DataFrame, found: DataFrame, parts: int, degree: int) -> DataFrame:
+    """The graph of ``homes`` (node, part, vec, nbrs, sims), with the finds that are nearer in the lists."""
 
     def run(group: pa.Table) -> pa.Table:
-        nbrs, sims = group["nbrs"].combine_chunks(), group["sims"].combine_chunks()
-        owner = np.repeat(group["node"].to_numpy(), np.diff(nbrs.offsets.to_numpy()))
-        return _graph_rows(owner, nbrs.flatten().to_numpy(), sims.flatten().to_numpy(), degree)
+        given = group.filter(group["vec"].is_valid())
+        (nbrs, counts), (sims, _) = _flat(group["nbrs"], "<i8"), _flat(group["sims"], "<f4")
+        owner, other, sim = _best(np.repeat(group["node"].to_numpy(), counts), nbrs, sims, degree)
+        nodes = given["node"].to_numpy()
+        order = np.argsort(nodes)
+        sizes = np.bincount(np.searchsorted(nodes[order], owner), minlength=len(nodes))
+        ends = np.cumsum(sizes)
+        full = sizes >= degree
+        worst = np.full(len(nodes), -np.inf, np.float32)
+        worst[full] = sim[ends[full] - 1]
+        given = given.take(pa.array(order))
+        return pa.table({"node": given["node"], "part": given["part"], "vec": given["vec"], "nbrs": _packed(other, sizes), "sims": _packed(sim, sizes), "worst": pa.array(worst, pa.float32())})
+
+    both = homes.select("node", "part", "vec", "nbrs", "sims").union(found.select("node", F.lit(None).cast("int"), F.lit(None).cast("binary"), "nbrs", "sims"))
+    return both.withColumn("home", _part("node", parts)).groupBy("home").applyInArrow(run, GRAPH)
 
-    return lists.withColumn("part", _part("node", parts)).groupBy("part").applyInArrow(run, GRAPH)
 
-
-def _edges(graph: DataFrame) -> DataFrame:
-    """(owner, other, sim) rows of a graph."""
+def _links(graph: DataFrame, reverse: int) -> DataFrame:
+    """(node, part, nbrs, back): a node's list and its ``reverse`` nearest that point at it, ranked before they come together."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            nbrs, sims = batch.column(1), batch.column(2)
-            counts = np.diff(nbrs.offsets.to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), counts)), nbrs.flatten(), sims.flatten()], names=["owner", "other", "sim"])
+            (nbrs, counts), (sims, _) = _flat(batch.column(1), "<i8"), _flat(batch.column(2), "<f4")
+            yield pa.RecordBatch.from_arrays([pa.array(nbrs, pa.int64()), pa.array(np.repeat(batch.column(0).to_numpy(), counts)), pa.array(sims, pa.float32())], names=["node", "nbr", "sim"])
 
-    return graph.select("node", "nbrs", "sims").mapInArrow(run, "owner long, other long, sim float")
+    edges = graph.select("node", "nbrs", "sims").mapInArrow(run, "node long, nbr long, sim float")
+    ranked = edges.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "nbr"))).where(F.col("r") <= reverse)
+    return graph.select("node", "part", "nbrs").join(ranked.groupBy("node").agg(F.collect_list("nbr").alias("back")), "node", "left")
 
 
-def descend(graph: DataFrame, nodes: DataFrame, parts: int, degree: int, reverse: int) -> DataFrame:
+def _link_arrays(nbrs: pa.ChunkedArray | pa.Array, back: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    """The ids that each row links to, once each."""
+    if isinstance(back, pa.ChunkedArray):
+        back = back.combine_chunks()
+    flat, counts = _flat(nbrs, "<i8")
+    cuts = np.concatenate(([0], np.cumsum(counts)))
+    more = pc.fill_null(pc.list_value_length(back), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate(([0], np.cumsum(more)))
+    ids = back.flatten().to_numpy(zero_copy_only=False)
+    return [np.unique(np.concatenate((flat[cuts[i] : cuts[i + 1]], ids[ends[i] : ends[i + 1]]))) for i in range(len(counts))]
+
+
+def descend(graph: DataFrame, parts: int, degree: int, reverse: int) -> DataFrame:
     """One round of NN-descent: the pairs that meet at a pivot, where they are nearer than what a node has.
 
-    At a pivot its list meets, and of the nodes that point at it the ``reverse`` nearest, which are ranked before they
-    are brought together. A node takes from a pivot as much as its list has room for. The result is a graph.
+    At a pivot its list meets, and of the nodes that point at it the ``reverse`` nearest. A node takes from a pivot as
+    much as its list has room for. The result is a graph.
     """
-    meets = _links(graph, reverse).withColumn("part", _part("node", parts)).select("part", F.col("node").alias("pivot"), "links")
-    worst = graph.select("node", F.when(F.size("sims") >= degree, F.array_min("sims")).otherwise(F.lit(float("-inf")).cast("float")).alias("worst"))
-    known = nodes.join(worst, "node", "left").select(F.col("node").alias("u"), "vec", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"))
-    needed = meets.select("part", F.explode("links").alias("u")).distinct().join(known, "u")
+    meets = store(_links(graph, reverse), fresh_path(graph.sparkSession, "links"))
+
+    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            links = _link_arrays(batch.column(1), batch.column(2))
+            pairs = np.unique(np.stack((np.repeat(batch.column(0).to_numpy(), [len(b) for b in links]), np.concatenate(links))), axis=1) if links else np.empty((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int32()), pa.array(pairs[1], pa.int64())], names=["part", "u"])
+
+    asked = meets.select("part", "nbrs", "back").mapInArrow(ask, "part int, u long").distinct()
+    needed = asked.join(graph.select(F.col("node").alias("u"), "vec", "worst"), "u")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, x, least = right["u"].to_numpy(), _matrix(right["vec"]), right["worst"].to_numpy()
         order = np.argsort(ids)
         ids, x, least = ids[order], x[order], least[order]
-        lists = left["links"].combine_chunks()
-        at = np.searchsorted(ids, lists.flatten().to_numpy())
-        cuts = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))).astype(int)
         owners, others, sims, held = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)], 0
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            b = at[i:j]
+        for links in _link_arrays(left["nbrs"], left["back"]):
+            b = np.searchsorted(ids, links)
             s = x[b] @ x[b].T
             np.fill_diagonal(s, -np.inf)
-            near = s > least[b][:, None]
-            if len(b) > degree:
-                near &= s >= -np.partition(-s, degree - 1, axis=1)[:, degree - 1 : degree]
-            r, c = np.nonzero(near)
+            r, c = np.nonzero(s > least[b][:, None])
             owners.append(b[r])
             others.append(b[c])
             sims.append(s[r, c])
@@ -254,112 +336,128 @@ def descend(graph: DataFrame, nodes: DataFrame, parts: int, degree: int, reverse
             if held > FINDS_TOGETHER:
                 best = _best(np.concatenate(owners), np.concatenate(others), np.concatenate(sims), degree)
                 (owners, others, sims), held = ([v] for v in best), 0
-        return _graph_rows(ids[np.concatenate(owners)], ids[np.concatenate(others)], np.concatenate(sims).astype(np.float32), degree)
+        return _found_rows(ids[np.concatenate(owners)], ids[np.concatenate(others)], np.concatenate(sims), degree)
 
-    found = _fresh(meets).groupBy("part").cogroup(_fresh(needed).groupBy("part")).applyInArrow(run, GRAPH)
-    return _merge(graph.select("node", "nbrs", "sims").union(found), parts, degree)
+    found = _fresh(meets.select("part", "nbrs", "back")).groupBy("part").cogroup(_fresh(needed).groupBy("part")).applyInArrow(run, FOUND)
+    return _merge(graph, found, parts, degree)
 
 
 def changed_share(old: DataFrame, new: DataFrame) -> float:
     """The share of the entries of ``new``'s lists that ``old``'s don't have."""
-    both = new.select("node", "nbrs").join(old.select("node", F.col("nbrs").alias("was")), "node", "left")
-    fresh = F.size(F.array_except("nbrs", F.coalesce("was", F.expr("cast(array() as array<bigint>)"))))
-    one = both.agg(F.sum(fresh).alias("changed"), F.sum(F.size("nbrs")).alias("whole")).first()
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            changed = whole = 0
+            for now, was in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                now, was = np.frombuffer(now, "<i8"), np.frombuffer(was or b"", "<i8")
+                changed, whole = changed + len(np.setdiff1d(now, was, assume_unique=True)), whole + len(now)
+            yield pa.RecordBatch.from_arrays([pa.array([changed], pa.int64()), pa.array([whole], pa.int64())], names=["changed", "whole"])
+
+    both = new.select("node", "nbrs").join(old.select("node", F.col("nbrs").alias("was")), "node", "left").select("nbrs", "was")
+    one = both.mapInArrow(run, "changed long, whole long").agg(F.sum("changed").alias("changed"), F.sum("whole").alias("whole")).first()
     return (one["changed"] or 0) / (one["whole"] or 1)
 
 
-def build_graph(nodes: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, rounds: int | None = None, cell: int = CELL, sets: int = CELL_SETS, together: int = NODES_TOGETHER) -> DataFrame:
-    """(node, nbrs, sims) of (node, vec): every node's ``degree`` nearest found, nearest first.
+def build_graph(nodes: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, rounds: int | None = None, cell: int = CELL, sets: int = CELL_SETS, together: int = PIVOTS_TOGETHER, delta: float = DELTA) -> DataFrame:
+    """The graph of (node, vec): every node's ``degree`` nearest found, nearest first.
 
-    Rounds go on until one changes less than ``DELTA`` of the entries, or to ``rounds`` if that is given.
+    Rounds go on until one changes less than ``delta`` of the entries, or to ``rounds`` if that is given.
     """
     spark = nodes.sparkSession
-    n = nodes.count()
-    parts = max(1, math.ceil(n / together))
+    counted = nodes.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("vec")).alias("bytes")).first()
+    n = counted["n"]
+    cell = max(3, min(cell, CELL_BYTES // (counted["bytes"] or 1)))
+    levels = max(0, math.ceil(math.log2(max(1, n) / cell)))
+    deep = max(levels, math.ceil(math.log2(max(LEAST_PARTS, n / together))))
+    parts = 1 << deep
     entries = entry_nodes(nodes)
+    leaves = store(tree_leaves(nodes, n, sets, levels), fresh_path(spark, "leaves"))
+    homes = leaves.where("s = 0").select("node", "vec", "s", "leaf")
+    homes = (_deeper(homes, n, levels, deep - levels) if deep > levels else homes).select("node", F.col("leaf").cast("int").alias("part"), "vec", F.expr("X''").alias("nbrs"), F.expr("X''").alias("sims"))
     path = fresh_path(spark, "graph")
-    graph = store(_merge(first_graph(nodes, n, degree, cell, sets, together, entries), parts, degree), path)
+    graph = store(_merge(homes, first_lists(leaves, degree, cell, levels, entries), parts, degree), path)
     share, k = 1.0, 0
-    while k < rounds if rounds is not None else share >= DELTA:
+    while k < rounds if rounds is not None else share >= delta:
         following = fresh_path(spark, "graph")
-        better = store(descend(graph, nodes, parts, degree, reverse), following)
+        better = store(descend(graph, parts, degree, reverse), following)
         share, k = changed_share(graph, better), k + 1
         remove(spark, path)
         graph, path = better, following
     return graph
 
 
-def _links(graph: DataFrame, reverse: int) -> DataFrame:
-    """(node, links): a node's list and its ``reverse`` nearest that point at it."""
-    back = _edges(graph).select(F.col("other").alias("node"), F.col("owner").alias("nbr"), "sim")
-    ranked = back.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "nbr"))).where(F.col("r") <= reverse)
-    lists = ranked.groupBy("node").agg(F.collect_list("nbr").alias("back"))
-    empty = F.expr("cast(array() as array<bigint>)")
-    return graph.join(lists, "node", "full").select("node", F.array_union(F.coalesce("nbrs", empty), F.coalesce("back", empty)).alias("links"))
-
-
-STATE = "q long, nodes binary, sims binary, followed binary, next array<long>"
+STATE = "q long, vec binary, nodes binary, sims binary, followed binary, next array<long>"
 
 
-def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = BEAM, follow: int = FOLLOW, reverse: int = REVERSE, together: int = QUERIES_TOGETHER, rounds: int = SEARCH_ROUNDS, keep: int = 64) -> DataFrame:
+def greedy_search(queries: DataFrame, graph: DataFrame, entries: np.ndarray, beam: int = BEAM, follow: int = FOLLOW, reverse: int = REVERSE, together: int = QUERIES_TOGETHER, keep: int = 64) -> DataFrame:
     """(q, node): the best ``keep`` nodes found for each query node, itself included.
 
     A search starts from its own node's list and from a few nodes that are the same for all, so that a part
     of the graph to which no way leads from the query's can be entered.
     ``queries`` has a column q of nodes. A round follows each query's nearest ``follow`` nodes among its best
-    ``beam`` that haven't been followed; a query of which all have is done and leaves the rounds. Nodes that
-    fell out of a beam can't come back, as what it takes only rises, so none need be remembered.
+    ``beam`` that haven't been followed; a query of which all have is done and leaves the rounds, which end with the
+    last. Nodes that fell out of a beam can't come back, as what it takes only rises, so none need be remembered.
     """
     spark = queries.sparkSession
-    links = store(_links(graph, reverse), fresh_path(spark, "links"))
-    parts = max(1, math.ceil(queries.count() / together))
-    qvec = store(queries.join(nodes.withColumnRenamed("node", "q"), "q").select("q", "vec"), fresh_path(spark, "queries"))
+
+    def join_links(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            links = _link_arrays(batch.column(1), batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.tobytes() for b in links], pa.binary())], names=["node", "links"])
+
+    links = store(_links(graph, reverse).select("node", "nbrs", "back").mapInArrow(join_links, "node long, links binary"), fresh_path(spark, "links"))
+    vectors = graph.select("node", "vec")
+    parts = max(LEAST_QUERY_PARTS, math.ceil(queries.count() / together))
     none = F.lit(None).cast("binary")
-    empty = F.expr("cast(array() as array<bigint>)")
-    entries = F.array(*[F.lit(e).cast("long") for e in entry_nodes(nodes)[0].tolist()]).cast("array<long>")
-    state = qvec.select("q", none.alias("nodes"), none.alias("sims"), none.alias("followed"), F.array("q").alias("next"))
+    state = queries.join(vectors.withColumnRenamed("node", "q"), "q").select("q", "vec", none.alias("nodes"), none.alias("sims"), none.alias("followed"), F.array("q").alias("next"))
+    common = np.unique(entries)
+
+    def reach(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            flat, counts = _flat(batch.column(1), "<i8")
+            part = batch.column(0).to_numpy()
+            pairs = np.stack((np.concatenate((np.repeat(part, counts), np.repeat(np.unique(part), len(common)))), np.concatenate((flat, np.tile(common, len(np.unique(part)))))))
+            pairs = np.unique(pairs, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int32()), pa.array(pairs[1], pa.int64())], names=["part", "node"])
 
     def run(states: pa.Table, data: pa.Table) -> pa.Table:
-        has_list = data["links"].combine_chunks().is_valid()
-        listed, vectors = data.filter(has_list), data.filter(pc.invert(has_list))
-        lists = listed["links"].combine_chunks()
-        met, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py() if len(lists) else np.zeros(1, np.int64)
-        spans = {v: (offsets[i], offsets[i + 1]) for i, v in enumerate(listed["node"].to_pylist())}
-        ids, x = vectors["node"].to_numpy(), _matrix(vectors["vec"])
+        is_vector = data["vec"].is_valid()
+        listed, near = data.filter(pc.invert(is_vector)), data.filter(is_vector)
+        met, counts = _flat(listed["links"], "<i8")
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        spans = {v: (ends[i], ends[i + 1]) for i, v in enumerate(listed["node"].to_pylist())}
+        ids, x = near["node"].to_numpy(), _matrix(near["vec"])
         order = np.argsort(ids)
-        ids, x = ids[order], x[order].astype(np.float64)
-        out: dict[str, list] = {c: [] for c in ("q", "nodes", "sims", "followed", "next")}
+        ids, x = ids[order], x[order]
+        out: dict[str, list] = {c: [] for c in ("q", "vec", "nodes", "sims", "followed", "next")}
         for row in states.to_pylist():
-            q = row["q"]
-            first = row["nodes"] is None
+            q, first = row["q"], row["nodes"] is None
             held = np.array([q]) if first else np.frombuffer(row["nodes"], np.int64)
             sims = np.array([np.inf]) if first else np.frombuffer(row["sims"], np.float64)
             followed = np.zeros(1, bool) if first else np.frombuffer(row["followed"], bool)
             asked = np.array(row["next"], dtype=np.int64)
             followed = followed | np.isin(held, asked)
-            found = [met[slice(*spans[v])] for v in asked.tolist() if v in spans]
+            found = [met[slice(*spans[v])] for v in asked.tolist() if v in spans] + [common] * first
             new = np.setdiff1d(np.concatenate(found), held) if found else np.empty(0, np.int64)
             if len(new):
-                s = x[np.searchsorted(ids, new)] @ np.array(row["vec"], dtype=np.float64)
+                s = x[np.searchsorted(ids, new)].astype(np.float64) @ np.frombuffer(row["vec"], "<f4").astype(np.float64)
                 held, sims, followed = np.concatenate((held, new)), np.concatenate((sims, s)), np.concatenate((followed, np.zeros(len(new), bool)))
                 best = np.lexsort((held, -sims))[:beam]
                 held, sims, followed = held[best], sims[best], followed[best]
-            for c, v in zip(out, (q, held.astype(np.int64).tobytes(), sims.tobytes(), followed.tobytes(), held[~followed][:follow].tolist()), strict=True):
+            for c, v in zip(out, (q, row["vec"], held.astype(np.int64).tobytes(), sims.tobytes(), followed.tobytes(), held[~followed][:follow].tolist()), strict=True):
                 out[c].append(v)
-        return pa.table(out, schema=pa.schema([("q", pa.int64()), ("nodes", pa.binary()), ("sims", pa.binary()), ("followed", pa.binary()), ("next", pa.list_(pa.int64()))]))
+        return pa.table(out, schema=pa.schema([("q", pa.int64()), *[(c, pa.binary()) for c in ("vec", "nodes", "sims", "followed")], ("next", pa.list_(pa.int64()))]))
 
     done: list[DataFrame] = []
-    for k in range(rounds):
-        asked = state.select(_part("q", parts).alias("part"), F.explode("next").alias("node")).distinct()
-        listed = F.coalesce("links", empty)
-        lists = store(asked.join(links, "node", "left").select("part", "node", (listed if k else F.array_union(listed, entries)).alias("links")), fresh_path(spark, "lists"))
-        vectors = lists.select("part", F.explode("links").alias("node")).distinct().join(nodes, "node").select("part", "node", "vec")
-        right = lists.select("part", "node", "links", F.lit(None).cast("array<float>").alias("vec")).union(vectors.select("part", "node", F.lit(None).cast("array<long>").alias("links"), "vec"))
-        left = state.join(qvec, "q").withColumn("part", _part("q", parts))
-        moved = store(_fresh(left).groupBy("part").cogroup(_fresh(right).groupBy("part")).applyInArrow(run, STATE), fresh_path(spark, "beams"))
-        over = (F.size("next") == 0) if k + 1 < rounds else F.lit(True)
-        done.append(moved.where(over).select("q", "nodes"))
-        state = moved.where(~over)
+    while True:
+        state = state.withColumn("part", _part("q", parts))
+        asked = state.select("part", F.explode("next").alias("node")).distinct()
+        lists = store(asked.join(links, "node").select("part", "node", "links"), fresh_path(spark, "lists"))
+        near = lists.select("part", "links").mapInArrow(reach, "part int, node long").distinct().join(vectors, "node")
+        right = lists.select("part", "node", "links", none.alias("vec")).union(near.select("part", "node", none.alias("links"), "vec"))
+        moved = store(_fresh(state).groupBy("part").cogroup(_fresh(right).groupBy("part")).applyInArrow(run, STATE), fresh_path(spark, "beams"))
+        done.append(moved.where(F.size("next") == 0).select("q", "nodes"))
+        state = moved.where(F.size("next") > 0)
         if state.isEmpty():
             break
     found = done[0]
@@ -375,46 +473,45 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam:
     return found.mapInArrow(spell, "q long, node long")
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", **options: int) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", **options: float) -> DataFrame:
     """(query_id, rank, ``id_col``, score): each query's ``k`` nearest other rows by inner product.
 
     Queries are the rows whose id is divisible by ``every``. Scores are sums in double precision over the
     original components in order; ties go to the smaller id. Rows with a null id or a vector that is
-    null, empty, zero or holds nulls or non-finite values take no part. Rows with equal ids count once.
-    Vectors must have one length. Copies of a vector are one node, of which the ``k + 1`` smallest ids can
-    be results; no table row is lost by this, as no list has room for more. An empty table gives no rows.
+    null, empty, zero or holds nulls or non-finite values take no part, nor do vectors of another length than the
+    commonest. Of rows with equal ids one counts (see :func:`sound_vectors`). Copies of a vector are one node, of which the
+    ``k + 1`` smallest ids can be results; no table row is lost by this, as no list has room for more. An empty
+    table gives no rows. Further columns are ignored.
 
-    ``options``: degree, reverse, rounds, cell, sets for the graph, beam and follow for the search.
+    ``options``: degree, reverse, rounds, cell, sets and delta for the graph, beam and follow for the search.
     """
     spark = vectors.sparkSession
-    nodes, members = distinct_vectors(vectors, id_col, vector_col, k + 1)
-    nodes = store(nodes.select("node", F.col("vec").cast("array<float>").alias("vec")), fresh_path(spark, "nodes"))
-    members = store(members, fresh_path(spark, "members"))
-    graph_options = {o: options[o] for o in ("degree", "reverse", "rounds", "cell", "sets") if o in options}
+    sound = store(sound_vectors(vectors, id_col, vector_col), fresh_path(spark, "sound"))
+    nodes, members = distinct_vectors(sound, k + 1)
+    nodes, members = store(nodes, fresh_path(spark, "nodes")), store(members, fresh_path(spark, "members"))
+    graph_options = {o: options[o] for o in ("degree", "reverse", "rounds", "cell", "sets", "delta") if o in options}
     search_options = {o: options[o] for o in ("beam", "follow", "reverse") if o in options}
 
-    asked = vectors.where((F.col(id_col) % every == 0)).select(F.col(id_col).cast("long").alias("query_id")).distinct()
-    print_of = _prints(vectors, id_col, vector_col)
-    query_nodes = store(asked.join(print_of, "query_id").select("query_id", "node"), fresh_path(spark, "asked"))
+    firsts = members.where("vec_id = node").select("print", "node")
+    query_nodes = store(sound.where(F.col("vec_id") % every == 0).join(firsts, "print").select(F.col("vec_id").alias("query_id"), "node"), fresh_path(spark, "asked"))
     graph = build_graph(nodes, **graph_options)
-    found = store(greedy_search(query_nodes.select(F.col("node").alias("q")).distinct(), nodes, graph, keep=2 * k + 1, **search_options), fresh_path(spark, "found"))
+    found = store(greedy_search(query_nodes.select(F.col("node").alias("q")).distinct(), graph, entry_nodes(nodes)[0], keep=2 * k + 1, **search_options), fresh_path(spark, "found"))
     pairs = query_nodes.join(found.select(F.col("q").alias("query_node"), F.col("node").alias("hit")), F.col("node") == F.col("query_node")).select("query_id", "hit")
-    exact = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vec"))
-    q_exact, n_exact = exact.select(F.col("id").alias("query_id"), F.col("vec").alias("x")).dropDuplicates(["query_id"]), exact.select(F.col("id").alias("hit"), F.col("vec").alias("y")).dropDuplicates(["hit"])
-    product = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda total, p: total + p)
-    scored = pairs.join(n_exact, "hit").join(q_exact, "query_id").select("query_id", "hit", product.alias("score"))
-    expanded = scored.join(members.withColumnRenamed("node", "hit"), "hit").where("vec_id <> query_id")
+
+    def product(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            x, y = (_flat(batch.column(i), "<f8")[0].reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, 0)) for i in (2, 3))
+            total = np.zeros(batch.num_rows)
+            for i in range(x.shape[1]):  # one component after the other, as a plain sum goes
+                total += x[:, i] * y[:, i]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total, pa.float64())], names=["query_id", "hit", "score"])
+
+    both = pairs.join(sound.select(F.col("vec_id").alias("hit"), F.col("exact").alias("y")), "hit").join(sound.select(F.col("vec_id").alias("query_id"), F.col("exact").alias("x")), "query_id")
+    scored = both.select("query_id", "hit", "x", "y").mapInArrow(product, "query_id long, hit long, score double")
+    expanded = scored.join(members.select(F.col("node").alias("hit"), "vec_id"), "hit").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return expanded.select("query_id", rank.alias("rank"), F.col("vec_id").alias(id_col), "score").where(F.col("rank") <= k)
 
 
-def _prints(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(query_id, node) of every row that takes part."""
-    v = F.col(vector_col).cast("array<double>")
-    rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.sha2(F.to_binary(F.to_json(F.transform(v, lambda x: x + F.lit(0.0))), F.lit("utf-8")), 256).alias("print"))
-    firsts = rows.groupBy("print").agg(F.min("query_id").alias("node"))
-    return rows.join(firsts, "print").select("query_id", "node")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import itertools
+import math
 import os
 import random
 
@@ -94,21 +95,28 @@ def pages(spark, rows):
 def test_warc_round_trip_over_all_splits(spark, folder):
     rng = random.Random(1)
     rows = [(i, f"http://h/{i}", rng.choice([None, "", "same", "".join(rng.choices("abc é\n", k=rng.randint(0, 4000)))]), 1) for i in range(120)]
-    rows += [(500, None, "x" * (17 << 20), 1), (None, "u", "lost", 1)]
+    rows += [(500, None, "x" * (17 << 20), 1), (None, "u", "nameless", 1), (None, "u", "nameless", 1), (None, "u", "same", 1)]
     warc.write_archives(pages(spark, rows), folder)
     data = [gzip.decompress(open(os.path.join(folder[7:], f), "rb").read()) for f in os.listdir(folder[7:]) if f.startswith("part")]
-    assert sum(d.count(b"WARC/1.1\r\n") for d in data) == 121
+    assert sum(d.count(b"WARC/1.1\r\n") for d in data) == 124
     first = {}
     for i, _, html, _ in rows:
         if i is not None:
             first.setdefault(html or "", i)
     want = {i: (len((h or "").encode()), warc.base32_sha1((h or "").encode()), None if first[h or ""] == i else first[h or ""]) for i, _, h, _ in rows if i is not None}
     for size in (997, 1 << 20):
-        got = {}
-        for r in warc.read_archives(spark, folder, size).drop("payload").collect() if size > 1000 else warc.read_archives(spark, folder, 64 << 10).drop("payload").collect():
+        got, nameless = {}, []
+        found = warc.read_archives(spark, folder, max(size, 64 << 10)).drop("payload")
+        if size < 1000:
+            assert found.select(F.spark_partition_id()).distinct().count() > 1  # not one task reads all
+        for r in found.collect():
             refers = int(r.refers_to[10:-1]) if r.refers_to else None
+            if r.record_id.startswith("<urn:record:"):
+                nameless.append((r.warc_type, r.payload_bytes, refers))
+                continue
             got[int(r.record_id[10:-1])] = (r.payload_bytes, r.payload_digest[5:], refers)
         assert got == want
+        assert sorted(nameless, key=str) == [("response", 8, None), ("response", 8, None), ("revisit", 4, first["same"])]
 
 
 def test_warc_min_bytes_and_empty(spark, folder):
@@ -172,6 +180,80 @@ def test_extract_drops_what_a_site_repeats(spark):
     assert {r.text for r in extract.extract(pages(spark, copies)).collect()} == {"Same"}
 
 
+def brute_extract(rows, low=extract.LOW_IMPORTANCE):
+    """The style tree by plain loops over (host, html)."""
+    pages_ = [(h, x, extract.Page(x).blocks) for h, x in rows]
+
+    def tree(group):
+        on, features = {}, {}
+        for key, html, blocks in group:
+            for text, path, shape, _ in blocks:
+                on.setdefault(path, set()).add((key, html))
+                for kind, feature in ((0, shape), (1, text)):
+                    features.setdefault(path, {}).setdefault((kind, feature), set()).add((key, html))
+        out = {}
+        for path, m in ((p, len(v)) for p, v in on.items()):
+            if m == 1:
+                out[path] = (1, 1.0)
+                continue
+            shown = [len(v) for (k, _), v in features[path].items() if k == 0]
+            spread = [math.log(len(v)) / math.log(m) for (k, _), v in features[path].items() if k == 1]
+            shape = min(1.0, -sum(c / sum(shown) * math.log(c / sum(shown)) for c in shown) / math.log(m))
+            out[path] = (m, 0.9 * (1 - sum(spread) / len(spread)) + 0.1 * shape)
+        return out
+
+    whole = tree([(h, x, b) for h, x, b in pages_])
+    own = {host: tree([t for t in pages_ if t[0] == host]) for host in {h for h, _, _ in pages_}}
+    out = []
+    for host, _, blocks in pages_:
+        kept = []
+        for text, path, _, lean in blocks:
+            m, value = own[host][path]
+            factor, least = extract.LEAN[lean]
+            if (m * value + extract.PRIOR_PAGES * whole[path][1]) / (m + extract.PRIOR_PAGES) * factor + least >= low:
+                kept.append(text)
+        out.append("\n".join(kept))
+    return out
+
+
+def test_extract_equals_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(90):
+        menu = "".join(f"<li>{rng.choice(['home', 'news', 'shop', 'jobs'])}" for _ in range(3))
+        side = rng.choice(["<div class=box>Most read</div>", "<div class=box>Most read</div><div>x <i>y</i></div>", f"<div class=box>tip {i}</div>", ""])
+        body = rng.choice(["<article><h1>A{0}</h1><p>Text {0}</p><div class=promo>Buy</div><div class=more>Also read</div></article>", "<div class=c1><p>Text {0}</p><p>Same end</p></div>", "<main><p>Main {0}</p></main><article><p>Teaser {0}</p></article>"]).format(rng.randint(0, 40))
+        rows.append((rng.choice(["a", "b", "b", "b", "c", f"h{i}"]), f"<body><ul class=m>{menu}</ul>{side}{body}<div class=f>All rights reserved</div></body>"))
+    rows += [("a", ""), ("a", rows[0][1]), ("a", rows[0][1])]
+    df = pages(spark, [(i, f"http://{h}/x", x, 0) for i, (h, x) in enumerate(rows)])
+    got = {r.page_id: r.text for r in extract.extract(df).collect()}
+    assert [got[i] for i in range(len(rows))] == brute_extract(rows)
+    assert any("All rights" in t for t in got.values()) and any("\n" in t and "All rights" not in t for t in got.values())
+
+
+def test_extract_of_the_given_pages_depends_on_the_tree(spark):
+    given = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.text for r in extract.extract(given).collect()}
+    rows = [(r.page_id, (r.url or "").partition("://")[2].partition("/")[0].lower(), r.html or "") for r in given.collect()]
+    assert [got[i] for i, _, _ in rows] == brute_extract([r[1:] for r in rows])
+    off = {r.page_id: r.text for r in extract.extract(given, low=-1.0).collect()}
+    assert sum(off[i] != got[i] for i in got) > len(got) / 2
+
+
+def test_extract_cases(spark):
+    deep = "<div>" * 30_000 + "<i>" * 30_000 + "end"
+    cases = {
+        "<main><p>Main story</p></main><article><p>Teaser</p></article><div>outside</div>": "Main story\nTeaser",
+        "<article><div class='post-header'><h1>Title</h1></div><header><p>Lead</p></header><div class='site notice'>n</div><p>T</p></article>": "Title\nLead\nT",
+        "<div class=post><p>a</p><div class='post-footer'>f</div></div><p>rest</p>": "a",
+        "<header>site</header><p>one<p>two": "one\ntwo",
+        deep: "end",
+    }
+    rows = [(i, f"http://h{i}/", html, 0) for i, html in enumerate(cases)] * 2 + [(None, "http://n/", "<p>null id</p>", 0)]
+    got = sorted((-1 if r.page_id is None else r.page_id, r.text) for r in extract.extract(pages(spark, rows)).collect())
+    assert got == sorted([(i, t) for i, t in enumerate(cases.values())] * 2 + [(-1, "null id")])
+
+
 # 5
 
 
@@ -225,6 +307,21 @@ def test_neighbours_recall_and_edges(spark):
     assert neighbours.nearest(df.where("false")).count() == 0
 
 
+def test_neighbours_of_unequal_lengths_repeated_ids_and_ties(spark):
+    rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (20, [0.5, 0.5]), (3, [1.0, 0.0]), (4, [1.0, 0.0]), (5, [1.0]), (6, [1.0, 2.0, 3.0]), (7, []), (8, [-1.0, -0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.nearest(df).collect())
+    assert got == [(0, 1, 3, 1.0), (0, 2, 4, 1.0), (0, 3, 20, 0.5), (0, 4, 8, -1.0), (20, 1, 0, 0.5), (20, 2, 3, 0.5), (20, 3, 4, 0.5), (20, 4, 8, -0.5)]
+
+
+def test_neighbours_trees_of_many_levels_keep_every_node(spark):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(rng.standard_normal((3000, 4)))], "node long, vec array<float>")
+    nodes = neighbours.sound_vectors(df, "node", "vec").selectExpr("vec_id AS node", "vec").cache()
+    leaves = neighbours.tree_leaves(nodes, 3000, 2, 8).groupBy("s", "leaf").count().collect()
+    assert sum(r["count"] for r in leaves) == 6000 and len(leaves) > 400 and max(r["count"] for r in leaves) < 60
+
+
 @pytest.mark.parametrize("kind", ["common direction", "hot cluster"])
 def test_neighbours_every_node_is_in_the_graph(spark, kind):
     rng = np.random.default_rng(7)
@@ -235,9 +332,9 @@ def test_neighbours_every_node_is_in_the_graph(spark, kind):
     else:
         x[:300] = x[0] * 3 + 0.01 * rng.standard_normal((300, 16))
     df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
-    nodes = df.selectExpr("vec_id AS node", "embedding AS vec").cache()
+    nodes = neighbours.sound_vectors(df, "vec_id", "embedding").selectExpr("vec_id AS node", "vec").cache()
     first = neighbours.build_graph(nodes, rounds=0, cell=8, together=100)
-    assert sorted(r.node for r in first.where("size(nbrs) > 0").collect()) == list(range(900))
+    assert sorted(r.node for r in first.where("octet_length(nbrs) > 0").collect()) == list(range(900))
     got = {}
     for r in neighbours.nearest(df, every=10, cell=8).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
@@ -251,10 +348,11 @@ def test_neighbours_descend_until_lists_stay(spark):
     rng = np.random.default_rng(8)
     x = rng.standard_normal((1500, 12)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    nodes = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "node long, vec array<float>").cache()
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "node long, vec array<float>")
+    nodes = neighbours.sound_vectors(df, "node", "vec").selectExpr("vec_id AS node", "vec").cache()
     # cells this small leave so much to be found that three rounds don't do
-    graph = neighbours.build_graph(nodes, degree=10, reverse=10, cell=8, sets=2)
-    got = {r.node: set(r.nbrs) for r in graph.collect()}
+    graph = neighbours.build_graph(nodes, degree=10, reverse=10, cell=8, sets=2, delta=0.001)
+    got = {r.node: set(np.frombuffer(r.nbrs, "<i8").tolist()) for r in graph.collect()}
     s = x @ x.T
     np.fill_diagonal(s, -np.inf)
     best = np.argsort(-s, axis=1)[:, :10]
