@@ -17,33 +17,40 @@ from frameledger.llm.common import materialize, table
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that fail a rule of the production policy (operator 9).
 
-    Judged row by row in one pass: the ledger's id is the row itself, so repeated ids stay apart.
+    The ledger's id is the row itself, so repeated and null ids stay apart, and a row leaves by its bits in the pass that
+    measures it. It leaves through an array of one or no row: a filter would be pushed into the measuring, which would then
+    be done for every use of a word list. A null text has no words and goes; no rows give no rows.
     """
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
     judged = quality.apply_policy(quality.measure(rows, "row", "text"), quality.PRODUCTION)
-    return judged.where("kept").select("row.*")
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each near-duplicate component (operator 1).
 
-    One row stays of rows that share an id; rows without an id all stay.
+    Of rows that share an id that of the smallest text stays, of equal texts that of the smallest other columns; rows without an id all
+    stay. No rows give no rows.
     """
-    kept = neardup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    kept = neardup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id")
+    single = named.where("n = 1").select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = named.where("n > 1").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row")).select("doc_id", "row.*").select(*docs.columns)
+    return single.unionByName(one).unionByName(docs.where("doc_id IS NULL"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts the rows in the order that gives each source its target weight throughout (operator 3).
 
-    The order is the files' order and the rows' order within them; every row stays.
+    The order is the files' order and the rows' order within them; every row stays, a null source being one of its own,
+    null ids coming first and repeated rows following each other. No rows give no rows.
     """
     return mixing.in_order(mixing.mix(docs)).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes every text and decodes it again (operator 5)."""
+    """Encodes every text and decodes it again (operator 5); a null text has no tokens, and no rows give no rows."""
     return bpe.digests(docs)
 
 

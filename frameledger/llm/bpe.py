@@ -32,7 +32,7 @@ _GAPS = regex.compile(f"[{_SPACE}]+")
 _CONTROLS = re.compile("[\x1c-\x1f]")
 WORD_END = "</w>"
 #: Runs of characters remembered from one batch to the next.
-CACHE_RUNS = 400_000
+CACHE_RUNS = 120_000
 
 
 def byte_symbols() -> list[str]:
@@ -234,7 +234,7 @@ class WordBpe:
 
 
 _LOADED: dict[int, WordBpe] = {}
-TEXTS_AT_ONCE_CHARS = 4 << 20
+TEXTS_AT_ONCE_CHARS = 2 << 20
 
 
 def _loaded(content: str) -> WordBpe:
