@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .operators import duplicates, jobs, metrics, models, review, splits, statistics
 from .plans import views as V
-from .plans.views import AUDIT_IMAGES, AUDITS, FEEDBACK, FRAME_PAIRS, FRAMES, PX, SCORED, TRIALS, table
+from .plans.views import AUDIT_IMAGES, AUDITS, COPIES, FEEDBACK, FRAME_PAIRS, FRAMES, PX, SCORED, TRIALS, table
 from .schemas import CLASSES, TARGETS
 from .streaming import jobs as streams
 
@@ -129,18 +129,23 @@ def time_block_groups(spark, d):
     return px.groupBy(metrics.time_block(F.col("image_id"), F.col("frame_index"), 1_000_000).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("t") == F.col("p")).alias("n_right"))
 
 
+_GALLERIES = [*[f"{side}_{CLASSES[c]}" for c in TARGETS for side in ("fp", "fn")], "coverage_error", "confident_wrong", "uncertain_right"]
+_SIDES_OF = {"fp": "p", "fn": "t"}
+
+
 @query(
-    f"WITH {CELLS}, {SIDES}, k AS (SELECT image_id, sum(CASE WHEN cls = 1 THEN pred - tp ELSE 0 END)::DOUBLE AS fp_cardboard, sum(CASE WHEN cls = 1 THEN truth - tp ELSE 0 END)::DOUBLE AS fn_cardboard, sum(CASE WHEN cls = 4 THEN pred - tp ELSE 0 END)::DOUBLE AS fp_metal FROM sides GROUP BY image_id),"
-    " g AS (SELECT * FROM k UNPIVOT (key FOR gallery IN (fp_cardboard, fn_cardboard, fp_metal))), r AS (SELECT *, row_number() OVER (PARTITION BY gallery ORDER BY key DESC, image_id) AS rank FROM g WHERE key > 0) SELECT gallery, rank, image_id, key FROM r WHERE rank <= 8"
+    f"WITH {PX}, k AS (SELECT image_id, "
+    + ", ".join(f"count_if({_SIDES_OF[side]} = {c} AND t <> p)::DOUBLE AS {side}_{CLASSES[c]}" for c in TARGETS for side in ("fp", "fn"))
+    + ", abs(count_if(p BETWEEN 1 AND 4) - count_if(t BETWEEN 1 AND 4)) / count(*)::DOUBLE AS coverage_error, count_if(t <> p AND value > 90)::DOUBLE AS confident_wrong, count_if(t = p AND value < 10)::DOUBLE AS uncertain_right FROM px WHERE t <> 255 GROUP BY image_id),"
+    f" g AS (SELECT * FROM k UNPIVOT (key FOR gallery IN ({', '.join(_GALLERIES)}))), r AS (SELECT *, row_number() OVER (PARTITION BY gallery ORDER BY key DESC, image_id) AS rank FROM g WHERE key > 0) SELECT gallery, rank, image_id, round(key, 9) AS key FROM r WHERE rank <= 8"
 )
 def gallery_topk(spark, d):
-    c = metrics.class_counts(metrics.confusion_cells(V.pixels(spark, d), ["image_id"]), ["image_id"])
-
-    def total(cls: int, side: str) -> Column:
-        return F.sum(F.when(F.col("cls") == cls, F.col(side) - F.col("tp")).otherwise(0))
-
-    stats = c.groupBy("image_id").agg(total(1, "pred").alias("fp_cardboard"), total(1, "truth").alias("fn_cardboard"), total(4, "pred").alias("fp_metal"))
-    return metrics.top_per_gallery(stats, ["fp_cardboard", "fn_cardboard", "fp_metal"], 8, "image_id")
+    """The images of most false and missed pixels of each class, of the largest coverage error, and of confident or lucky pixels."""
+    wrong = F.col("t") != F.col("p")
+    counts = [F.count_if((F.col(_SIDES_OF[side]) == c) & wrong).alias(f"{side}_{CLASSES[c]}") for c in TARGETS for side in ("fp", "fn")]
+    error = F.abs(F.count_if(F.col("p").isin(*TARGETS)) - F.count_if(F.col("t").isin(*TARGETS))) / F.count(F.lit(1))
+    stats = V.pixels(spark, d).where("t <> 255").groupBy("image_id").agg(*counts, error.alias("coverage_error"), F.count_if(wrong & (F.col("value") > 90)).alias("confident_wrong"), F.count_if(~wrong & (F.col("value") < 10)).alias("uncertain_right"))
+    return metrics.top_per_gallery(stats, _GALLERIES, 8, "image_id").withColumn("key", F.round("key", 9))
 
 
 @query(f"WITH {PX}, v AS (SELECT image_id, avg(value) AS v FROM px GROUP BY image_id), q AS (SELECT quantile_cont(v, 1/3::DOUBLE) AS a, quantile_cont(v, 2/3::DOUBLE) AS b FROM v) SELECT (CASE WHEN a <= v THEN 1 ELSE 0 END + CASE WHEN b <= v THEN 1 ELSE 0 END) AS bin, count(*) AS n FROM v, q GROUP BY 1")
@@ -226,9 +231,9 @@ def policy_grid(spark, d):
     return r6(review.policy_grid(V.scored(spark, d), GRID), "review_rate", "recall", "false_alarm_share")
 
 
-@query(f"WITH {GRID_SQL} SELECT idx, coverage, uncertain, {_RATES} FROM rates r WHERE r.recall >= 0.9 ORDER BY r.review_rate, r.false_alarm_share, idx LIMIT 1")
+@query(f"WITH {GRID_SQL} SELECT idx, coverage, uncertain, {_RATES} FROM rates r WHERE r.recall >= 0.95 ORDER BY r.review_rate, r.false_alarm_share, idx LIMIT 1")
 def policy_select(spark, d):
-    return r6(review.select_policy(review.policy_grid(V.scored(spark, d), GRID), 0.9), "review_rate", "recall", "false_alarm_share")
+    return r6(review.select_policy(review.policy_grid(V.scored(spark, d), GRID), 0.95), "review_rate", "recall", "false_alarm_share")
 
 
 # duplicates and splits
@@ -244,13 +249,16 @@ _BITS = [(r * 8 + c) for r in range(8) for c in range(7)]
 DHASH_SQL = "h AS (SELECT vec_id AS image_id, " + " + ".join(f"(CASE WHEN embedding[{i + 2}] > embedding[{i + 1}] THEN {1 << (55 - k)} ELSE 0 END)::BIGINT" for k, i in enumerate(_BITS)) + " AS dhash FROM embeddings)"
 
 
-def _dhash(spark, d):
-    return V.grey_images(spark, d).select("image_id", S.row_difference_bits(F.col("pixels"), 8, 8).alias("dhash"))
+COPIES_SQL = f"{COPIES}, {DHASH_SQL.replace('FROM embeddings', 'FROM copies')}"
+
+
+def _hashed(images: DataFrame) -> DataFrame:
+    return images.select("image_id", S.row_difference_bits(F.col("pixels"), 8, 8).alias("dhash"))
 
 
 @query(f"WITH {DHASH_SQL} SELECT image_id, dhash FROM h")
 def dhash_bits(spark, d):
-    return _dhash(spark, d)
+    return _hashed(V.grey_images(spark, d))
 
 
 @query("WITH v AS (SELECT vec_id, embedding[2:64] AS e FROM embeddings), m AS (SELECT vec_id, e, list_sort(e)[32] AS m FROM v) SELECT vec_id AS image_id, list_reduce(list_prepend(0::BIGINT, list_transform(e, lambda x: (x > m)::BIGINT)), lambda a, b: a * 2 + b) AS phash FROM m")
@@ -258,21 +266,21 @@ def phash_bits(spark, d):
     return V.grey_images(spark, d).select("image_id", S.median_bits(F.col("pixels"), 64).alias("phash"))
 
 
-@query(f"WITH {DHASH_SQL} SELECT a.image_id AS id_a, b.image_id AS id_b, bit_count(xor(a.dhash, b.dhash))::BIGINT AS distance FROM h a JOIN h b ON a.image_id < b.image_id WHERE bit_count(xor(a.dhash, b.dhash)) <= 12")
+@query(f"WITH {COPIES_SQL} SELECT a.image_id AS id_a, b.image_id AS id_b, bit_count(xor(a.dhash, b.dhash))::BIGINT AS distance FROM h a JOIN h b ON a.image_id < b.image_id WHERE bit_count(xor(a.dhash, b.dhash)) <= 6")
 def near_pairs_banded(spark, d):
-    return duplicates.hamming_pairs(_dhash(spark, d), "image_id", "dhash", 12, 56)
+    return duplicates.hamming_pairs(_hashed(V.images_with_copies(spark, d)), "image_id", "dhash", 6, 56)
 
 
 @query(
-    f"WITH {DHASH_SQL}, p AS (SELECT a.image_id AS a, b.image_id AS b FROM h a JOIN h b ON a.image_id < b.image_id WHERE bit_count(xor(a.dhash, b.dhash)) <= 12), s AS (SELECT vec_id, CASE vec_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split FROM embeddings)"
+    f"WITH {COPIES_SQL}, p AS (SELECT a.image_id AS a, b.image_id AS b FROM h a JOIN h b ON a.image_id < b.image_id WHERE bit_count(xor(a.dhash, b.dhash)) <= 6), s AS (SELECT vec_id, CASE (vec_id // 3) % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split FROM copies)"
     " SELECT array_to_string(list_sort([x.split, y.split]), '|') AS splits, count(*) AS n, count_if(x.split <> y.split) AS n_cross FROM p JOIN s x ON x.vec_id = a JOIN s y ON y.vec_id = b GROUP BY 1"
 )
 def dup_summary(spark, d):
     def split(c: str) -> Column:
-        r = F.col(c) % 10
+        r = F.floor(F.col(c) / 3) % 10
         return F.when(r == 0, "test").when(r == 1, "val").otherwise("train")
 
-    pairs = duplicates.hamming_pairs(_dhash(spark, d), "image_id", "dhash", 12, 56)
+    pairs = duplicates.hamming_pairs(_hashed(V.images_with_copies(spark, d)), "image_id", "dhash", 6, 56)
     return duplicates.duplicate_summary(pairs.select(split("id_a").alias("split_a"), split("id_b").alias("split_b")))
 
 
@@ -312,7 +320,10 @@ def unseen_sequences(spark, d):
     return _assigned(spark, d).where("unseen_sequence").select("sequence_id").distinct()
 
 
-@query()
+@query(
+    f"WITH {SPLIT_SQL}, h AS (SELECT sha256(concat_ws(',', coalesce(image_id::VARCHAR, ''), coalesce(official_split, ''), coalesce(split, ''), coalesce(exclusion_reason, ''), coalesce(sequence_id::VARCHAR, ''), coalesce(frame_index::VARCHAR, ''), coalesce(unseen_sequence::VARCHAR, ''))) AS h FROM s4),"
+    " q AS (SELECT substr(h, 1, 3) AS part, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY 1) SELECT sha256(string_agg(d, '' ORDER BY part)) AS manifest_id FROM q"
+)
 def split_manifest_id(spark, d):
     return splits.manifest_id(_assigned(spark, d))
 
@@ -348,16 +359,26 @@ def nll(spark, d):
     return r6(statistics.nll(_soft(spark, d), F.get("p", F.col("truth"))), "nll")
 
 
-@query()
+def _temperature_sql() -> str:
+    """The grid search on log temperatures: three passes, each between the neighbours of the last one's best."""
+    parts = ["b0 AS (SELECT ln(0.05::DOUBLE) AS lo, ln(20::DOUBLE) AS hi)"]
+    for k in range(3):
+        parts.append(f"g{k} AS (SELECT i, lo, hi, lo + (hi - lo) * i / 23::DOUBLE AS s FROM b{k}, (SELECT unnest(range(24)) AS i))")
+        parts.append(f"l{k} AS (SELECT i, lo, hi, s, avg(ln(list_sum(list_transform(z, lambda x: exp((x - list_max(z)) / exp(s))))) - (z[truth + 1] - list_max(z)) / exp(s)) AS loss FROM g{k}, soft_z GROUP BY ALL)")
+        parts.append(f"b{k + 1} AS (SELECT lo + (hi - lo) * greatest(0, i - 1) / 23::DOUBLE AS lo, lo + (hi - lo) * least(23, i + 1) / 23::DOUBLE AS hi, s FROM l{k} ORDER BY loss, i LIMIT 1)")
+    return f"WITH {SOFT}, soft_z AS (SELECT z, truth FROM v), {', '.join(parts)}, t AS (SELECT round(exp(s), 4) AS t FROM b3) SELECT round(avg(-ln(greatest(exp((z[truth + 1] - list_max(z)) / t) / list_sum(list_transform(z, lambda x: exp((x - list_max(z)) / t))), 1e-12))), 6) AS nll, max(t) AS temperature FROM soft_z, t"
+
+
+@query(_temperature_sql())
 def fitted_temperature(spark, d):
     """The fitted temperature and the NLL it gives, over all vectors."""
     rows = _soft(spark, d)
     t = statistics.fit_temperature(rows, "z", "truth")
-    return statistics.nll(rows, F.get(S.softmax(F.col("z"), t), F.col("truth"))).withColumn("temperature", F.lit(t))
+    return statistics.nll(rows, F.get(S.softmax(F.col("z"), t), F.col("truth"))).select(F.round("nll", 6).alias("nll"), F.lit(t).alias("temperature"))
 
 
 BOOT_SQL = f"""{CELLS}, gs AS (SELECT image_id, sum(CASE WHEN t = p THEN n ELSE 0 END) AS good, sum(n) AS n FROM cells GROUP BY image_id), k AS (SELECT count(*) AS k FROM gs), g AS (SELECT *, row_number() OVER (ORDER BY image_id) - 1 AS g FROM gs),
-slots AS (SELECT r, k, unnest(range(k)) AS slot FROM (SELECT unnest(range(200)) AS r), k), draws AS (SELECT r, ('0x' || substr(md5('0:' || r || ':' || slot), 1, 12))::BIGINT % k AS g FROM slots),
+slots AS (SELECT r, k, unnest(range(k)) AS slot FROM (SELECT unnest(range(2000)) AS r), k), draws AS (SELECT r, ('0x' || substr(md5('0:' || r || ':' || slot), 1, 12))::BIGINT % k AS g FROM slots),
 vals AS (SELECT r, sum(good) / sum(n)::DOUBLE AS value FROM draws JOIN g USING (g) GROUP BY r)"""
 
 
@@ -475,7 +496,22 @@ def lease_events(spark, d):
     return e.select(F.concat_ws("-", "user_id", F.date_format(F.col("ts").cast("timestamp"), "yyyyMMdd")).alias("audit_id"), (F.col("event_id").cast("double")).alias("at"), kind.alias("kind"), F.concat(F.lit("w"), (F.col("event_id") % 3).cast("string")).alias("worker"))
 
 
-@query()
+_OPEN = "(w.status = 'queued' OR (w.status = 'running' AND w.until < e.moment))"
+_HELD = "(w.status = 'running' AND w.owner = e.worker AND w.until >= e.moment)"
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY moment) AS n FROM (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS audit_id, event_id::DOUBLE AS moment,
+  CASE event_type WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'release' ELSE 'claim' END AS kind, 'w' || event_id % 3 AS worker FROM events)),
+w AS (SELECT DISTINCT audit_id, 0::BIGINT AS n, 'queued' AS status, 0 AS attempts, NULL::VARCHAR AS owner, -1e300::DOUBLE AS until FROM e
+  UNION ALL SELECT e.audit_id, e.n,
+    CASE WHEN kind = 'claim' AND {_OPEN} THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'running' END WHEN kind = 'finish' AND {_HELD} THEN 'complete' WHEN kind = 'release' AND {_HELD} THEN 'queued' ELSE w.status END,
+    CASE WHEN kind = 'claim' AND {_OPEN} AND attempts < 3 THEN attempts + 1 ELSE attempts END,
+    CASE WHEN kind = 'claim' AND {_OPEN} THEN CASE WHEN attempts >= 3 THEN NULL ELSE e.worker END WHEN kind IN ('finish', 'release') AND {_HELD} THEN NULL ELSE w.owner END,
+    CASE WHEN kind = 'claim' AND {_OPEN} THEN CASE WHEN attempts >= 3 THEN -1e300 ELSE e.moment + 500 END WHEN kind IN ('finish', 'release') AND {_HELD} THEN -1e300 ELSE w.until END
+  FROM w JOIN e ON e.audit_id = w.audit_id AND e.n = w.n + 1)
+SELECT audit_id, max_by(status, n) AS status, max_by(attempts, n) AS attempts, max_by({{'o': owner}}, n).o AS owner FROM w GROUP BY audit_id"""
+)
 def lease_fold(spark, d):
     return jobs.lease_fold(lease_events(spark, d), 500.0, 3)
 
@@ -683,7 +719,12 @@ def feedback_skips(spark, d):
     return jobs.feedback_skips(docs.select((F.col("doc_id") % 3 != 0).alias("consent"), F.when(F.col("n_chars") > 200, "complete").otherwise("failed").alias("status"), "decision"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {FRAMES}, f AS (SELECT sequence_id, frame_index, min(image_id) AS image_id FROM frames GROUP BY ALL),
+n AS (SELECT a.sequence_id, a.frame_index, a.image_id, b.frame_index AS next FROM f a ASOF LEFT JOIN f b ON a.sequence_id = b.sequence_id AND a.frame_index + 20000 <= b.frame_index),
+t AS (SELECT n.* FROM n JOIN (SELECT sequence_id, min(frame_index) AS frame_index FROM f GROUP BY 1) USING (sequence_id, frame_index) UNION ALL SELECT n.* FROM t JOIN n ON n.sequence_id = t.sequence_id AND n.frame_index = t.next)
+SELECT sequence_id, image_id FROM t"""
+)
 def spaced_frames(spark, d):
     return jobs.spaced_selection(V.frames(spark, d), "sequence_id", "frame_index", "image_id", 20_000)
 
@@ -693,3 +734,6 @@ def audits_by_site(spark, d):
     """Audits by the profile and site of their camera: a filter-free star join, its dimensions by their checked size."""
     rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.groupBy("c_mktsegment", "n_name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("n_finished"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("total_cents"))
+
+
+from . import reports  # noqa: E402, F401  registers its queries here

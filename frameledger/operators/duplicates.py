@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,24 +15,37 @@ def exact_groups(rows: DataFrame, key: str, id_col: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first_id")).where("n > 1")
 
 
-def hamming_pairs(rows: DataFrame, id_col: str, hash_col: str, k: int, bits: int = 64) -> DataFrame:
+def hamming_pairs(rows: DataFrame, id_col: str, hash_col: str, k: int, bits: int = 64, bands: int = 4) -> DataFrame:
     """(id_a, id_b, distance) of all pairs within Hamming distance k, ids ascending.
 
-    The bits are cut into k + 1 bands, of which a pair within k shares at least one; a pair is taken in
-    its first shared band only, so nothing has to be made distinct after the join.
+    The bits are cut into ``bands``; of k differences some band has ``k // bands`` at most. One side is indexed by each band
+    as it is, the other by all values of the band that so few differences allow, so bands can be wide and buckets small. A pair
+    is taken in its first such band only, so nothing has to be made distinct after the join.
     """
-    edges = [bits * b // (k + 1) for b in range(k + 2)]
+    edges = [bits * b // bands for b in range(bands + 1)]
+    errors = k // bands
 
     def band(c, b: int):
         width = edges[b + 1] - edges[b]
         return F.shiftrightunsigned(c, edges[b]).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long"))
 
-    banded = rows.select(F.col(id_col).alias("id"), F.col(hash_col).cast("long").alias("h"), F.posexplode(F.array(*[band(F.col(hash_col).cast("long"), b) for b in range(k + 1)])).alias("band", "v"))
-    a, b = banded.alias("a"), banded.alias("b")
+    def masks(b: int) -> list[int]:
+        width = edges[b + 1] - edges[b]
+        return [sum(1 << i for i in spots) for e in range(errors + 1) for spots in itertools.combinations(range(width), e)]
+
+    rows, h = rows.select(F.col(id_col).alias("id"), F.col(hash_col).cast("long").alias("h")), F.col("h")
+    one = rows.select("id", "h", F.posexplode(F.array(*[band(h, b) for b in range(bands)])).alias("band", "v"))
+
+    def reachable(b: int):
+        return F.transform(F.array(*[F.lit(m).cast("long") for m in masks(b)]), lambda m: F.struct(F.lit(b).alias("band"), band(h, b).bitwiseXOR(m).alias("v")))
+
+    near = F.explode(F.concat(*[reachable(b) for b in range(bands)]))
+    many = rows.select("id", "h", near.alias("n")).select("id", "h", "n.*")
+    a, b = one.alias("a"), many.alias("b")
     joined = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.id") < F.col("b.id")))
     earlier = F.lit(False)
-    for n in range(k):
-        earlier = earlier | ((F.col("a.band") > n) & (band(F.col("a.h"), n) == band(F.col("b.h"), n)))
+    for n in range(bands - 1):
+        earlier = earlier | ((F.col("a.band") > n) & (hamming(band(F.col("a.h"), n), band(F.col("b.h"), n)) <= errors))
     distance = hamming(F.col("a.h"), F.col("b.h"))
     return joined.where(~earlier & (distance <= k)).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), distance.cast("long").alias("distance"))
 

@@ -21,7 +21,7 @@ def numbered_groups(sums: DataFrame, group: str) -> DataFrame:
     return sums.withColumns({"g": F.dense_rank().over(Window.orderBy(group)) - 1}).crossJoin(F.broadcast(sums.agg(F.count_distinct(group).alias("k"))))
 
 
-def bootstrap(sums: DataFrame, group: str, statistic: Callable[[DataFrame, list[str]], DataFrame], replicates: int = 200, seed: int = 0, confidence: float = 0.95) -> DataFrame:
+def bootstrap(sums: DataFrame, group: str, statistic: Callable[[DataFrame, list[str]], DataFrame], replicates: int = 2000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
     """(low, high, n_groups, few_groups) of ``statistic`` under resampling of whole groups.
 
     ``sums`` is already summed by group, so a replicate joins group rows and not the rows under them.

@@ -85,6 +85,19 @@ def grey_images(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("pixels"), "label")
 
 
+COPY_IDS = 1_000_000_000
+
+
+def images_with_copies(spark: SparkSession, d: str) -> DataFrame:
+    """The grey images, and of every fifth a copy with one bright pixel, numbered from ``COPY_IDS``."""
+    images = grey_images(spark, d).select("image_id", "pixels")
+    bright = F.transform("pixels", lambda x, i: F.when(i == F.col("image_id") % 64, F.lit(1.0).cast("float")).otherwise(x))
+    return images.union(images.where("image_id % 5 = 0").select(F.col("image_id") + COPY_IDS, bright))
+
+
+COPIES = f"copies AS (SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + {COPY_IDS}, list_transform(embedding, lambda x, i: CASE WHEN i = vec_id % 64 + 1 THEN 1::FLOAT ELSE x END) FROM embeddings WHERE vec_id % 5 = 0)"
+
+
 def audit_images(spark: SparkSession, d: str) -> DataFrame:
     """An image a line item of an audit; its flag is its state."""
     state = F.when(F.col("l_returnflag") == "A", "failed").when(F.col("l_returnflag") == "R", "pending").otherwise("complete")

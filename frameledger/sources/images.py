@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import shoelace_area
 from ..schemas import ANNOTATIONS, IGNORED
 
 
@@ -38,9 +41,15 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 def mask_counts(images: DataFrame) -> DataFrame:
     """(path, cls, n): pixel counts of grey masks; bytes are unsigned."""
-    hexes = F.hex("data")
-    values = F.transform(F.sequence(F.lit(0), F.length(hexes) / 2 - 1), lambda i: F.conv(F.substr(hexes, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))
-    return images.where("readable AND channels = 1").select("path", F.explode(values).alias("cls")).groupBy("path", "cls").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(rows):
+        for batch in rows:
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+                found = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array(found, pa.int32()), pa.array(counts[found], pa.int64())], names=["path", "cls", "n"])
+
+    return images.where("readable AND channels = 1").select("path", "data").mapInArrow(run, "path string, cls int, n long")
 
 
 def unexpected_classes(counts: DataFrame, known: list[int]) -> DataFrame:
@@ -68,11 +77,12 @@ def annotation_errors(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def polygon_issues(coords: Column, width: Column, height: Column) -> Column:
-    """Warnings of one polygon's flat coordinates, in order."""
+    """Warnings of one polygon's flat coordinates, in order: empty, degenerate, out of bounds by over a pixel, of no area."""
     xs, ys = F.filter(coords, lambda _, i: i % 2 == 0), F.filter(coords, lambda _, i: i % 2 == 1)
     odd = (F.size(coords) < 6) | (F.size(coords) % 2 == 1)
     out = (F.array_min(xs) < -1) | (F.array_min(ys) < -1) | (F.array_max(xs) > width + 1) | (F.array_max(ys) > height + 1)
-    return F.array_compact(F.array(F.when(F.size(coords) == 0, "empty"), F.when(odd & (F.size(coords) > 0), "degenerate"), F.when(~odd & out, "out_of_bounds")))
+    flat = ~odd & (shoelace_area(xs, ys) == 0)
+    return F.array_compact(F.array(F.when(F.size(coords) == 0, "empty"), F.when(odd & (F.size(coords) > 0), "degenerate"), F.when(~odd & out, "out_of_bounds"), F.when(flat, "zero_area")))
 
 
 def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
@@ -82,3 +92,27 @@ def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
 
 def append_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A manifest as :func:`write_csv` writes it; the schema is given, and an empty cell is null."""
+    return spark.read.schema(schema).option("header", "true").option("nullValue", "").csv(path)
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def directory_digest(spark: SparkSession, path: str) -> DataFrame:
+    """(files, sha256): one digest of a folder, over the paths below it and their digests in order; folders have few files."""
+    files = file_digests(spark, path).select(F.substring_index("path", path.rstrip("/").rsplit("/", 1)[-1] + "/", -1).alias("name"), "sha256")
+    ordered = F.array_sort(F.collect_list(F.struct("name", "sha256")))
+    return files.agg(F.count(F.lit(1)).alias("files"), F.sha2(F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["name"], x["sha256"])), "\n").cast("binary"), 256).alias("sha256"))
+
+
+def complete_samples(images: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
+    """The wanted images; wanted ids without an image are an error, named by the smallest."""
+    lost = wanted.join(images, id_col, "left_anti").agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("n")).first()
+    if lost["n"]:
+        raise ValueError(f"{lost['n']} wanted images are missing, {lost['first']} first")
+    return images.join(wanted.select(id_col), id_col, "left_semi")

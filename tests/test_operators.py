@@ -1,11 +1,15 @@
 """Hand-computed cases of the engine's operators."""
 
+import json
 import random
+import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from frameledger.functions import scalars as S
+from frameledger.sources import images
 from frameledger.operators import duplicates, jobs, metrics, review, splits, statistics
 
 
@@ -142,3 +146,69 @@ def test_stream_dedupe_takes_files_in_any_order_of_time(spark, tmp_path):
         os.utime(path, (1_700_000_000 + 10 * k,) * 2)
     out = streams.drain_append(streams.once_per_key(streams.read_events(spark, f"file://{tmp_path}/event*.parquet"), ["event_id"]).select("event_id"))
     assert sorted(r.event_id for r in out.collect()) == [*range(140), 1000]
+
+
+@pytest.mark.parametrize(("k", "bits", "bands"), [(6, 64, 4), (3, 20, 4), (0, 16, 2), (5, 32, 3)])
+def test_hamming_pairs_equal_brute_force(spark, k, bits, bands):
+    rng = random.Random(k)
+    hashes = [rng.getrandbits(bits) for _ in range(40)]
+    for h in hashes[:20]:
+        for _ in range(2):
+            hashes.append(h ^ sum(1 << i for i in rng.sample(range(bits), rng.randint(0, min(bits, k + 2)))))
+    rows = spark.createDataFrame([(i, h - (1 << 64) if h >> 63 else h) for i, h in enumerate(hashes)], "id int, h long")
+    got = sorted((r.id_a, r.id_b, r.distance) for r in duplicates.hamming_pairs(rows, "id", "h", k, bits, bands).collect())
+    assert got == [(a, b, (hashes[a] ^ hashes[b]).bit_count()) for a in range(len(hashes)) for b in range(a + 1, len(hashes)) if (hashes[a] ^ hashes[b]).bit_count() <= k]
+
+
+def grey_png(path, width, values):
+    rows = b"".join(b"\0" + bytes(values[i : i + width]) for i in range(0, len(values), width))
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(values) // width, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b""))
+
+
+def test_image_sources(spark, tmp_path):
+    (tmp_path / "set").mkdir()
+    grey_png(tmp_path / "set" / "a.png", 4, [0, 1, 1, 255, 7, 0, 0, 0])
+    (tmp_path / "set" / "b.PNG").write_bytes(b"no image")
+    root = f"file://{tmp_path}"
+    assert [r.n for r in images.count_images(spark, root).collect()] == [2]
+    read = images.read_images(spark, root)
+    assert sorted(r.readable for r in read.collect()) == [False, True]
+    counts = images.mask_counts(read)
+    assert sorted((r.cls, r.n) for r in counts.collect()) == [(0, 4), (1, 2), (7, 1), (255, 1)]
+    assert [r["values"] for r in images.unexpected_classes(counts, [0, 1]).collect()] == [[7]]
+    digests = images.file_digests(spark, root)
+    good = digests.first().asDict()
+    expected = spark.createDataFrame([(good["path"], good["length"], good["md5"]), (good["path"] + "x", 1, "")], "path string, length long, md5 string")
+    assert [r.problem for r in images.wrong_files(digests, expected).collect()] == ["missing"]
+    one = images.directory_digest(spark, root + "/set").first()
+    assert one.files == 2 and len(one.sha256) == 64
+
+
+def test_tables_of_manifests(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b"), (1, None)], "id int, name string")
+    images.write_csv(df, f"file://{tmp_path}/m", ["id"])
+    assert [tuple(r) for r in images.read_csv(spark, f"file://{tmp_path}/m", "id int, name string").orderBy("id").collect()] == [(1, None), (2, "b")]
+    for _ in range(2):
+        images.append_json_lines(df, f"file://{tmp_path}/j")
+    assert images.read_json_lines(spark, f"file://{tmp_path}/j", "id int, name string").count() == 4
+    assert images.complete_samples(df, df.where("id = 1"), "id").count() == 1
+    with pytest.raises(ValueError, match="1 wanted images are missing, 9 first"):
+        images.complete_samples(df, spark.createDataFrame([(9,)], "id int"), "id")
+
+
+def test_annotations(spark, tmp_path):
+    doc = {
+        "categories": [{"id": 1, "name": "metal"}],
+        "images": [{"id": 1, "file_name": "a", "width": 10, "height": 10}, {"id": 1, "file_name": "a", "width": 10, "height": 10}],
+        "annotations": [{"id": 1, "image_id": 5, "category_id": 1, "iscrowd": 0, "segmentation": []}, {"id": 2, "image_id": 1, "category_id": 8, "iscrowd": 0, "segmentation": []}],
+    }
+    (tmp_path / "c.json").write_text(json.dumps(doc))
+    parts = images.read_annotations(spark, f"file://{tmp_path}/c.json")
+    assert sorted((r.kind, r.id, r.n) for r in images.annotation_errors(parts).collect()) == [("duplicate_file", "a", 2), ("duplicate_id", "1", 2), ("no_category", "8", 1), ("no_image", "5", 1)]
+    rows = spark.createDataFrame([([],), ([1.0, 1.0],), ([0.0, 0.0, 5.0, 0.0, 5.0, 5.0],), ([0.0, 0.0, 12.0, 0.0, 5.0, 5.0],), ([1.0, 1.0, 2.0, 2.0, 3.0, 3.0],)], "c array<double>")
+    got = [r.i for r in rows.select(images.polygon_issues(F.col("c"), F.lit(10), F.lit(10)).alias("i")).collect()]
+    assert got == [["empty"], ["degenerate"], [], ["out_of_bounds"], ["zero_area"]]
