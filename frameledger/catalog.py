@@ -409,9 +409,9 @@ def paired_bootstrap(spark, d):
     return r6(statistics.bootstrap(_group_sums(spark, d), "image_id", difference), "low", "high")
 
 
-@query("SELECT event_type, quantile_cont(value, 0.5) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS max, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY event_type")
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS max, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY event_type")
 def latency_percentiles(spark, d):
-    return r6(statistics.percentiles(table(spark, d, "events"), "value", ["event_type"]), "p95", "mean")
+    return r6(statistics.percentiles(table(spark, d, "events"), "value", ["event_type"]), "p50", "p95", "mean")
 
 
 @query("WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, value FROM o WHERE r = round_even(0.95 * (n - 1), 0)")

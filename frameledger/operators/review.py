@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import compact, uniform_draw
+from .statistics import running
 
 
 @dataclass(frozen=True)
@@ -33,9 +34,7 @@ def workload_curve(scored: DataFrame, id_col: str, score: str, positive: str) ->
     tie = F.sha2(F.col(id_col).cast("string").cast("binary"), 256)
     rows = scored.select(F.col(id_col), F.col(score).alias("__s"), F.col(positive).cast("int").alias("__p"), tie.alias("__tie"))
     per_score = rows.groupBy("__s").agg(F.count(F.lit(1)).alias("k"), F.sum("__p").alias("pos"))
-    above = per_score.alias("a")
-    before = Window.orderBy(F.col("__s").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    starts = above.select("__s", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k0"), F.coalesce(F.sum("pos").over(before), F.lit(0)).alias("p0"))
+    starts = running(per_score, [], "__s", ["k", "pos"], descending=True).select("__s", F.col("before_k").alias("k0"), F.col("before_pos").alias("p0"))
     inside = Window.partitionBy("__s").orderBy("__tie").rowsBetween(Window.unboundedPreceding, 0)
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("__p").alias("all_pos"))
     placed = rows.withColumns({"r": F.count(F.lit(1)).over(inside), "c": F.sum("__p").over(inside)}).join(starts, "__s").crossJoin(F.broadcast(totals))  # one row

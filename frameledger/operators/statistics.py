@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import right_closed_bin
+from ..sources.shared import stored
 
 
 def draw(seed: int, replicate: Column, slot: Column, n: Column) -> Column:
@@ -16,9 +17,30 @@ def draw(seed: int, replicate: Column, slot: Column, n: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long") % n
 
 
+def running(rows: DataFrame, by: list[str], order: str, columns: list[str], descending: bool = False) -> DataFrame:
+    """Adds ``before_<c>`` for each of ``columns``: its sum over the rows of the group that come before in the order.
+
+    Rows are dealt to ranges of the order and written; a range's start comes from the sums of those before it, of which
+    there are as many as partitions, so neither a group nor the whole table is sorted in one task. The values of ``order`` differ
+    inside a group.
+    """
+    key = F.col(order).desc() if descending else F.col(order)
+    ranged = stored(rows.repartitionByRange(*[F.col(c) for c in by], key).withColumn("__r", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy(*by, "__r").agg(*[F.sum(c).alias(f"__{c}") for c in columns])
+    earlier = Window.partitionBy(*by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__r").alias("__at"), *[F.coalesce(F.sum(f"__{c}").over(earlier), F.lit(0)).alias(f"__start_{c}") for c in columns])
+    same = F.col("__r") == F.col("__at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    inside = Window.partitionBy(*by, "__r").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.join(starts, same).withColumns({f"before_{c}": F.col(f"__start_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns})
+    return placed.select(*rows.columns, *[f"before_{c}" for c in columns])
+
+
 def numbered_groups(sums: DataFrame, group: str) -> DataFrame:
-    """Adds g, the place of each group in order, and k, their number; groups, unlike rows, are few."""
-    return sums.withColumns({"g": F.dense_rank().over(Window.orderBy(group)) - 1}).crossJoin(F.broadcast(sums.agg(F.count_distinct(group).alias("k"))))
+    """Adds g, the place of each group in order, and k, their number; a group has one row."""
+    numbered = running(sums.withColumn("__one", F.lit(1).cast("long")), [], group, ["__one"])
+    return numbered.withColumnRenamed("before___one", "g").drop("__one").crossJoin(F.broadcast(sums.agg(F.count_distinct(group).alias("k"))))  # one row
 
 
 def bootstrap(sums: DataFrame, group: str, statistic: Callable[[DataFrame, list[str]], DataFrame], replicates: int = 2000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
@@ -78,17 +100,39 @@ def fit_temperature(predictions: DataFrame, logits: str, truth: str, low: float
     return round(best, 4)
 
 
+def _counted(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """(by..., column, k, before_k, n): how often each value of a group occurs, how many are less, and the group's rows with one."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("k"))
+    placed = running(counts, by, column, ["k"])
+    whole = placed.groupBy(*by).agg(F.sum("k").alias("n")).select(*[F.col(c).alias(f"__of_{c}") for c in by], "n")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    return placed.join(whole, same).select(*by, column, "k", "before_k", "n") if by else placed.crossJoin(F.broadcast(whole))  # one row
+
+
 def percentiles(rows: DataFrame, column: str, by: list[str] = []) -> DataFrame:
-    return rows.groupBy(*by).agg(F.percentile(column, F.lit(0.5)).alias("p50"), F.percentile(column, F.lit(0.95)).alias("p95"), F.max(column).alias("max"), F.avg(column).alias("mean"), F.count(F.lit(1)).alias("n"))
+    """(by..., p50, p95, max, mean, n): exact, with linear interpolation, by counting values in ranges."""
+    counted = _counted(rows, column, by)
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("before_k") <= place) & (place < F.col("before_k") + F.col("k")), F.col(column)))
+
+    def cut(q: float) -> Column:
+        place = F.lit(q) * (F.col("n") - 1)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        part = F.max(place - F.floor(place))
+        return low + (high - low) * part
+
+    mean = F.sum(F.col(column) * F.col("k")) / F.sum("k")
+    return counted.groupBy(*by).agg(cut(0.5).alias("p50"), cut(0.95).alias("p95"), F.max(column).alias("max"), mean.alias("mean"), F.sum("k").alias("n"))
 
 
 def nearest_rank(rows: DataFrame, column: str, q: float, by: list[str]) -> DataFrame:
     """The value at place round-half-even(q * (n - 1)) of each group, by counting and not by collecting."""
-    counts = rows.groupBy(*by, column).agg(F.count(F.lit(1)).alias("k"))
-    upto = F.sum("k").over(Window.partitionBy(*by).orderBy(column))
-    n = F.sum("k").over(Window.partitionBy(*by))
-    place = F.bround(F.lit(q) * (n - 1)).cast("long")
-    return counts.withColumns({"upto": upto, "place": place}).where("upto > place").groupBy(*by).agg(F.min(column).alias("value"))
+    counted = _counted(rows, column, by)
+    place = F.bround(F.lit(q) * (F.col("n") - 1)).cast("long")
+    return counted.where((F.col("before_k") <= place) & (place < F.col("before_k") + F.col("k"))).select(*by, F.col(column).alias("value"))
 
 
 def cumulative_histogram(rows: DataFrame, column: str, bounds: list[float], by: list[str] = []) -> DataFrame:
