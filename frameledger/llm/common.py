@@ -46,9 +46,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def store(df: DataFrame, path: str) -> DataFrame:
-    """As :func:`materialize`, to a path that :func:`remove` can drop later."""
-    df.write.parquet(path)
+def store(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
+    """As :func:`materialize`, to a path that :func:`remove` can drop later; ``zstd`` for tables of whole texts."""
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

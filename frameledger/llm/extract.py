@@ -173,33 +173,33 @@ class Page(HTMLParser):
         self.text.append(data)
 
 
-PARSED = "site long, digest long, template long, texts array<string>, paths array<long>, shapes array<long>, contents array<long>, leans array<int>"
+PARSED = "site long, digest long, template long, texts array<string>, paths array<long>, shapes array<long>, leans array<int>"
 PARSED_AT_ONCE_CHARS = 4 << 20
 
 
 def parse_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(id, url, site, digest, template, texts, paths, shapes, contents, leans): the blocks of each page in order.
+    """(id, url, site, digest, template, texts, paths, shapes, leans): the blocks of each page in order.
 
     ``site`` stands for the host, ``digest`` for the whole page and ``template`` for the set of its paths.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            first, size, cols = 0, 0, [[] for _ in range(7)]
+            first, size, cols = 0, 0, [[] for _ in range(6)]
 
             def flush(end: int, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
-                kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), *[pa.list_(pa.int64())] * 3, pa.list_(pa.int32())]
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), *[pa.list_(pa.int64())] * 2, pa.list_(pa.int32())]
                 made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
                 for c in cols:
                     c.clear()
-                return pa.RecordBatch.from_arrays([*[batch.column(i).slice(first, end - first) for i in range(3)], *made], names=["id", "url", "site", "digest", "template", "texts", "paths", "shapes", "contents", "leans"])
+                return pa.RecordBatch.from_arrays([*[batch.column(i).slice(first, end - first) for i in range(3)], *made], names=["id", "url", "site", "digest", "template", "texts", "paths", "shapes", "leans"])
 
             for i in range(batch.num_rows):
                 html = batch.column(3)[i].as_py()
                 blocks = Page(html).blocks
                 paths = [b[1] for b in blocks]
                 template = xxhash.xxh3_64_intdigest(",".join(map(str, sorted(set(paths)))))
-                values = (_signed(xxhash.xxh3_64_intdigest(html)), _signed(template), [b[0] for b in blocks], paths, [b[2] for b in blocks], [_signed(xxhash.xxh3_64_intdigest(b[0])) for b in blocks], [b[3] for b in blocks])
+                values = (_signed(xxhash.xxh3_64_intdigest(html)), _signed(template), [b[0] for b in blocks], paths, [b[2] for b in blocks], [b[3] for b in blocks])
                 for c, v in zip(cols, values, strict=True):
                     c.append(v)
                 size += len(html)
@@ -222,8 +222,8 @@ def importance(parsed: DataFrame) -> DataFrame:
     article don't make it look like a menu. The tree of all hosts has the same measures; a host's own counts the
     more the more pages it has (``PRIOR_PAGES``), so that small hosts go by it.
     """
-    each = parsed.select("site", "digest", F.explode(F.arrays_zip("paths", "leans", "shapes", "contents")).alias("b"))
-    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("b.shapes").alias("feature")), F.struct(F.lit(1).alias("kind"), F.col("b.contents").alias("feature"))))
+    each = parsed.select("site", "digest", F.explode(F.arrays_zip("paths", "leans", "shapes", "texts")).alias("b"))
+    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("b.shapes").alias("feature")), F.struct(F.lit(1).alias("kind"), F.xxhash64("b.texts").alias("feature"))))
     rows = each.select("site", "digest", F.col("b.paths").alias("path"), F.col("b.leans").alias("lean"), kinds.alias("f")).select("site", "digest", "path", "lean", "f.*").distinct()
     counts = store(rows.groupBy("site", "path", "lean", "kind", "feature").agg(F.count(F.lit(1)).alias("c")), fresh_path(parsed.sparkSession, "features"))
     # a page has as many presentations of a path as it has nodes there that differ, so pages are counted by themselves
@@ -262,7 +262,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     What is low is joined to the sets of paths that a host's pages have, of which there are few, and these to the pages.
     """
     spark = pages.sparkSession
-    parsed = store(parse_pages(pages, id_col, url_col, html_col), fresh_path(spark, "parsed"))
+    parsed = store(parse_pages(pages, id_col, url_col, html_col), fresh_path(spark, "parsed"), "zstd")
     lows = importance(parsed).where(F.col("importance") < low).select("site", "path")
     templates = parsed.groupBy("site", "template").agg(F.first(F.array_distinct("paths")).alias("paths")).select("site", "template", F.explode("paths").alias("path"))
     pruned = store(templates.join(lows, ["site", "path"]).groupBy("site", "template").agg(F.collect_set("path").alias("low")), fresh_path(spark, "low"))
