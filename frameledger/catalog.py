@@ -636,11 +636,11 @@ def validation_summary(spark, d):
 # streams and models
 
 
-@query("SELECT count(*) AS n, count(DISTINCT (user_id, event_type)) AS n_keys FROM (SELECT user_id, event_type, event_id FROM events)")
+@query("SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events GROUP BY ALL")
 def stream_dedupe(spark, d):
-    """Every event through the stream once, and the keys it holds."""
-    out = streams.drain_append(streams.once_per_key(streams.read_events(spark, f"{d}/event*.parquet"), ["event_id"]).select("event_id", "user_id", "event_type"))
-    return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id", "event_type").alias("n_keys"))
+    """The first event of each user, type and day through the stream: repeats of a key are accepted once."""
+    events = streams.read_events(spark, f"{d}/event*.parquet").select("user_id", "event_type", F.date_format("at", "yyyy-MM-dd").alias("day"))
+    return streams.drain_append(streams.once_per_key(events, ["user_id", "event_type", "day"]))
 
 
 @query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL")
@@ -736,4 +736,4 @@ def audits_by_site(spark, d):
     return rows.groupBy("c_mktsegment", "n_name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("n_finished"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("total_cents"))
 
 
-from . import reports  # noqa: E402, F401  registers its queries here
+from . import checks, reports  # noqa: E402, F401  register their queries here

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,3 +98,54 @@ def right_closed_bin(value: Column, bins: int) -> Column:
 def compact(*cases: tuple[Column, str]) -> Column:
     """The names of the conditions that hold, in the given order."""
     return F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in cases]))
+
+
+def cosine_bits(image: Column, n: int, low: int = 8) -> Column:
+    """Cosine hash of a flat n by n grey image, as text of low * low binary digits.
+
+    The image goes through a two-dimensional DCT-II, rows and then columns; a digit is 1 where a coefficient of the low
+    corner exceeds the median of all of them but the first.
+    """
+
+    def row(k: int) -> list[float]:
+        return [math.sqrt((1 if k == 0 else 2) / n) * math.cos(math.pi * (2 * i + 1) * k / (2 * n)) for i in range(n)]
+
+    basis = F.array(*[F.array(*[F.lit(v) for v in row(k)]) for k in range(low)])
+
+    def dot(values: Column, weights: Column) -> Column:
+        return F.aggregate(F.zip_with(values, weights, lambda v, w: v.cast("double") * w), F.lit(0.0), lambda a, b: a + b)
+
+    across = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda y: F.transform(basis, lambda w: dot(F.slice(image, y * n + 1, n), w)))
+
+    def corner(rows: Column) -> Column:
+        return F.flatten(F.transform(basis, lambda w: F.transform(F.sequence(F.lit(0), F.lit(low - 1)), lambda u: dot(F.transform(rows, lambda r: F.get(r, u)), w))))
+
+    def digits(c: Column) -> Column:
+        rest = low * low - 1
+        middle = F.array_sort(F.slice(c, 2, rest))
+        median = (F.get(middle, F.lit((rest - 1) // 2)) + F.get(middle, F.lit(rest // 2))) / 2
+        return F.transform(F.array(median), lambda m: F.array_join(F.transform(c, lambda x: F.when(x > m, "1").otherwise("0")), ""))[0]
+
+    return F.transform(F.transform(F.array(across), corner), digits)[0]
+
+
+def resized(width: Column, height: Column, long_side: int) -> tuple[Column, Column]:
+    """Width and height with the longer one scaled to ``long_side``; halves go to the even number."""
+    scale = F.lit(float(long_side)) / F.greatest(width, height)
+    return tuple(F.greatest(F.lit(1).cast("long"), F.bround(side * scale).cast("long")) for side in (width, height))
+
+
+def padded(side: Column, multiple: int) -> Column:
+    return F.ceil(side / F.lit(float(multiple))) * multiple
+
+
+def rate_factor(step: Column, total: Column, warmup: int) -> Column:
+    """Linear growth to 1 over the warm-up steps, then half a cosine down to 0 at the last."""
+    progress = (step - warmup) / F.greatest(F.lit(1), total - warmup)
+    falling = (F.cos(F.least(F.lit(1.0), progress) * math.pi) + 1) / 2
+    return F.when(step < warmup, (step + 1) / F.lit(float(warmup))).otherwise(falling) if warmup else falling
+
+
+def last_parts(path: Column, n: int = 2) -> Column:
+    """The last parts of a path: enough to know a file by, without the machine's folders."""
+    return F.substring_index(path, "/", -n)

@@ -15,6 +15,15 @@ def exact_groups(rows: DataFrame, key: str, id_col: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first_id")).where("n > 1")
 
 
+def pairs_to_first(rows: DataFrame, keys: list[str], id_col: str) -> DataFrame:
+    """(id_a, id_b): the least id of each group of equal keys with every other, so n copies give n - 1 pairs; null keys give none.
+
+    The groups are counted before the shuffle, and a group of many copies is a skewed side of a join, which is split.
+    """
+    firsts = rows.groupBy(*keys).agg(F.min(id_col).alias("id_a"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    return rows.select(*keys, F.col(id_col).alias("id_b")).join(firsts, keys).where("id_a <> id_b").select("id_a", "id_b")
+
+
 def hamming_pairs(rows: DataFrame, id_col: str, hash_col: str, k: int, bits: int = 64, bands: int = 4) -> DataFrame:
     """(id_a, id_b, distance) of all pairs within Hamming distance k, ids ascending.
 

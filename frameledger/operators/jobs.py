@@ -162,3 +162,14 @@ def spaced_selection(frames: DataFrame, group: str, at: str, id_col: str, gap: i
         return F.struct(F.when(fits, x["at"]).otherwise(s["last"]).alias("last"), F.when(fits, F.concat(s["taken"], F.array(x))).otherwise(s["taken"]).alias("taken"))
 
     return frames.groupBy(group).agg(F.aggregate(ordered, start, step)["taken"].alias("taken")).select(group, F.explode("taken").alias("x")).select(group, F.col("x.id").alias(id_col))
+
+
+def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(rule, n): how many rows break each rule, by one aggregation; a rule that gives null isn't broken."""
+    counts = rows.agg(*[F.count_if(c).alias(name) for name, c in rules.items()])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(name).alias("n")) for name in rules])).alias("r")).select("r.*")
+
+
+def placed(rows: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """Adds place, from 1, in the order inside each group; a group is an audit of a few images."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))

@@ -107,3 +107,16 @@ def quantile_bins(values: DataFrame, column: str, parts: int = 3) -> DataFrame:
     """Adds ``bin``: how many of the linear quantiles are <= the value; not ntile, whose ties differ."""
     cuts = values.agg(F.percentile(column, F.array(*[F.lit(k / parts) for k in range(1, parts)])).alias("cuts"))
     return values.crossJoin(F.broadcast(cuts)).withColumn("bin", F.size(F.filter("cuts", lambda c: c <= F.col(column)))).drop("cuts")  # one row
+
+
+def same_ids(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row (n_a, n_b, only_a, only_b, comparable): whether two reports are of the same keys."""
+    left, right = a.select(key).distinct().withColumn("a", F.lit(1)), b.select(key).distinct().withColumn("b", F.lit(1))
+    n = left.join(right, key, "full").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b"))
+    return n.withColumn("comparable", (F.col("only_a") == 0) & (F.col("only_b") == 0))
+
+
+def differing_fields(observed: DataFrame, declared: DataFrame, field: str, value: str, tolerance: float) -> DataFrame:
+    """(field, observed, declared) where the values differ by more than the tolerance or one side has none."""
+    joined = observed.select(field, F.col(value).alias("observed")).join(declared.select(field, F.col(value).alias("declared")), field, "full")
+    return joined.where(F.col("observed").isNull() | F.col("declared").isNull() | (F.abs(F.col("observed") - F.col("declared")) > tolerance))

@@ -50,14 +50,40 @@ def mark_unseen(rows: DataFrame) -> DataFrame:
     return joined.withColumn("unseen_sequence", (F.col("split") == "test") & F.col("sequence_id").isNotNull() & F.col("trained").isNull()).drop("trained")
 
 
+class SplitPolicyError(ValueError):
+    """The images or the policy don't allow a safe assignment."""
+
+
+def check_policy(images: DataFrame, calibration: list) -> None:
+    """Refuses official splits of other names, and calibration sequences without a val row."""
+    val = F.when((F.col("official_split") == "val") & F.col("sequence_id").isin(calibration), F.col("sequence_id"))
+    unknown = ~F.coalesce(F.col("official_split").isin("train", "val", "test"), F.lit(False))
+    row = images.agg(F.count_if(unknown).alias("unknown"), F.collect_set(val).alias("found")).first()  # at most the configured sequences
+    if row["unknown"]:
+        raise SplitPolicyError(f"{row['unknown']} images are of no official split")
+    lost = [s for s in calibration if s not in row["found"]]
+    if lost:
+        raise SplitPolicyError(f"calibration sequences without val images: {lost}")
+
+
+def check_test_kept(assigned: DataFrame) -> None:
+    """Refuses an assignment that adds images to test or takes some away."""
+    moved = assigned.where((F.col("official_split") == "test") != (F.col("split") == "test")).count()
+    if moved:
+        raise SplitPolicyError(f"{moved} images entered or left the test split")
+
+
 def assign_splits(images: DataFrame, pairs: DataFrame, calibration: list, buffer: int, drop_train: bool = True) -> DataFrame:
     """The whole policy on (image_id, official_split, sequence_id, frame_index) and pairs (pair_no, id_a, id_b).
 
-    Each stage reads the one before several times, so stages are written.
+    Each stage reads the one before several times, so stages are written. Raises SplitPolicyError where the policy can't hold.
     """
+    check_policy(images, calibration)
     rows = calibration_stage(images, calibration)
     rows = stored(duplicate_stages(rows, pairs, drop_train), "splits")
-    return mark_unseen(stored(buffer_stage(rows, buffer), "splits"))
+    rows = stored(buffer_stage(rows, buffer), "splits")
+    check_test_kept(rows)
+    return mark_unseen(rows)
 
 
 def split_summary(assigned: DataFrame) -> DataFrame:

@@ -100,6 +100,33 @@ def fit_temperature(predictions: DataFrame, logits: str, truth: str, low: float
     return round(best, 4)
 
 
+def class_temperatures(predictions: DataFrame, logits: str, truth: str, predicted: str, classes: int, low: float = 0.05, high: float = 20.0, grid: int = 24, passes: int = 3) -> list[float]:
+    """A temperature for each predicted class, as :func:`fit_temperature` fits one; 1 for a class that is never predicted.
+
+    A pass is one aggregation by class; the driver sees ``classes * grid`` numbers.
+    """
+    import math
+
+    ends = [(math.log(low), math.log(high))] * classes
+    best = [1.0] * classes
+    top = F.array_max(logits)
+    for _ in range(passes):
+        lows, spans = (F.array(*[F.lit(v) for v in vs]) for vs in ([a for a, _ in ends], [b - a for a, b in ends]))
+
+        def loss(i: int) -> Column:
+            t = F.exp(F.get(lows, F.col(predicted)) + F.get(spans, F.col(predicted)) * i / F.lit(float(grid - 1)))
+            total = F.aggregate(F.transform(logits, lambda x: F.exp((x - top) / t)), F.lit(0.0), lambda a, b: a + b)
+            return F.avg(F.ln(total) - (F.get(logits, F.col(truth)) - top) / t)
+
+        for row in predictions.where(F.col(predicted).between(0, classes - 1)).groupBy(predicted).agg(*[loss(i).alias(f"s{i}") for i in range(grid)]).collect():  # a row a class
+            k, losses = row[0], row[1:]
+            at = min(range(grid), key=lambda i: (losses[i] if losses[i] is not None else math.inf, i))
+            lo, hi = ends[k]
+            best[k] = math.exp(lo + (hi - lo) * at / (grid - 1))
+            ends[k] = (lo + (hi - lo) * max(0, at - 1) / (grid - 1), lo + (hi - lo) * min(grid - 1, at + 1) / (grid - 1))
+    return [round(t, 4) for t in best]
+
+
 def _counted(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
     """(by..., column, k, before_k, n): how often each value of a group occurs, how many are less, and the group's rows with one."""
     counts = rows.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("k"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.duplicates import pairs_to_first
+
 SEQUENCES_FOR_CALIBRATION = (7, 11)
 
 
@@ -51,13 +53,12 @@ FRAMES = """frames AS (SELECT event_id AS image_id, user_id AS sequence_id, floo
 
 
 def frame_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Duplicate pairs for the split policy: every 40th frame and the one 7 ids on."""
-    e = table(spark, d, "events").where(F.col("event_id") % 40 == 3)
-    n = table(spark, d, "events").select(F.col("event_id").alias("id_b"))
-    return e.select(F.col("event_id").alias("pair_no"), F.col("event_id").alias("id_a"), (F.col("event_id") + 7).alias("id_b")).join(n, "id_b").select("pair_no", "id_a", "id_b")
+    """Duplicate pairs for the split policy: the first frame of equal content (type and value) with each later one."""
+    pairs = pairs_to_first(table(spark, d, "events"), ["event_type", "value"], "event_id")
+    return pairs.select(F.col("id_b").alias("pair_no"), "id_a", "id_b")
 
 
-FRAME_PAIRS = "frame_pairs AS (SELECT e.event_id AS pair_no, e.event_id AS id_a, n.event_id AS id_b FROM events e JOIN events n ON n.event_id = e.event_id + 7 WHERE e.event_id % 40 = 3)"
+FRAME_PAIRS = "frame_pairs AS (SELECT event_id AS pair_no, min(event_id) OVER (PARTITION BY event_type, value) AS id_a, event_id AS id_b FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL QUALIFY id_a <> id_b)"
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.shared import shared_folder
 
@@ -30,6 +35,52 @@ def queue_metrics(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type", F.to_date("at").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("oldest"))
 
 
+_LEASE = "status string, attempts int, owner string, until long"
+
+
+def lease_states(events: DataFrame, lease_ms: int, max_attempts: int) -> DataFrame:
+    """(audit_id, status, attempts, owner), a row whenever an audit's state may have changed.
+
+    Events are (audit_id, seq, at, worker, kind) with kind claim, finish or release; ``at`` is event time and ``seq`` orders
+    what is of the same time. The state is the lease alone, however many events an audit has. A timer of event time ends a
+    lease that nobody finished: the audit is queued again, without a new event.
+    """
+
+    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, attempts, owner, until = state.get if state.exists else ("queued", 0, None, -1)
+        if state.hasTimedOut:
+            status, owner, until = "queued", None, -1
+        else:
+            for _, worker, kind, at in sorted(row for part in parts for row in zip(part["seq"], part["worker"], part["kind"], part["ms"], strict=True)):
+                held = status == "running" and owner == worker and until >= at
+                if kind == "claim" and (status == "queued" or (status == "running" and until < at)):
+                    failed = attempts >= max_attempts
+                    status, attempts, owner, until = ("failed", attempts, None, -1) if failed else ("running", attempts + 1, worker, int(at) + lease_ms)
+                elif kind in ("finish", "release") and held:
+                    status, owner, until = "complete" if kind == "finish" else "queued", None, -1
+        state.update((status, attempts, owner, until))
+        if status == "running":
+            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"audit_id": [key[0]], "status": [status], "attempts": [attempts], "owner": pd.Series([owner], dtype=object)})
+
+    kind = dict(events.dtypes)["audit_id"]
+    rows = events.withWatermark("at", "0 seconds").select("audit_id", "seq", "worker", "kind", "at", F.unix_millis("at").alias("ms"))
+    return rows.groupBy("audit_id").applyInPandasWithState(fold, f"audit_id {kind}, status string, attempts int, owner string", _LEASE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def drain_latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """As :func:`drain_append` for updates: the last row of each key; a batch has one row a key at most."""
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "stream")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    rows.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    written = spark.read.schema(StructType([*rows.schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/out")
+    last = written.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), "batch").alias("last"))
+    return last.select(*keys, "last.*")
+
+
 def drain_append(rows: DataFrame) -> DataFrame:
     """Runs the stream over what is there and returns what it wrote. State is kept on disk, so keys needn't fit in memory."""
     spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "stream")

@@ -212,3 +212,58 @@ def test_annotations(spark, tmp_path):
     rows = spark.createDataFrame([([],), ([1.0, 1.0],), ([0.0, 0.0, 5.0, 0.0, 5.0, 5.0],), ([0.0, 0.0, 12.0, 0.0, 5.0, 5.0],), ([1.0, 1.0, 2.0, 2.0, 3.0, 3.0],)], "c array<double>")
     got = [r.i for r in rows.select(images.polygon_issues(F.col("c"), F.lit(10), F.lit(10)).alias("i")).collect()]
     assert got == [["empty"], ["degenerate"], [], ["out_of_bounds"], ["zero_area"]]
+
+
+def test_split_policy_refuses(spark):
+    """Unknown official splits, and a calibration sequence without a val image, are errors."""
+    pairs = spark.createDataFrame([], "pair_no long, id_a string, id_b string")
+    schema = "image_id string, official_split string, sequence_id string, frame_index long"
+    for rows, calibration in (([("a", "dev", "s", 1)], []), ([("a", None, "s", 1)], []), ([("a", "train", "s", 1)], ["s"]), ([], ["s"])):
+        with pytest.raises(splits.SplitPolicyError):
+            splits.assign_splits(spark.createDataFrame(rows, schema), pairs, calibration, 10)
+    assert splits.assign_splits(spark.createDataFrame([("a", "val", "s", 1)], schema), pairs, ["s"], 10).first()["split"] == "calibration"
+
+
+def test_cosine_bits_equal_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n, low in ((8, 8), (16, 8), (32, 8)):
+        image = rng.integers(0, 256, (n, n)).astype(float)
+        k, i = np.arange(n)[:, None], np.arange(n)[None, :]
+        m = np.cos(np.pi * (2 * i + 1) * k / (2 * n)) * np.sqrt(np.where(k == 0, 1, 2) / n)
+        corner = (m @ image @ m.T)[:low, :low]
+        want = "".join("1" if c > np.median(corner.ravel()[1:]) else "0" for c in corner.ravel())
+        got = spark.createDataFrame([(image.ravel().tolist(),)], "pixels array<double>").select(S.cosine_bits(F.col("pixels"), n, low)).first()[0]
+        assert got == want
+
+
+def test_geometry_and_rates(spark):
+    row = spark.createDataFrame([(1920, 1080, 1, 5)], "w long, h long, a long, b long")
+    w, h = S.resized(F.col("w"), F.col("h"), 768)
+    assert tuple(row.select(w, h, S.padded(h, 32)).first()) == (768, 432, 448)
+    w, h = S.resized(F.col("a"), F.col("b"), 2)  # 0.4 is at least 1
+    assert tuple(row.select(w, h).first()) == (1, 2)
+    w, _ = S.resized(F.col("b"), F.lit(10), 5)  # 2.5 goes to the even number
+    assert row.select(w).first()[0] == 2
+    steps = spark.range(10).select(F.round(S.rate_factor(F.col("id"), F.lit(10), 2), 6)).collect()
+    assert [r[0] for r in steps[:3]] == [0.5, 1.0, 1.0] and steps[6][0] == 0.5
+    assert spark.range(1).select(S.last_parts(F.lit("/home/x/data/a.png"))).first()[0] == "data/a.png"
+
+
+def test_leases_end_by_timers(spark, tmp_path):
+    """A lease nobody finishes ends by event time without an event of its own; a finish without the lease doesn't count."""
+    import datetime
+
+    from frameledger.streaming import jobs as streams
+
+    def at(hour: float) -> datetime.datetime:
+        return datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=hour)
+
+    first = [(1, 1, at(0), "w1", "claim"), (2, 2, at(0), "w1", "claim"), (2, 3, at(0.5), "w2", "finish"), (2, 4, at(0.5), "w1", "finish"), (3, 5, at(1), "w1", "claim"), (3, 6, at(1.1), "w1", "release")]
+    late = [(4, 7, at(9), "w2", "claim")]
+    for n, rows in enumerate((first, late)):
+        spark.createDataFrame(rows, "audit_id long, seq long, at timestamp, worker string, kind string").coalesce(1).write.parquet(str(tmp_path / f"b{n}"))
+    events = spark.readStream.schema("audit_id long, seq long, at timestamp, worker string, kind string").parquet(str(tmp_path / "b*"))
+    got = {r.audit_id: (r.status, r.attempts, r.owner) for r in streams.drain_latest(streams.lease_states(events, 2 * 3_600_000, 3), ["audit_id"]).collect()}
+    assert got == {1: ("queued", 1, None), 2: ("complete", 1, None), 3: ("queued", 1, None), 4: ("running", 1, "w2")}
