@@ -656,6 +656,17 @@ def rf_predict(spark, d):
     return found.select("image_id", "cls", S.argmax(models.correct_prior(F.col("proba"), [1.0] * 5, 1.0)).alias("predicted"))
 
 
+@query()
+def forest_tuning(spark, d):
+    """Two forests with three powers of the prior correction: fitted on one part of the images, scored on the others."""
+    rows = V.grey_images(spark, d).withColumn("cls", F.col("label") % 5).withColumn("held", S.uniform_draw(F.concat(F.lit("tune:"), F.col("image_id").cast("string"))) < 0.3)
+    train = jobs.stratified_sample(rows.where("NOT held"), ["cls"], "image_id", 1000)
+    shares = {r["cls"]: r["ratio"] for r in jobs.prior_ratio(rows.where("NOT held"), train, "cls").collect()}  # a row a class
+    ratio = [shares.get(c) or 1.0 for c in range(len(CLASSES))]
+    scores = models.tune_forest(train, rows.where("held"), "pixels", "cls", ratio, [{"trees": 20, "depth": 5}, {"trees": 20, "depth": 10}], [0.0, 0.5, 1.0])
+    return scores.join(F.broadcast(models.best_candidate(scores).select("forest", "power_no", F.lit(True).alias("best"))), ["forest", "power_no"], "left").select("forest", "power_no", "power", F.round("fg_macro_iou", 6).alias("fg_macro_iou"), F.coalesce("best", F.lit(False)).alias("best"))
+
+
 # further stages and study queries
 
 
