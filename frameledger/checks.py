@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import _RAW, COPIES_SQL, SOFT, _hashed, _soft, query, r6
 from .functions import scalars as S
-from .operators import duplicates, jobs, metrics, statistics
+from .operators import duplicates, jobs, metrics, review, statistics
 from .plans import views as V
 from .plans.views import AUDIT_IMAGES, AUDITS, FEEDBACK, PX, TRIALS, table
 from .schemas import CLASSES, TARGETS
@@ -80,6 +80,23 @@ def crop_origins(spark, d):
     return px.groupBy("image_id").agg(F.min_by(F.struct("t", "event_id"), order).alias("s")).select("image_id", F.col("s.t").alias("material"), "s.event_id")
 
 
+GREY = "g AS (SELECT vec_id AS image_id, list_transform(embedding, lambda v: greatest(0, least(255, floor(128 + v::DOUBLE * 500)))::BIGINT) AS e FROM embeddings)"
+_INSIDE = "[" + ", ".join(str(r * 8 + c + 1) for r in range(1, 7) for c in range(1, 7)) + "]"
+
+
+@query(
+    f"WITH {GREY}, l AS (SELECT image_id, e, list_transform({_INSIDE}, lambda i: e[i - 1] + e[i + 1] + e[i - 8] + e[i + 8] - 4 * e[i]) AS b FROM g),"
+    " q AS (SELECT image_id, list_sum(list_transform(b, lambda x: x * x)) / 36::DOUBLE - (list_sum(b) / 36::DOUBLE) ** 2 AS sharpness, list_sum(e) / 64::DOUBLE AS brightness, len(list_filter(e, lambda x: x <= 2 OR x >= 253)) / 64::DOUBLE AS clipped FROM l)"
+    " SELECT image_id, round(sharpness, 3) AS sharpness, round(brightness, 3) AS brightness, round(clipped, 6) AS clipped, array_to_string(list_filter([CASE WHEN sharpness < 20 THEN 'blurred' END, CASE WHEN brightness < 25 THEN 'underexposed' END, CASE WHEN brightness > 235 THEN 'overexposed' END, CASE WHEN clipped > 0.25 THEN 'clipped_exposure' END], lambda x: x IS NOT NULL), ';') AS issues FROM q"
+)
+def quality_statistics(spark, d):
+    """Sharpness, brightness and clipping of every image, and the issues that they mean for it."""
+    grey = F.transform("pixels", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v.cast("double") * 500 + 128))))
+    images = V.grey_images(spark, d).select("image_id", grey.alias("grey"))
+    rows = images.select("image_id", *[c.alias(n) for n, c in S.image_quality(F.col("grey"), 8, 8).items()])
+    return rows.select("image_id", F.round("sharpness", 3).alias("sharpness"), F.round("brightness", 3).alias("brightness"), F.round("clipped", 6).alias("clipped"), F.array_join(review.quality_issues(), ";").alias("issues"))
+
+
 # calibration by class
 
 

@@ -149,3 +149,20 @@ def rate_factor(step: Column, total: Column, warmup: int) -> Column:
 def last_parts(path: Column, n: int = 2) -> Column:
     """The last parts of a path: enough to know a file by, without the machine's folders."""
     return F.substring_index(path, "/", -n)
+
+
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, b: a + b) / F.size(values)
+
+
+def image_quality(image: Column, rows: int, cols: int) -> dict[str, Column]:
+    """Sharpness (population variance of the five-point Laplacian inside the border), brightness and share of clipped pixels of a flat grey image."""
+    inside = F.array(*[F.lit(r * cols + c) for r in range(1, rows - 1) for c in range(1, cols - 1)])
+
+    def bend(i: Column) -> Column:
+        return F.get(image, i - 1) + F.get(image, i + 1) + F.get(image, i - cols) + F.get(image, i + cols) - F.get(image, i) * 4
+
+    bends = F.transform(inside, lambda i: bend(i).cast("double"))
+    spread = F.transform(F.array(bends), lambda b: _mean(F.transform(b, lambda x: x * x)) - _mean(b) * _mean(b))[0] if min(rows, cols) > 2 else F.lit(0.0)
+    clipped = F.size(F.filter(image, lambda x: (x <= 2) | (x >= 253))) / F.size(image)
+    return {"sharpness": spread, "brightness": _mean(F.transform(image, lambda x: x.cast("double"))), "clipped": clipped}

@@ -73,10 +73,10 @@ def decide(images: DataFrame, policy: Policy = Policy()) -> DataFrame:
 
 def quality_issues(policy: Policy = Policy()) -> Column:
     return compact(
-        (F.col("sharpness") < policy.sharpness, "blurry"),
-        (F.col("brightness") < policy.brightness[0], "too_dark"),
-        (F.col("brightness") > policy.brightness[1], "too_bright"),
-        (F.col("clipped") > policy.clipped, "clipped"),
+        (F.col("sharpness") < policy.sharpness, "blurred"),
+        (F.col("brightness") < policy.brightness[0], "underexposed"),
+        (F.col("brightness") > policy.brightness[1], "overexposed"),
+        (F.col("clipped") > policy.clipped, "clipped_exposure"),
     )
 
 

@@ -65,7 +65,7 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     """A scored image a labelled document."""
     docs = table(spark, d, "documents").select("doc_id", "n_chars", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha256"))
     labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    issues = F.when(F.col("n_chars") < 100, F.array(F.lit("blurry"))).otherwise(F.expr("cast(array() as array<string>)"))
+    issues = F.when(F.col("n_chars") < 100, F.array(F.lit("blurred"))).otherwise(F.expr("cast(array() as array<string>)"))
     return docs.join(labels, "doc_id").select(
         "doc_id",
         "sha256",
@@ -77,7 +77,7 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 SCORED = """scored AS (SELECT d.doc_id, sha256(coalesce(text, '')) AS sha256, quality = 1 AS positive, round((n_chars % 1000) / 4000::DOUBLE, 6) AS total_target,
-  round((n_chars % 313) / 1000::DOUBLE, 6) AS uncertain, CASE WHEN n_chars < 100 THEN ['blurry'] ELSE []::VARCHAR[] END AS quality_issues
+  round((n_chars % 313) / 1000::DOUBLE, 6) AS uncertain, CASE WHEN n_chars < 100 THEN ['blurred'] ELSE []::VARCHAR[] END AS quality_issues
   FROM documents d JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id)"""
 
 

@@ -121,10 +121,10 @@ def test_idempotent_requests(spark):
 
 def test_policy_metrics(spark):
     empty = []
-    rows = [(1, "a", True, 0.2, 0.0, empty), (2, "b", True, 0.0, 0.3, empty), (3, "c", False, 0.9, 0.9, ["blurry"])]
+    rows = [(1, "a", True, 0.2, 0.0, empty), (2, "b", True, 0.0, 0.3, empty), (3, "c", False, 0.9, 0.9, ["blurred"])]
     df = spark.createDataFrame(rows, "id int, sha256 string, positive boolean, total_target double, uncertain double, quality_issues array<string>")
     got = {r.id: (r.route, r.reasons, r.priority) for r in review.decide(df).collect()}
-    assert got[1] == ("review", ["coverage"], 0.2) and got[2] == ("review", ["uncertainty"], 0.15) and got[3] == ("retake_image", ["blurry"], 1.0)
+    assert got[1] == ("review", ["coverage"], 0.2) and got[2] == ("review", ["uncertainty"], 0.15) and got[3] == ("retake_image", ["blurred"], 1.0)
 
 
 def test_stream_dedupe_takes_files_in_any_order_of_time(spark, tmp_path):
@@ -267,3 +267,19 @@ def test_leases_end_by_timers(spark, tmp_path):
     events = spark.readStream.schema("audit_id long, seq long, at timestamp, worker string, kind string").parquet(str(tmp_path / "b*"))
     got = {r.audit_id: (r.status, r.attempts, r.owner) for r in streams.drain_latest(streams.lease_states(events, 2 * 3_600_000, 3), ["audit_id"]).collect()}
     assert got == {1: ("queued", 1, None), 2: ("complete", 1, None), 3: ("queued", 1, None), 4: ("running", 1, "w2")}
+
+
+def test_image_quality_equals_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    for rows, cols in ((8, 8), (5, 9)):
+        image = rng.integers(0, 256, (rows, cols)).astype(float)
+        image[0, :3] = (0, 2, 253)
+        bends = image[:-2, 1:-1] + image[2:, 1:-1] + image[1:-1, :-2] + image[1:-1, 2:] - 4 * image[1:-1, 1:-1]
+        q = S.image_quality(F.col("x"), rows, cols)
+        got = spark.createDataFrame([(image.ravel().tolist(),)], "x array<double>").select(*q.values()).first()
+        assert tuple(got) == pytest.approx((bends.var(), image.mean(), ((image <= 2) | (image >= 253)).mean()))
+    assert spark.createDataFrame([([1.0, 2.0, 3.0, 4.0],)], "x array<double>").select(S.image_quality(F.col("x"), 2, 2)["sharpness"]).first()[0] == 0.0
+    seen = spark.createDataFrame([(19.9, 24.0, 0.3), (20.0, 25.0, 0.25), (50.0, 236.0, 0.0)], "sharpness double, brightness double, clipped double").select(review.quality_issues()).collect()
+    assert [r[0] for r in seen] == [["blurred", "underexposed", "clipped_exposure"], [], ["overexposed"]]
