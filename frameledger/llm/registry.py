@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, extract, licences, mixing, neardup, neighbours, quality, urlfilter, warc
+from . import bpe, chat, extract, interactions, licences, mixing, neardup, neighbours, quality, spelling, urlfilter, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": neardup.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_quality_rules": quality.query,
     "op9_quality_ablations": quality.query_ablations,
     "op10_licence_scan": licences.query,
+    "op11_filter_interactions": interactions.query,
+    "op12_spelling_variants": spelling.query,
 }
 
 SQL = {
@@ -26,4 +28,6 @@ SQL = {
     "op8_chat_perspectives": chat.SQL,
     "op9_quality_rules": quality.SQL,
     "op9_quality_ablations": quality.ABLATIONS_SQL,
+    "op11_filter_interactions": interactions.SQL,
+    "op12_spelling_variants": spelling.SQL,
 }
