@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, extract, interactions, licences, mixing, neardup, neighbours, quality, spelling, urlfilter, warc
+from . import bpe, chat, decontaminate, extract, interactions, licences, mixing, neardup, neighbours, quality, spelling, urlfilter, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": neardup.query,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_licence_scan": licences.query,
     "op11_filter_interactions": interactions.query,
     "op12_spelling_variants": spelling.query,
+    "op13_decontaminate": decontaminate.query,
 }
 
 SQL = {
@@ -30,4 +31,5 @@ SQL = {
     "op9_quality_ablations": quality.ABLATIONS_SQL,
     "op11_filter_interactions": interactions.SQL,
     "op12_spelling_variants": spelling.SQL,
+    "op13_decontaminate": decontaminate.SQL,
 }
