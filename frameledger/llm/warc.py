@@ -203,6 +203,18 @@ def _opener(path: str):
 RECORDS = "file string, offset long, warc_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
 
+def dealt_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(path, size, start): the byte ranges of all files under ``path``, dealt to tasks in their order.
+
+    A task takes neighbouring ranges: one each while there are no more than tasks, and about as many as any other else.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    n_ranges = files.agg(F.sum(F.ceil(F.col("length") / range_bytes)).alias("n")).first()["n"] or 1
+    tasks = max(math.ceil(n_ranges / RANGES_TOGETHER), min(n_ranges, 4 * spark.sparkContext.defaultParallelism))
+    ranges = files.where("length > 0").select("path", F.col("length").alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
+    return ranges.repartitionByRange(tasks, "path", "start")
+
+
 def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The records of all archives under ``path``.
 
@@ -212,11 +224,7 @@ def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
     Ranges are small rows, so the number of tasks is set by the bytes that they stand for: one for every ``RANGES_TOGETHER`` of
     them, or a range each until there is work for every core.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    n_ranges = files.agg(F.sum(F.ceil(F.col("length") / range_bytes)).alias("n")).first()["n"] or 1
-    tasks = max(math.ceil(n_ranges / RANGES_TOGETHER), min(n_ranges, 4 * spark.sparkContext.defaultParallelism))
-    ranges = files.where("length > 0").select("path", F.col("length").alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
-    ranges = ranges.repartition(tasks, F.col("path"), F.col("start"))
+    ranges = dealt_ranges(spark, path, range_bytes)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), *[(n, pa.string()) for n in ("warc_type", "record_id", "target_uri", "refers_to", "payload_digest")], ("payload_bytes", pa.int64()), ("payload", pa.binary())])

@@ -106,9 +106,7 @@ def test_warc_round_trip_over_all_splits(spark, folder):
     want = {i: (len((h or "").encode()), warc.base32_sha1((h or "").encode()), None if first[h or ""] == i else first[h or ""]) for i, _, h, _ in rows if i is not None}
     for size in (997, 1 << 20):
         got, nameless = {}, []
-        found = warc.read_archives(spark, folder, max(size, 64 << 10)).drop("payload")
-        if size < 1000:
-            assert found.select(F.spark_partition_id()).distinct().count() > 1  # not one task reads all
+        found = warc.read_archives(spark, folder, size).drop("payload")
         for r in found.collect():
             refers = int(r.refers_to[10:-1]) if r.refers_to else None
             if r.record_id.startswith("<urn:record:"):
@@ -119,6 +117,16 @@ def test_warc_round_trip_over_all_splits(spark, folder):
         assert sorted(nameless, key=str) == [("response", 8, None), ("response", 8, None), ("revisit", 4, first["same"])]
 
 
+def test_warc_ranges_are_dealt_evenly(spark, folder):
+    warc.write_archives(pages(spark, [(i, "u", random.Random(i).randbytes(900).hex(), 1) for i in range(90)]), folder)
+    for size in (499, 997, 5000, 40_000, 1 << 20):
+        dealt = warc.dealt_ranges(spark, folder, size)
+        n, held = dealt.count(), [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+        tasks = dealt.rdd.getNumPartitions()
+        assert sum(held) == n and max(held) <= -(-n // tasks) + 1
+        assert len(held) == n if n <= tasks else len(held) >= tasks - 1
+
+
 def test_warc_min_bytes_and_empty(spark, folder):
     warc.write_archives(pages(spark, [(1, "u", "ab", 1), (2, "u", "ab", 1)]), folder, min_bytes=3)
     assert {r.warc_type for r in warc.read_archives(spark, folder).collect()} == {"response"}
