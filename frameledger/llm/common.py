@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD_DELIMITERS = r"[\x20\x09-\x0D]+"
 
@@ -15,6 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, also where a name holds a dot."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that columns made beside it can't clash with any of them."""
+    return F.struct(*columns_of(df))
+
+
+def row_digest(df: DataFrame) -> Column:
+    """A digest of all columns that tells rows of one id apart; maps, which have no order, are left out."""
+    kept = [c for c, field in zip(columns_of(df), df.schema.fields, strict=True) if "map<" not in field.dataType.simpleString()]
+    return F.xxhash64(*kept) if kept else F.lit(0).cast("long")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 

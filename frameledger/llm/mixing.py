@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, store, table
+from .common import fresh_path, row_digest, store, table, whole_row
 
 #: Slots of a period at least, and for each source, of which a period has whole thousands.
 PERIOD = 1000
@@ -89,13 +89,17 @@ def mix(
     source are taken in the order of md5(id), so that every stretch is a fair draw. As long as no
     source has run out, each has had its weight to within less than one block; the slots of a source
     that has run out stay empty, and no row is dropped or repeated. Sources without a weight, or
-    with weight 0, get the smallest share. A null source is one of its own; null ids come first; rows
-    with equal ids follow each other in any order. Columns of these three names are replaced. An empty
+    with weight 0, get the smallest share. A null source is one of its own; rows without an id are drawn by a
+    digest of the whole row instead; rows with equal ids follow each other in the order of that digest, and only rows that are
+    equal throughout may change places. Columns of these three names are replaced, any others may have any name. An empty
     table gives an empty result. ``period`` grows with the number of sources unless it is given; then more
     sources than it has slots are an error.
     """
     made = ["mix_block", "mix_slot", "mix_offset"]
-    rows = docs.drop(*made).withColumns({"__key": _key(F.col(source_col)), "__order": F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))})
+    rows = docs.drop(*made)
+    digest = row_digest(rows)
+    drawn_by = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("row "), digest.cast("string")))
+    rows = rows.select(whole_row(rows).alias("row"), _key(F.col(source_col)).alias("__key"), F.md5(drawn_by.cast("binary")).alias("__order"), F.col(id_col).cast("string").alias("__id"), digest.alias("__digest"))
     # the leading hex digits of the order: parts follow each other in it
     rows = rows.withColumn("__part", F.floor(F.conv(F.substring("__order", 1, 6), 16, 10).cast("long") * parts / (1 << 24)).cast("int"))
     counts = rows.groupBy(F.col("__key").alias("key"), F.col("__part").alias("part")).agg(F.count(F.lit(1)).alias("n"))
@@ -109,7 +113,7 @@ def mix(
     starts = counts.select(F.col("key").alias("__key"), F.col("part").alias("__part"), before.alias("__before"))
     schedule = period_schedule(target_units(counts.groupBy("key").agg(F.sum("n").alias("n")), weights, period, flatten), period)
     schedule = schedule.select(F.col("key").alias("__key"), F.col("c").alias("__c"), F.col("nth").alias("__nth"), F.col("slot").alias("__slot"))
-    nth = F.row_number().over(Window.partitionBy("__key", "__part").orderBy("__order")) - 1
+    nth = F.row_number().over(Window.partitionBy("__key", "__part").orderBy("__order", "__id", "__digest")) - 1
     placed = rows.withColumn("__in_part", nth).join(starts, ["__key", "__part"])
     placed = placed.withColumn("__at", F.col("__before") + F.col("__in_part"))
     placed = placed.withColumn("mix_block", F.floor(F.col("__at") / block_rows)).withColumn("mix_offset", (F.col("__at") % block_rows).cast("int"))
@@ -117,7 +121,7 @@ def mix(
     placed = placed.join(F.broadcast(units), "__key")  # ``period`` slots in all, whatever the corpus
     within = F.element_at("__slots", F.col("mix_block") % F.col("__c"))
     placed = placed.withColumn("mix_slot", F.floor(F.col("mix_block") / F.col("__c")) * period + within)
-    return placed.select(*[c for c in docs.columns if c not in made], *made)
+    return placed.select("row.*", *made)
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

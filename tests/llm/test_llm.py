@@ -505,3 +505,54 @@ def test_registered_queries_have_the_agreed_columns(spark):
     for name, columns in want.items():
         assert registry.QUERIES[name](spark, sf).columns[: len(columns)] == columns
     assert F is not None
+
+
+AWKWARD = "doc_id long, text string, source string, n long, row int, key string, kept boolean, id int, digest long, mix_slot string, `a.dotted name` int, bag map<string,int>"
+
+
+def awkward_rows():
+    rng = random.Random(9)
+    base = [" ".join(rng.choice("alpha beta gamma delta omega sigma kappa".split()) + str(rng.randrange(90)) for _ in range(60)) for _ in range(12)]
+    rows = []
+    for i in range(60):
+        words = base[i % 12].split()
+        if i % 3:
+            words[rng.randrange(60)] = "changed"
+        rows.append((rng.choice([i, i, i % 5, None]), rng.choice([" ".join(words)] * 6 + [None, ""]), rng.choice(["s", "s", None]), i, i, "k", True, i, i, "m", i, {"x": i}))
+    rows.append((900, " ".join(f"long{k}" for k in range(30_000)), "s", 1, 1, "k", True, 1, 1, "m", 1, None))
+    return rows + rows[:7]
+
+
+def test_pipeline_stages_keep_clashing_columns_and_rows_without_id(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from collections import Counter
+
+    def bag(df):
+        return Counter(str(r) for r in df.collect())
+
+    docs_ = spark.createDataFrame(awkward_rows(), AWKWARD)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs_, "")
+        assert out.schema.fieldNames() == docs_.schema.fieldNames()
+        again = stage(spark, docs_.repartition(3), "")
+        assert bag(out) == bag(again) and not bag(out) - bag(docs_)
+        docs_ = spark.createDataFrame(out.collect(), AWKWARD)
+    named = docs_.where("doc_id IS NOT NULL")
+    assert named.count() == named.select("doc_id").distinct().count() and docs_.where("doc_id IS NULL").count() > 2
+    last = corpus_pipeline.STAGES[-1][1](spark, docs_, "")
+    assert last.count() == docs_.count() and docs_.where("doc_id = 900").count() == 1
+    empty = spark.createDataFrame([], AWKWARD)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0
+
+
+def test_mix_places_rows_alike_however_they_are_dealt(spark):
+    """Rows without an id, repeated ids and repeated rows: the same places from another partitioning."""
+    df = spark.createDataFrame(awkward_rows(), AWKWARD).drop("mix_slot")
+
+    def places(rows):
+        return sorted((r.mix_slot, r.mix_offset, str(r.doc_id), str(r.text), r.n) for r in rows.collect())
+
+    first = places(mixing.mix(df, parts=4))
+    assert first == places(mixing.mix(df.repartition(7), parts=4)) == places(mixing.mix(df.orderBy(F.rand(3)), parts=4))
+    assert len({p[:2] for p in first}) == len(first) == df.count()
