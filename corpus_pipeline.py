@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameledger.llm import bpe, mixing, neardup, quality
-from frameledger.llm.common import materialize, table
+from frameledger.llm.common import materialize, row_digest, table, whole_row
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     measures it. It leaves through an array of one or no row: a filter would be pushed into the measuring, which would then
     be done for every use of a word list. A null text has no words and goes; no rows give no rows.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    rows = docs.select(whole_row(docs).alias("row"), "text")
     judged = quality.apply_policy(quality.measure(rows, "row", "text"), quality.PRODUCTION)
     return judged.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")
 
@@ -29,24 +29,27 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each near-duplicate component (operator 1).
 
-    Of rows that share an id that of the smallest text stays, of equal texts that of the smallest other columns; rows without an id all
-    stay. No rows give no rows.
+    Of rows that share an id that of the smallest text stays, a null text being the smallest, of equal texts that of the smallest
+    digest of all columns; an id goes if one of its rows is a near copy; rows without an id all stay. Further columns may have any name. No rows give no rows.
     """
-    kept = neardup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id")
-    single = named.where("n = 1").select(*docs.columns)
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = named.where("n > 1").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row")).select("doc_id", "row.*").select(*docs.columns)
-    return single.unionByName(one).unionByName(docs.where("doc_id IS NULL"))
+    found = neardup.near_duplicates(docs).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("kept_id"))
+    kept = found.agg(F.min("kept").alias("stays"), F.count(F.lit(1)).alias("rows_of_id")).where("stays")
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").alias("key"), "text", row_digest(docs).alias("digest"))
+    named = rows.where("key IS NOT NULL").join(kept, F.col("key") == F.col("kept_id"))
+    single = named.where("rows_of_id = 1").select("row")
+    one = named.where("rows_of_id > 1").groupBy("key").agg(F.min_by("row", F.struct("text", "digest")).alias("row")).select("row")
+    return single.unionByName(one).unionByName(rows.where("key IS NULL").select("row")).select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts the rows in the order that gives each source its target weight throughout (operator 3).
 
     The order is the files' order and the rows' order within them; every row stays, a null source being one of its own,
-    null ids coming first and repeated rows following each other. No rows give no rows.
+    rows without an id being drawn by their other columns and repeated rows following each other. Columns named as the mixing's own come
+    through it unread. No rows give no rows.
     """
-    return mixing.in_order(mixing.mix(docs)).select(*docs.columns)
+    packed = docs.select("doc_id", "source", whole_row(docs).alias("row"))
+    return mixing.in_order(mixing.mix(packed)).select("row.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
