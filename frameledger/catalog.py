@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .operators import duplicates, jobs, metrics, models, review, splits, statistics
+from .operators.resampling import draws_sql
 from .plans import views as V
 from .plans.views import AUDIT_IMAGES, AUDITS, COPIES, FEEDBACK, FRAME_PAIRS, FRAMES, PX, SCORED, TRIALS, table
 from .schemas import CLASSES, TARGETS
@@ -377,13 +378,15 @@ def fitted_temperature(spark, d):
     return statistics.nll(rows, F.get(S.softmax(F.col("z"), t), F.col("truth"))).select(F.round("nll", 6).alias("nll"), F.lit(t).alias("temperature"))
 
 
-BOOT_SQL = f"""{CELLS}, gs AS (SELECT image_id, sum(CASE WHEN t = p THEN n ELSE 0 END) AS good, sum(n) AS n FROM cells GROUP BY image_id), k AS (SELECT count(*) AS k FROM gs), g AS (SELECT *, row_number() OVER (ORDER BY image_id) - 1 AS g FROM gs),
-slots AS (SELECT r, k, unnest(range(k)) AS slot FROM (SELECT unnest(range(2000)) AS r), k), draws AS (SELECT r, ('0x' || substr(md5('0:' || r || ':' || slot), 1, 12))::BIGINT % k AS g FROM slots),
+GROUP_SUMS = f"{CELLS}, gs AS (SELECT image_id, sum(CASE WHEN t = p THEN n ELSE 0 END) AS good, sum(n) AS n FROM cells GROUP BY image_id)"
+BOOT_SQL = f"""{GROUP_SUMS}, g AS (SELECT *, row_number() OVER (ORDER BY image_id) - 1 AS g FROM gs),
+{draws_sql()},
 vals AS (SELECT r, sum(good) / sum(n)::DOUBLE AS value FROM draws JOIN g USING (g) GROUP BY r)"""
+INTERVAL = "round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, (SELECT k FROM k) AS n_groups, (SELECT k FROM k) < 5 AS few_groups"
 
 
 def _accuracy(rows: DataFrame, by: list[str]) -> DataFrame:
-    return rows.groupBy(*by).agg((F.sum(F.col("good") * F.col("times")).cast("double") / F.sum(F.col("n") * F.col("times"))).alias("value"))
+    return rows.groupBy(*by).agg((F.sum("good").cast("double") / F.sum("n")).alias("value"))
 
 
 def _group_sums(spark, d):
@@ -391,22 +394,69 @@ def _group_sums(spark, d):
     return cells.groupBy("image_id").agg(F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)).alias("good"), F.sum("n").alias("n"))
 
 
-@query(f"WITH {BOOT_SQL} SELECT round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, (SELECT k FROM k) AS n_groups, (SELECT k FROM k) < 5 AS few_groups FROM vals")
+@query(f"WITH {BOOT_SQL} SELECT (SELECT round(sum(good) / sum(n)::DOUBLE, 6) FROM g) AS estimate, {INTERVAL} FROM vals")
 def bootstrap_ci(spark, d):
-    return r6(statistics.bootstrap(_group_sums(spark, d), "image_id", _accuracy), "low", "high")
+    return r6(statistics.bootstrap(_group_sums(spark, d), "image_id", _accuracy), "estimate", "low", "high")
 
 
-@query(f"WITH {BOOT_SQL}, vals2 AS (SELECT r, sum(good) / sum(n)::DOUBLE - sum(CASE WHEN g % 2 = 0 THEN good ELSE 0 END) / nullif(sum(CASE WHEN g % 2 = 0 THEN n ELSE 0 END), 0)::DOUBLE AS value FROM draws JOIN g USING (g) GROUP BY r) SELECT round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, (SELECT k FROM k) AS n_groups, (SELECT k FROM k) < 5 AS few_groups FROM vals2")
+#: Two runs of each of two sides, all of the same images: the given prediction and ones that miss or confuse a part of it.
+RUNS = {"a1": ("p", lambda: F.col("p")), "a2": ("CASE WHEN event_id % 11 = 0 THEN (p + 1) % 5 ELSE p END", lambda: F.when(F.col("event_id") % 11 == 0, (F.col("p") + 1) % 5).otherwise(F.col("p"))),
+        "b1": ("CASE WHEN event_id % 3 = 0 THEN 0 ELSE p END", lambda: F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("p"))), "b2": ("CASE WHEN event_id % 4 = 1 THEN 0 ELSE p END", lambda: F.when(F.col("event_id") % 4 == 1, 0).otherwise(F.col("p")))}
+_SUMS = [f"{what}_{run}_{c}" for run in RUNS for c in TARGETS for what in ("both", "either")]
+_RUN_SQL = ", ".join(f"count_if(t = {c} AND {p} = {c}) AS both_{run}_{c}, count_if(t = {c} OR {p} = {c}) AS either_{run}_{c}" for run, (p, _) in RUNS.items() for c in TARGETS)
+
+
+def _macro_sql(run: str) -> str:
+    return "list_avg([" + ", ".join(f"sum(both_{run}_{c}) / nullif(sum(either_{run}_{c}), 0)::DOUBLE" for c in TARGETS) + "])"
+
+
+_DIFFERENCE = f"({_macro_sql('a1')} + {_macro_sql('a2')}) / 2 - ({_macro_sql('b1')} + {_macro_sql('b2')}) / 2"
+PAIRED_SQL = f"""{PX}, gs AS (SELECT image_id, {_RUN_SQL} FROM px WHERE t <> 255 GROUP BY image_id), g AS (SELECT *, row_number() OVER (ORDER BY image_id) - 1 AS g FROM gs),
+{draws_sql()}"""
+
+
+def run_sums(spark, d):
+    """A row an image: for each run and target class the pixels of truth and prediction, and of either."""
+    px = V.pixels(spark, d).where("t <> 255")
+    sums = []
+    for run, (_, made) in RUNS.items():
+        for c in TARGETS:
+            t, p = F.col("t") == c, made() == c
+            sums += [F.count_if(t & p).alias(f"both_{run}_{c}"), F.count_if(t | p).alias(f"either_{run}_{c}")]
+    return px.groupBy("image_id").agg(*sums)
+
+
+def macro_iou(run: str) -> Column:
+    """Macro IoU of the target classes from summed counts, classes that occur nowhere left out."""
+    ious = F.filter(F.array(*[F.try_divide(F.col(f"both_{run}_{c}").cast("double"), F.col(f"either_{run}_{c}")) for c in TARGETS]), lambda x: x.isNotNull())
+    return F.try_divide(F.aggregate(ious, F.lit(0.0), lambda a, b: a + b), F.size(ious))
+
+
+def mean_difference(side_a: list[str], side_b: list[str]):
+    """The statistic of a comparison: the mean macro IoU over the runs of one side less that over the other's, of summed counts."""
+
+    def statistic(rows: DataFrame, by: list[str]) -> DataFrame:
+        summed = rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in _SUMS])
+        mean = [sum((macro_iou(run) for run in side), F.lit(0.0)) / len(side) for side in (side_a, side_b)]
+        return summed.select(*by, (mean[0] - mean[1]).alias("value"))
+
+    return statistic
+
+
+@query(f"WITH {PAIRED_SQL}, vals AS (SELECT r, {_DIFFERENCE} AS value FROM draws JOIN g USING (g) GROUP BY r) SELECT (SELECT round({_DIFFERENCE}, 6) FROM g) AS estimate, {INTERVAL} FROM vals")
 def paired_bootstrap(spark, d):
-    """Difference of two statistics under the same draws: all images against those of even number."""
+    """Two runs of each of two sides under shared draws: the interval of the difference of their mean macro IoU."""
+    return r6(statistics.bootstrap(run_sums(spark, d), "image_id", mean_difference(["a1", "a2"], ["b1", "b2"])), "estimate", "low", "high")
+
 
-    def difference(rows: DataFrame, by: list[str]) -> DataFrame:
-        def ratio(cond: Column) -> Column:
-            return F.try_divide(F.sum(F.when(cond, F.col("good") * F.col("times")).otherwise(0)).cast("double"), F.sum(F.when(cond, F.col("n") * F.col("times")).otherwise(0)))
+@query(f"WITH {PAIRED_SQL}, vals AS (SELECT r, {_macro_sql('a1')} AS value FROM draws JOIN g USING (g) GROUP BY r) SELECT (SELECT round({_macro_sql('a1')}, 6) FROM g) AS estimate, {INTERVAL} FROM vals")
+def bootstrap_macro_iou(spark, d):
+    """The interval of one run's macro IoU of summed counts."""
 
-        return rows.groupBy(*by).agg((ratio(F.lit(True)) - ratio(F.col("g") % 2 == 0)).alias("value"))
+    def statistic(rows: DataFrame, by: list[str]) -> DataFrame:
+        return rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in _SUMS]).select(*by, macro_iou("a1").alias("value"))
 
-    return r6(statistics.bootstrap(_group_sums(spark, d), "image_id", difference), "low", "high")
+    return r6(statistics.bootstrap(run_sums(spark, d), "image_id", statistic), "estimate", "low", "high")
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS max, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY event_type")
@@ -688,7 +738,7 @@ def split_buffer_exclusion(spark, d):
     return near.where(F.col("gap") <= BUFFER).select("image_id", "gap")
 
 
-@query(f"WITH {BOOT_SQL} SELECT image_id, good::BIGINT AS good, n::BIGINT AS n FROM gs")
+@query(f"WITH {GROUP_SUMS} SELECT image_id, good::BIGINT AS good, n::BIGINT AS n FROM gs")
 def group_sums(spark, d):
     return _group_sums(spark, d)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .catalog import _RAW, COPIES_SQL, SOFT, _hashed, _soft, query, r6
 from .functions import scalars as S
 from .operators import duplicates, jobs, metrics, review, statistics
+from .operators.resampling import draws_sql
 from .plans import views as V
 from .plans.views import AUDIT_IMAGES, AUDITS, FEEDBACK, PX, TRIALS, table
 from .schemas import CLASSES, TARGETS
@@ -228,8 +229,8 @@ def suggestions(spark, d):
 
 
 BOOT_TRIALS = f"""{TRIALS}, gs AS (SELECT participant, sum(CASE condition WHEN 'assisted' THEN round(seconds * 100)::BIGINT ELSE 0 END) AS s1, count_if(condition = 'assisted') AS n1, sum(CASE condition WHEN 'unaided' THEN round(seconds * 100)::BIGINT ELSE 0 END) AS s0, count_if(condition = 'unaided') AS n0,
- count_if(positive AND follow_up) AS hits, count_if(positive) AS positives FROM trials GROUP BY participant), k AS (SELECT count(*) AS k FROM gs), g AS (SELECT *, row_number() OVER (ORDER BY participant) - 1 AS g FROM gs),
- slots AS (SELECT r, k, unnest(range(k)) AS slot FROM (SELECT unnest(range(2000)) AS r), k), draws AS (SELECT r, ('0x' || substr(md5('0:' || r || ':' || slot), 1, 12))::BIGINT % k AS g FROM slots),
+ count_if(positive AND follow_up) AS hits, count_if(positive) AS positives FROM trials GROUP BY participant), g AS (SELECT *, row_number() OVER (ORDER BY participant) - 1 AS g FROM gs),
+{draws_sql()},
  vals AS (SELECT r, sum(s1) / nullif(sum(n1), 0)::DOUBLE - sum(s0) / nullif(sum(n0), 0)::DOUBLE AS seconds, sum(hits) / nullif(sum(positives), 0)::DOUBLE AS recall FROM draws JOIN g USING (g) GROUP BY r)"""
 
 
@@ -246,7 +247,7 @@ def participant_bootstrap(spark, d):
     )
 
     def ratio(a: str, b: str) -> Column:
-        return F.try_divide(F.sum(F.col(a) * F.col("times")).cast("double"), F.sum(F.col(b) * F.col("times")))
+        return F.try_divide(F.sum(a).cast("double"), F.sum(b))
 
     parts = {"seconds": ((ratio("s1", "n1") - ratio("s0", "n0")), 100), "recall": (ratio("hits", "positives"), 1)}
     out = None

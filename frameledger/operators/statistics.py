@@ -1,4 +1,4 @@
-"""Group bootstrap with hash draws, calibration and percentiles."""
+"""Group bootstrap, calibration and percentiles."""
 
 from __future__ import annotations
 
@@ -9,12 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import right_closed_bin
 from ..sources.shared import stored
-
-
-def draw(seed: int, replicate: Column, slot: Column, n: Column) -> Column:
-    """Which of n groups a slot of a replicate draws, from an MD5 digest."""
-    text = F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), slot.cast("string"))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long") % n
+from .resampling import resample
 
 
 def running(rows: DataFrame, by: list[str], order: str, columns: list[str], descending: bool = False) -> DataFrame:
@@ -44,20 +39,19 @@ def numbered_groups(sums: DataFrame, group: str) -> DataFrame:
 
 
 def bootstrap(sums: DataFrame, group: str, statistic: Callable[[DataFrame, list[str]], DataFrame], replicates: int = 2000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
-    """(low, high, n_groups, few_groups) of ``statistic`` under resampling of whole groups.
+    """(estimate, low, high, n_groups, few_groups) of ``statistic`` under resampling of whole groups; no groups give nulls.
 
-    ``sums`` is already summed by group, so a replicate joins group rows and not the rows under them.
-    ``statistic`` gets the drawn rows with column r and the columns to group by, and returns (r, value).
+    ``sums`` is already summed by group, a row a group, so a replicate draws group rows and not the rows under them.
+    ``statistic`` gets the drawn rows with column r and the columns to group by, and returns (r, value); columns that belong to several runs or
+    sides of a comparison are drawn together. Undefined values are left out of the interval.
     """
-    spark = sums.sparkSession
-    rows = numbered_groups(sums, group)
-    k = rows.select("k").distinct()
-    slots = spark.range(replicates).withColumnRenamed("id", "r").crossJoin(F.broadcast(k)).select("r", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("slot"))
-    drawn = slots.select("r", draw(seed, F.col("r"), F.col("slot"), F.col("k")).alias("g")).groupBy("r", "g").agg(F.count(F.lit(1)).alias("times"))
-    values = statistic(drawn.join(rows, "g"), ["r"])
+    rows = stored(numbered_groups(sums, group), "groups")
+    k = rows.count()
     tail = (1 - confidence) / 2
+    values = statistic(resample(rows.drop("k"), k, replicates, seed), ["r"]).where(~F.isnan("value"))  # a row a replicate
     cuts = values.agg(F.percentile("value", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
-    return cuts.crossJoin(k).select(F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"), F.col("k").alias("n_groups"), (F.col("k") < 5).alias("few_groups"))
+    whole = statistic(rows.drop("k").withColumn("r", F.lit(0).cast("long")), ["r"]).agg(F.max("value").alias("estimate"))
+    return whole.crossJoin(cuts).select("estimate", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"), F.lit(k).cast("long").alias("n_groups"), F.lit(k < 5).alias("few_groups"))  # one row each
 
 
 def ece_bins(predictions: DataFrame, confidence: str, correct: str, bins: int = 15) -> DataFrame:
