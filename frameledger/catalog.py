@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import duplicates, jobs, metrics, models, review, splits, statistics
+from .operators import duplicates, jobs, metrics, models, review, spacing, splits, statistics
 from .operators.resampling import draws_sql
 from .plans import views as V
 from .plans.views import AUDIT_IMAGES, AUDITS, COPIES, FEEDBACK, FRAME_PAIRS, FRAMES, PX, SCORED, TRIALS, table
@@ -787,7 +787,7 @@ t AS (SELECT n.* FROM n JOIN (SELECT sequence_id, min(frame_index) AS frame_inde
 SELECT sequence_id, image_id FROM t"""
 )
 def spaced_frames(spark, d):
-    return jobs.spaced_selection(V.frames(spark, d), "sequence_id", "frame_index", "image_id", 20_000)
+    return spacing.spaced_selection(V.frames(spark, d), "sequence_id", "frame_index", "image_id", 20_000)
 
 
 @query("SELECT c_mktsegment, n_name, count(*) AS n, count_if(o_orderstatus = 'F') AS n_finished, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS total_cents FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hamming
+from .spacing import carried
 
 
 def exact_groups(rows: DataFrame, key: str, id_col: str) -> DataFrame:
@@ -62,27 +63,27 @@ def hamming_pairs(rows: DataFrame, id_col: str, hash_col: str, k: int, bits: int
 def nearest_gap(left: DataFrame, right: DataFrame, group: str, at: str, id_col: str) -> DataFrame:
     """(id_col, gap): distance of each left row to the nearest right row of its group, both directions.
 
-    One union, one window by (group, at): no pair of rows is formed. Rows of a null group have no neighbour.
+    One union, in ranges of (group, at) each way: no pair of rows is formed and no group lies in one task. Rows of a null group have no neighbour.
     """
     rows = left.select(group, at, id_col, F.lit(None).cast("long").alias("mark")).union(right.select(group, at, F.lit(None).cast(dict(left.dtypes)[id_col]), F.col(at).cast("long"))).where(F.col(group).isNotNull() & F.col(at).isNotNull())
-    w = Window.partitionBy(group).orderBy(at)
-    before = F.max("mark").over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.min("mark").over(w.rangeBetween(0, Window.unboundedFollowing))
-    gap = F.least(F.col(at) - before, after - F.col(at))
-    return rows.withColumn("gap", gap).where(F.col("mark").isNull() & F.col("gap").isNotNull()).select(id_col, "gap")
+    asks = F.col("mark").isNull()  # what asks comes after the marks of its place, each way
+    seen = carried(carried(rows, [group], [F.col(at), asks], "mark", "before"), [group], [F.col(at).desc(), asks], "mark", "after")
+    gap = F.least(F.col(at) - F.col("before"), F.col("after") - F.col(at))
+    return seen.withColumn("gap", gap).where(F.col("mark").isNull() & F.col("gap").isNotNull()).select(id_col, "gap")
 
 
 def min_split_gaps(frames: DataFrame, group: str = "sequence_id", at: str = "frame_index", split: str = "split") -> DataFrame:
     """(pair, min_gap): the least frame distance between each two splits inside a sequence.
 
-    Of the frames in order only those next to each other can be nearest; per other split the last frame
-    seen is carried along.
+    Of the frames in order only those next to each other can be nearest; per split the last frame seen is carried along, over
+    ranges of the order. Of equal places one frame has to see the other, which the order of the splits settles.
     """
     names = ["train", "val", "test"]
-    w = Window.partitionBy(group).orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
-    carried = frames.where(F.col(group).isNotNull()).select(split, at, *[F.max(F.when(F.col(split) == n, F.col(at))).over(w).alias(f"last_{n}") for n in names])
+    rows = frames.where(F.col(group).isNotNull()).select(group, F.col(split).alias("own"), F.col(at).alias("at"))
+    for n in names:
+        rows = carried(rows.withColumn("mark", F.when(F.col("own") == n, F.col("at"))), [group], [F.col("at"), F.col("own")], "mark", f"last_{n}")
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("other"), F.col(f"last_{n}").alias("seen")) for n in names]))
-    gaps = carried.select(F.col(split).alias("own"), F.col(at).alias("at"), each.alias("o")).where("o.seen IS NOT NULL AND o.other <> own")
+    gaps = rows.select("own", "at", each.alias("o")).where("o.seen IS NOT NULL AND o.other <> own")
     pair = F.concat_ws("|", F.array_sort(F.array("own", "o.other")))
     return gaps.groupBy(pair.alias("pair")).agg(F.min(F.col("at") - F.col("o.seen")).alias("min_gap"))
 

@@ -148,22 +148,6 @@ def remap(rows: DataFrame, cls: str, mapping: dict[int, int], ignored: int = 255
     return rows.withColumn("mapped", F.when(F.col(cls) == ignored, F.lit(ignored)).otherwise(F.try_element_at(table, F.col(cls))))
 
 
-def spaced_selection(frames: DataFrame, group: str, at: str, id_col: str, gap: int) -> DataFrame:
-    """(group, id): going up a sequence, each frame at least ``gap`` after the last one taken.
-
-    The choice of a frame depends on the one before, so a sequence is folded in order; only its frames'
-    places are gathered, and sequences are recordings of bounded length.
-    """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(at).cast("long").alias("at"), F.col(id_col).alias("id"))))
-    start = F.struct(F.lit(-(1 << 62)).cast("long").alias("last"), F.filter(ordered, lambda x: F.lit(False)).alias("taken"))
-
-    def step(s: Column, x: Column) -> Column:
-        fits = x["at"] - s["last"] >= gap
-        return F.struct(F.when(fits, x["at"]).otherwise(s["last"]).alias("last"), F.when(fits, F.concat(s["taken"], F.array(x))).otherwise(s["taken"]).alias("taken"))
-
-    return frames.groupBy(group).agg(F.aggregate(ordered, start, step)["taken"].alias("taken")).select(group, F.explode("taken").alias("x")).select(group, F.col("x.id").alias(id_col))
-
-
 def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """(rule, n): how many rows break each rule, by one aggregation; a rule that gives null isn't broken."""
     counts = rows.agg(*[F.count_if(c).alias(name) for name, c in rules.items()])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import _RAW, CELLS, DECIDED, NOW, SIDES, SOFT, _soft, query
 from .functions.scalars import compact
-from .operators import jobs, metrics, review
+from .operators import jobs, metrics, review, spacing
 from .plans import views as V
 from .plans.views import AUDIT_IMAGES, AUDITS, FEEDBACK, PX, TRIALS, table
 from .schemas import CLASSES, TARGETS
@@ -177,19 +177,38 @@ def set_summary(spark, d):
     return V.trials(spark, d).groupBy("condition").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("participant").alias("n_participants"), F.round(F.avg(F.col("positive").cast("int")), 6).alias("prevalence"), F.round(F.avg("seconds"), 6).alias("mean_seconds"))
 
 
-@query(
-    f"WITH {TRIALS}, g AS (SELECT event_id, CASE WHEN NOT positive THEN 'negative' WHEN seconds < 10 THEN 'low' WHEN seconds < 40 THEN 'middle' ELSE 'high' END AS stratum, md5('0:' || event_id) AS o FROM trials),"
-    " q(stratum, quota) AS (VALUES ('negative', 50), ('low', 17), ('middle', 17), ('high', 16)), r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY o, event_id) AS k FROM g) SELECT event_id, stratum FROM r JOIN q USING (stratum) WHERE k <= quota"
-)
+_STRATA = (("negative", 20), ("low", 10), ("middle", 9), ("high", 9))
+_GAP = 20_000
+
+
+def _quota_sql() -> str:
+    """Each stratum in turn: the next image by its hash that keeps the gap from all that were taken, until the quota is full."""
+    parts = [f"pool AS (SELECT event_id AS id, user_id AS seq, floor(epoch(ts))::BIGINT AS pos, md5('0:' || event_id) AS o, CASE WHEN event_type <> 'purchase' THEN 'negative' WHEN value < 100 THEN 'low' WHEN value < 200 THEN 'middle' ELSE 'high' END AS stratum FROM events)"]
+    before = "(SELECT [] :: STRUCT(id BIGINT, seq BIGINT, pos BIGINT, stratum VARCHAR)[] AS got)"
+    for i, (name, quota) in enumerate(_STRATA):
+        parts.append(
+            f"w{i} AS (SELECT 0 AS k, got FROM {before} UNION ALL SELECT k + 1, list_append(got, n) FROM (SELECT k, got, (SELECT min_by(struct_pack(id := id, seq := seq, pos := pos, stratum := stratum), struct_pack(o := o, id := id)) FROM pool WHERE stratum = '{name}'"
+            f" AND len(list_filter(got, lambda g: g.id = pool.id OR (g.seq = pool.seq AND abs(g.pos - pool.pos) < {_GAP}))) = 0) AS n FROM w{i} WHERE k < {quota}) WHERE n IS NOT NULL)"
+        )
+        before = f"(SELECT got FROM w{i} ORDER BY k DESC LIMIT 1)"
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT g.id AS event_id, g.stratum AS stratum FROM (SELECT unnest(got) AS g FROM {before})"
+
+
+@query(_quota_sql())
 def quota_draw(spark, d):
-    """A hundred trials under quotas: half negatives, the rest in three strata; the first of each by a hash."""
-    t = V.trials(spark, d)
-    stratum = F.when(~F.col("positive"), "negative").when(F.col("seconds") < 10, "low").when(F.col("seconds") < 40, "middle").otherwise("high")
-    third, more = divmod(50, 3)
-    quota = F.when(F.col("stratum") == "negative", 50).when(F.col("stratum").isin(*["low", "middle", "high"][:more]), third + 1).otherwise(third)
+    """The images of a study: quotas of negatives and of three strata of coverage, no two of a sequence within the gap."""
+    positive = F.col("event_type") == "purchase"
+    stratum = F.when(~positive, "negative").when(F.col("value") < 100, "low").when(F.col("value") < 200, "middle").otherwise("high")
     order = F.md5(F.concat(F.lit("0:"), F.col("event_id").cast("string")).cast("binary"))
-    ranked = t.select("event_id", stratum.alias("stratum")).withColumn("k", F.row_number().over(Window.partitionBy("stratum").orderBy(order, "event_id")))
-    return ranked.where(F.col("k") <= 50).where(F.col("k") <= quota).select("event_id", "stratum")
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    pool = table(spark, d, "events").select(F.col("user_id").alias("seq"), at.alias("at"), F.col("event_id").alias("id"), order.alias("priority"), stratum.alias("stratum"))
+    chosen, out = pool.drop("stratum").limit(0), None
+    for name, quota in _STRATA:
+        drawn = spacing.spaced_draw(pool.where(F.col("stratum") == name), chosen, quota, _GAP)
+        chosen = chosen.unionByName(drawn)
+        named = drawn.select(F.col("id").alias("event_id"), F.lit(name).alias("stratum"))
+        out = named if out is None else out.unionByName(named)
+    return out
 
 
 @query(f"WITH {TRIALS} SELECT participant, event_id, row_number() OVER (PARTITION BY participant ORDER BY sha256('1:' || participant || ':' || event_id)) AS place FROM trials")
