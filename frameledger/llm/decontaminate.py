@@ -22,7 +22,7 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 10
 #: Places by which words of a proximity match may be off.
 SLOP = 1
-#: 64-bit words of the filter that keeps postings to terms of test items: 512 KB whatever the items.
+#: 64-bit words of a filter that keeps postings out of a lookup: 512 KB whatever it stands for.
 FILTER_WORDS = 1 << 16
 #: Parts of a term's list in a lookup, as one term may hold a large share of all postings.
 LIST_PARTS = 16
@@ -52,15 +52,19 @@ def read_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return rows.where(F.size("terms") > 0).select("item", "name", F.least(F.lit(width), F.size("terms")).alias("need"), "terms")
 
 
-def _known(term: Column, items: DataFrame) -> Column:
-    """Whether an item may have ``term``: a bit in a filter of fixed size. Others pass by chance, which costs space only."""
-    bits = items.select(F.explode("terms").alias("t")).select(F.shiftrightunsigned("t", 6).bitwiseAND(F.lit(FILTER_WORDS - 1)).alias("at"), F.expr("shiftleft(1L, cast(t & 63 as int))").alias("bit"))
+def _among(key: Column, keys: DataFrame) -> Column:
+    """Whether the 64-bit ``key`` may be one of ``keys`` (their only column): a bit in a filter of fixed size.
+
+    Others pass by chance, the more the more keys there are, so a join by the keys has to follow; the filter keeps what can't match out of
+    its exchange, whatever the sizes.
+    """
+    bits = keys.toDF("t").select(F.shiftrightunsigned("t", 6).bitwiseAND(F.lit(FILTER_WORDS - 1)).alias("at"), F.expr("shiftleft(1L, cast(t & 63 as int))").alias("bit"))
     words = bits.groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    every = items.sparkSession.range(FILTER_WORDS).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("bits"))
+    every = keys.sparkSession.range(FILTER_WORDS).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("bits"))
     words = words.unionByName(every).groupBy("at").agg(F.bit_or("bits").alias("bits"))
     whole = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "bits"))), lambda x: x["bits"]).alias("bits"))
-    held = F.get(whole.scalar(), F.shiftrightunsigned(term, 6).bitwiseAND(F.lit(FILTER_WORDS - 1)).cast("int"))
-    return F.call_function("getbit", held, term.bitwiseAND(F.lit(63)).cast("int")) == 1
+    held = F.get(whole.scalar(), F.shiftrightunsigned(key, 6).bitwiseAND(F.lit(FILTER_WORDS - 1)).cast("int"))
+    return F.call_function("getbit", held, key.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
 def build_index(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,9 +72,9 @@ def build_index(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 
     Places count from 0. A null text has no postings. Rows of equal id and text have the same key and the same postings.
     """
-    known = items.select(F.explode("terms").alias("t")).select(F.array("t").alias("terms"))
+    known = items.select(F.explode("terms"))
     words = _keyed(docs, id_col, text_col).select("a", "b", F.posexplode(_terms(F.col("low"))).alias("place", "word"))
-    postings = words.select(F.xxhash64("word").alias("term"), "a", "b", "place").where(_known(F.col("term"), known))
+    postings = words.select(F.xxhash64("word").alias("term"), "a", "b", "place").where(_among(F.col("term"), known))
     return materialize(postings, "postings")
 
 
@@ -100,10 +104,10 @@ def find(postings: DataFrame, items: DataFrame, width: int = WIDTH, slop: int =
     # the list of the rarest term, in parts, gives alignments: the place of the item's word 0
     parts = F.explode(F.sequence(F.lit(0), F.lit(LIST_PARTS - 1)))
     pairs = windows.select("item", "j1", "t1", "j2", "t2").distinct().withColumn("part", parts)
-    lists = postings.select(F.col("term").alias("t1"), "a", "b", "place", F.pmod("b", F.lit(LIST_PARTS)).cast("int").alias("part"))
+    lists = postings.where(_among(F.col("term"), windows.select("t1"))).select(F.col("term").alias("t1"), "a", "b", "place", F.pmod("b", F.lit(LIST_PARTS)).cast("int").alias("part"))
     aligned = lists.join(pairs, ["t1", "part"]).select("a", "b", "item", (F.col("place") - F.col("j1")).alias("at"), "j1", "j2", "t2", offs.alias("off"))
     # the list of the next rarest, at its offset
-    seconds = postings.join(windows.select(F.col("t2").alias("term")).distinct(), "term", "left_semi")
+    seconds = postings.where(_among(F.col("term"), windows.select("t2")))
     aligned = aligned.select("a", "b", "item", "at", "j1", (F.col("at") + F.col("j2") + F.col("off")).alias("place"), F.col("t2").alias("term"))
     aligned = materialize(aligned.join(seconds, ["a", "b", "place", "term"]).select("a", "b", "item", "at", "j1").distinct(), "alignments")
     # all lists, for the documents that are left
@@ -111,7 +115,7 @@ def find(postings: DataFrame, items: DataFrame, width: int = WIDTH, slop: int =
     words = aligned.select("a", "b", "item", "at", near.alias("j")).distinct()
     words = words.join(items.select("item", "need", F.posexplode("terms").alias("j", "term")), ["item", "j"]).withColumn("off", offs)
     words = words.withColumn("place", F.col("at") + F.col("j") + F.col("off"))
-    left = postings.join(aligned.select("a", "b").distinct(), ["a", "b"], "left_semi")
+    left = postings.where(_among(F.col("a"), aligned.select("a")))
     met = words.join(left, ["a", "b", "place", "term"]).groupBy("a", "b", "item", "need", "at", "j").agg(F.min(F.abs("off")).alias("off"))
     met = materialize(met, "met")
 
