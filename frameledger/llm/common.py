@@ -26,9 +26,11 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*columns_of(df))
 
 
-def row_digest(df: DataFrame) -> Column:
-    """A digest of all columns that tells rows of one id apart; maps, which have no order, are left out."""
-    kept = [c for c, field in zip(columns_of(df), df.schema.fields, strict=True) if "map<" not in field.dataType.simpleString()]
+def row_digest(df: DataFrame, row: str | None = None) -> Column:
+    """A digest of all columns, or of those packed in the column ``row``, that tells rows of one id apart; maps, which have no order, are left out."""
+    fields = df.schema.fields if row is None else df.schema[row].dataType.fields
+    plain = [f.name for f in fields if "map<" not in f.dataType.simpleString()]
+    kept = [F.col("`" + c.replace("`", "``") + "`") if row is None else F.col(row).getField(c) for c in plain]
     return F.xxhash64(*kept) if kept else F.lit(0).cast("long")
 
 
