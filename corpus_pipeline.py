@@ -34,10 +34,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     found = neardup.near_duplicates(docs).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("kept_id"))
     kept = found.agg(F.min("kept").alias("stays"), F.count(F.lit(1)).alias("rows_of_id")).where("stays")
-    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").alias("key"), "text", row_digest(docs).alias("digest"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").alias("key"))
     named = rows.where("key IS NOT NULL").join(kept, F.col("key") == F.col("kept_id"))
     single = named.where("rows_of_id = 1").select("row")
-    one = named.where("rows_of_id > 1").groupBy("key").agg(F.min_by("row", F.struct("text", "digest")).alias("row")).select("row")
+    one = named.where("rows_of_id > 1").groupBy("key").agg(F.min_by("row", F.struct("row.text", row_digest(rows, "row"))).alias("row")).select("row")
     return single.unionByName(one).unionByName(rows.where("key IS NULL").select("row")).select("row.*")
 
 
