@@ -797,4 +797,4 @@ def audits_by_site(spark, d):
     return rows.groupBy("c_mktsegment", "n_name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("n_finished"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("total_cents"))
 
 
-from . import checks, reports, vision  # noqa: E402, F401  register their queries here
+from . import checks, reports, service, vision  # noqa: E402, F401  register their queries here

@@ -142,6 +142,21 @@ def feedback_skips(candidates: DataFrame) -> DataFrame:
     return candidates.select(reason.alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def feedback_batch(images: DataFrame, feedback: DataFrame) -> DataFrame:
+    """(image_id, audit_id, label_kind, n_feedback, history, reason): what a batch takes, and with a reason what it skips.
+
+    ``images`` has (image_id, audit_id, consent, status, stored, digest_holds, has_mask, mask_problem), ``feedback`` (image_id, feedback_id,
+    decision). Only consented, complete images with feedback are looked at; the first reason that holds is given, and a mask's only
+    where the last feedback makes it the label.
+    """
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("feedback_id", "decision"))), lambda x: x["decision"])
+    last = feedback.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_feedback"), F.array_join(entries, ">").alias("history"), F.max_by("decision", "feedback_id").alias("decision"))
+    rows = images.where(F.col("consent") & (F.col("status") == "complete")).join(last, "image_id")
+    kind = label_kind(F.col("decision"), F.col("has_mask"))
+    reason = F.when(~F.col("stored"), "upload no longer in app storage").when(~F.col("digest_holds"), "upload does not match its SHA-256").when(kind == "pixel_mask", F.col("mask_problem"))
+    return rows.select("image_id", "audit_id", kind.alias("label_kind"), "n_feedback", "history", reason.alias("reason"))
+
+
 def remap(rows: DataFrame, cls: str, mapping: dict[int, int], ignored: int = 255) -> DataFrame:
     """Adds ``mapped``: the internal id of a source id; the ignored one passes through, others without an entry are null."""
     table = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])

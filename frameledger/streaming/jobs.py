@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +69,20 @@ def lease_states(events: DataFrame, lease_ms: int, max_attempts: int) -> DataFra
     return rows.groupBy("audit_id").applyInPandasWithState(fold, f"audit_id {kind}, status string, attempts int, owner string", _LEASE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """State in RocksDB while a stream is started, so that keys needn't fit in memory; what the session had comes back."""
+    given = spark.conf.get(_STATE_CLASS, None)
+    spark.conf.set(_STATE_CLASS, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if given is None:
+            spark.conf.unset(_STATE_CLASS)
+        else:
+            spark.conf.set(_STATE_CLASS, given)
+
+
 def drain_latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     """As :func:`drain_append` for updates: the last row of each key; a batch has one row a key at most."""
     spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "stream")
@@ -75,7 +90,8 @@ def drain_latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    rows.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    with _state_on_disk(spark):
+        rows.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
     written = spark.read.schema(StructType([*rows.schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/out")
     last = written.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), "batch").alias("last"))
     return last.select(*keys, "last.*")
@@ -84,15 +100,8 @@ def drain_latest(rows: DataFrame, keys: list[str]) -> DataFrame:
 def drain_append(rows: DataFrame) -> DataFrame:
     """Runs the stream over what is there and returns what it wrote. State is kept on disk, so keys needn't fit in memory."""
     spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "stream")
-    given = spark.conf.get(_STATE_CLASS, None)
-    spark.conf.set(_STATE_CLASS, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with _state_on_disk(spark):
         rows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
-    finally:
-        if given is None:
-            spark.conf.unset(_STATE_CLASS)
-        else:
-            spark.conf.set(_STATE_CLASS, given)
     return spark.read.schema(rows.schema).parquet(f"{folder}/out")
 
 
