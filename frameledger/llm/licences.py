@@ -2,10 +2,10 @@
 
 A first pass over the texts stores, per document, the postings (place, word) of the words that occur
 in a licence template, and nothing later reads a text again. Document frequencies over all
-documents give the words' IDF. A document's licence words of the highest IDF are looked up in the templates' postings: a copy
-that reaches the coverage holds one of each template's rarest words at least. Of the templates found each licence word votes
-with its IDF for the places where the template would begin. Where votes that lie within a tolerance could make up
-the coverage, it is measured, words in order, and the mandatory phrases are verified.
+documents give the words' IDF. A document's licence words are then looked up in the templates' postings (word to template and
+place), those of the highest IDF first and for each template until what is left of it couldn't make up a copy. The difference of the
+two places is where the template would begin; these beginnings are intersected with the lists of the template's other words, dropping those that
+miss too much, and for the rest the coverage is measured, words in order, and the mandatory phrases are verified.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ class Template:
     mandatory: tuple[str, ...]
 
 
-#: Characteristic passages of public licences (fixed values).
+#: Characteristic passages and whole texts of public licences (fixed values).
 TEMPLATES = (
     Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", ("permission is hereby granted free of charge", "deal in the software without restriction")),
     Template("apache-2", "Licensed under the Apache License, Version 2.0", ("apache license version 2",)),
@@ -55,6 +55,21 @@ TEMPLATES = (
     Template("mit", "Released under the MIT License", ("under the mit license",)),
     Template("cc-by-nc", "Licensed under CC BY-NC 4.0", ("cc by nc 4 0",)),
     Template("cc-by-sa", "Licensed under CC BY-SA 4.0", ("cc by sa 4 0",)),
+    Template(
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+        ("permission is hereby granted free of charge", "the software is provided as is"),
+    ),
+    Template(
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE",
+        ("with or without fee is hereby granted", "the author disclaims all warranties"),
+    ),
+    Template(
+        "zlib",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution",
+        ("must not be misrepresented", "this notice may not be removed or altered"),
+    ),
     Template("cc-by", "licensed under a Creative Commons Attribution 4.0 International License", ("creative commons attribution 4 0",)),
 )
 LEAST_COVERAGE = 0.8
@@ -141,11 +156,14 @@ def _runs(places: np.ndarray, words: np.ndarray, phrase: list[int]) -> np.ndarra
 
 
 class _Matcher:
+    """Templates by their words: ``postings`` says of a word in which templates it stands, and with which share of their weight."""
+
     def __init__(self, templates: tuple[Template, ...], base: dict[str, str], idf: np.ndarray, vocabulary: _Vocabulary, least: float, tolerance: int):
-        self.least, self.tolerance = least, tolerance
+        self.least, self.tolerance, self.idf = least, tolerance, idf
         self.base = [(label, vocabulary.numbers(p)) for label, p in base.items()]
         self.templates = []
-        for t in templates:
+        self.postings: dict[int, list[tuple[int, float]]] = {}
+        for i, t in enumerate(templates):
             own = np.array(vocabulary.numbers(t.text))
             weights = idf[own]
             phrases = []
@@ -155,29 +173,48 @@ class _Matcher:
                     raise ValueError(f"a mandatory phrase isn't in its template: {t.label}")
                 phrases.append((at, np.array(p)))
             weights = weights / weights.sum()
-            postings = [(w, np.flatnonzero(own == w), float(weights[own == w].sum())) for w in sorted(set(own.tolist()))]
-            self.templates.append((t.label, own, postings, weights, phrases))
-        #: Word to the templates among whose rarest words it is: without any of these too little is left for the coverage.
-        self.rare: dict[int, list[int]] = {}
-        for i, (_, _, postings, _, _) in enumerate(self.templates):
-            held = 0.0
-            for w, _, share in sorted(postings, key=lambda p: (-idf[p[0]], p[0])):
-                if held > 1 - least + 1e-9:
-                    break
-                self.rare.setdefault(w, []).append(i)
-                held += share
-
-    def _begins(self, places: np.ndarray, words: np.ndarray, postings: list, weights: np.ndarray) -> np.ndarray:
-        """Where a template's first word would stand so that votes within the tolerance reach the least coverage."""
-        offsets, votes = [], []
-        for w, inside, _ in postings:
-            spots = places[words == w]
-            offsets.append((spots[:, None].astype(np.int64) - inside[None, :]).ravel())
-            votes.append(np.tile(weights[inside], len(spots)))
-        at, which = np.unique(np.concatenate(offsets), return_inverse=True)
-        total = np.concatenate(([0.0], np.cumsum(np.bincount(which, np.concatenate(votes), len(at)))))
-        near = total[np.searchsorted(at, at + self.tolerance, "right")] - total[np.searchsorted(at, at - self.tolerance)]
-        return at[near >= self.least - 1e-9]
+            self.templates.append((t.label, own, weights, phrases, np.argsort(-weights, kind="stable")))
+            for w in sorted(set(own.tolist())):
+                self.postings.setdefault(w, []).append((i, float(weights[own == w].sum())))
+
+    def _looked_up(self, words: np.ndarray) -> dict[int, list[int]]:
+        """Template to the document's words that it was found by, in the order of their IDF.
+
+        A word is looked up for a template as long as its words not yet looked up could reach the least coverage, so a copy has one of these in its place.
+        """
+        present = np.unique(words)
+        left: dict[int, float] = {}
+        for w in present.tolist():
+            for i, share in self.postings.get(w, ()):
+                left[i] = left.get(i, 0.0) + share
+        found: dict[int, list[int]] = {}
+        for w in present[np.lexsort((present, -self.idf[present]))].tolist():
+            for i, share in self.postings.get(w, ()):
+                if left[i] >= self.least - 1e-9:
+                    found.setdefault(i, []).append(w)
+                left[i] -= share
+        return found
+
+    def _begins(self, looked_up: list[int], places: np.ndarray, words: np.ndarray, own: np.ndarray, weights: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """Where a template may begin: the relative places of the looked-up words, intersected with the lists of all its words.
+
+        A word may stand ``tolerance`` off its place. Beginnings that miss more than a copy may are dropped on the way, the
+        rarest words coming first.
+        """
+        spots = {w: places[words == w].astype(np.int64) for w in set(own.tolist())}
+        offsets = [(spots[w][:, None] - np.flatnonzero(own == w)[None, :]).ravel() for w in looked_up]
+        shifts = np.arange(-self.tolerance, self.tolerance + 1)
+        begins = np.unique((np.unique(np.concatenate(offsets))[:, None] + shifts[None, :]).ravel())
+        missed = np.zeros(len(begins))
+        for k in order.tolist():
+            at = spots[own[k]]
+            reach = np.searchsorted(at, begins + k + self.tolerance, "right") > np.searchsorted(at, begins + k - self.tolerance)
+            missed += np.where(reach, 0.0, weights[k])
+            stay = missed <= 1 - self.least + 1e-9
+            begins, missed = begins[stay], missed[stay]
+            if not len(begins):
+                break
+        return begins
 
     def _coverage(self, begin: int, places: np.ndarray, words: np.ndarray, own: np.ndarray, weights: np.ndarray) -> float:
         """The largest weight of template words that stand in order, none shifted by more than the tolerance."""
@@ -199,15 +236,12 @@ class _Matcher:
                 last = int(spots[-1]) if last is None else max(last, int(spots[-1]))
                 labels.add(label)
         found, score = set(labels), 1.0 if labels else 0.0
-        present = set(np.unique(words).tolist())
-        for i in sorted({i for w in present for i in self.rare.get(w, ())}):
-            label, own, postings, weights, phrases = self.templates[i]
-            if sum(share for w, _, share in postings if w in present) < self.least - 1e-9:
-                continue  # not even all places together would do
+        for i, looked_up in sorted(self._looked_up(words).items()):
+            label, own, weights, phrases, order = self.templates[i]
             stand = [(k, _runs(places, words, p.tolist())) for k, p in phrases]
             if not all(len(spots) for _, spots in stand):
                 continue
-            for begin in self._begins(places, words, postings, weights).tolist():
+            for begin in self._begins(looked_up, places, words, own, weights, order).tolist():
                 if not all(np.searchsorted(spots, begin + k + self.tolerance, "right") > np.searchsorted(spots, begin + k - self.tolerance) for k, spots in stand):
                     continue
                 coverage = self._coverage(begin, places, words, own, weights)

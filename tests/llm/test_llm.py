@@ -621,3 +621,70 @@ def test_mix_places_rows_alike_however_they_are_dealt(spark):
     first = places(mixing.mix(df, parts=4))
     assert first == places(mixing.mix(df.repartition(7), parts=4)) == places(mixing.mix(df.orderBy(F.rand(3)), parts=4))
     assert len({p[:2] for p in first}) == len(first) == df.count()
+
+
+def brute_licences(words_, frequency, total, templates, least=licences.LEAST_COVERAGE, tolerance=licences.TOLERANCE):
+    """Every template at every beginning: coverage by a longest chain in order, and mandatory phrases near their places."""
+    found = {}
+    for t in templates:
+        own = licences.words_of(t.text)
+        idf = [math.log((1 + total) / (1 + frequency[w])) + 1e-6 for w in own]
+        weight = [x / sum(idf) for x in idf]
+        phrases = [(next(i for i in range(len(own)) if own[i : i + len(p)] == p), p) for p in map(licences.words_of, t.mandatory)]
+        for begin in range(-len(own), len(words_) + 1):
+            if not all(any(words_[b : b + len(p)] == p for b in range(max(0, begin + k - tolerance), begin + k + tolerance + 1)) for k, p in phrases):
+                continue
+            best = {}  # place of the last word to the most weight
+            for k, w in enumerate(own):
+                here = {p: max([v for q, v in best.items() if q < p], default=0.0) + weight[k] for p in range(max(0, begin + k - tolerance), min(len(words_), begin + k + tolerance + 1)) if words_[p] == w}
+                for p, v in here.items():
+                    best[p] = max(v, best.get(p, 0.0))
+            top = max(best.values(), default=0.0)
+            if top >= least - 1e-9:
+                found[t.label] = max(found.get(t.label, 0.0), min(1.0, round(top, 9)))
+    return found
+
+
+def test_licence_labels_equal_a_scan_of_every_beginning(spark):
+    rng = random.Random(11)
+    templates = [t for t in licences.TEMPLATES if len(t.text) < 260]
+    filler = [w for t in licences.TEMPLATES for w in licences.words_of(t.text)] + ["lorem", "ipsum"]
+    texts = [None, "", "the license"]
+    for _ in range(110):
+        words_ = []
+        for _ in range(rng.randint(1, 2)):
+            words_ += [rng.choice(filler) for _ in range(rng.randint(0, 12))]
+            copy = licences.words_of(rng.choice(templates).text)
+            for _ in range(rng.randint(0, 5)):
+                k = rng.randrange(len(copy))
+                edit = rng.randrange(3)
+                copy[k : k + (edit != 0)] = [] if edit == 1 else [rng.choice(filler)]
+                copy = copy or ["x"]
+            words_ += copy
+        texts.append(" ".join(words_))
+    frequency = __import__("collections").Counter(w for t in texts for w in set(licences.words_of(t or "")))
+    got = {r.doc_id: (r.base_labels, r.labels, r.score) for r in licences.scan(docs(spark, texts), templates=tuple(templates)).collect()}
+    matched = 0
+    for i, t in enumerate(texts):
+        want = brute_licences(licences.words_of(t or ""), frequency, len(texts), templates)
+        base, labels, score = got[i]
+        assert labels == ",".join(sorted(set(want) | set(filter(None, base.split(","))))), t
+        assert score == pytest.approx(1.0 if base else max(want.values(), default=0.0), abs=2e-9)
+        matched += bool(want)
+    assert 20 < matched < 100
+
+
+def test_licence_texts_are_found_whole(spark):
+    texts = [f"Copyright {2000 + k} the authors. " + t.text + " END" for k, t in enumerate(licences.TEMPLATES)]
+    got = {r.doc_id: r.labels.split(",") for r in licences.scan(docs(spark, texts)).collect()}
+    assert all(t.label in got[k] for k, t in enumerate(licences.TEMPLATES))
+
+
+def test_licence_base_columns_equal_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    path = "/root/testdata/sf0.001/documents.parquet"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{path}'")
+    want = {r[0]: r[1:] for r in con.execute(licences.BASE_SQL).fetchall()}
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licences.scan(spark.read.parquet(path)).collect()}
+    assert got == want and any(v[1] for v in want.values())
