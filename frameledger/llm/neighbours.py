@@ -27,8 +27,8 @@ from .common import fresh_path, remove, store, table
 #: Neighbours in a node's list, and of those pointing back at it how many take part in a join.
 DEGREE = 40
 REVERSE = 40
-#: Nodes a cell has at most, and independent sets of cells.
-CELL = 4096
+#: Nodes a cell has at most, however many there are in all, and independent sets of cells.
+CELL = 128
 CELL_SETS = 4
 #: NN-descent ends with the round that changed a smaller share of the entries of all lists.
 DELTA = 0.05
@@ -110,17 +110,21 @@ def _part(column: str, parts: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
 
 
-def sound_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+def vector_lengths(vectors: DataFrame, id_col: str, vector_col: str) -> list[int]:
+    """The lengths that occur, the commonest first; of a few kinds of vectors there are a few."""
+    v = F.col(vector_col)
+    sized = vectors.where(F.col(id_col).isNotNull() & (F.size(v) > 0)).groupBy(F.size(v).alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    return [r["size"] for r in sized.orderBy(F.desc("n"), F.desc("size")).collect()]
+
+
+def sound_vectors(vectors: DataFrame, id_col: str, vector_col: str, dim: int | None = None) -> DataFrame:
     """(vec_id, print, exact, vec) of the rows that take part: a digest of the components in double precision, and
     the components packed as 64-bit and 32-bit floats.
 
-    Of rows with one id that of the smallest print counts. Where lengths differ, vectors of the commonest length, of
-    equally common ones the longest, take part.
+    Of rows with one id that of the smallest print counts. Vectors of ``dim`` components take part, by default of the commonest length.
     """
     v = F.col(vector_col)
-    sized = vectors.where(F.col(id_col).isNotNull() & (F.size(v) > 0)).groupBy(F.size(v).alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    common = sized.orderBy(F.desc("n"), F.desc("size")).limit(1).collect()  # one row
-    dim = common[0]["size"] if common else 1
+    dim = dim or next(iter(vector_lengths(vectors, id_col, vector_col)), 1)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -478,15 +482,29 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
 
     Queries are the rows whose id is divisible by ``every``. Scores are sums in double precision over the
     original components in order; ties go to the smaller id. Rows with a null id or a vector that is
-    null, empty, zero or holds nulls or non-finite values take no part, nor do vectors of another length than the
-    commonest. Of rows with equal ids one counts (see :func:`sound_vectors`). Copies of a vector are one node, of which the
-    ``k + 1`` smallest ids can be results; no table row is lost by this, as no list has room for more. An empty
+    null, empty, zero or holds nulls or non-finite values take no part. Vectors are searched among those of their own length; an id with
+    rows of several lengths counts with its longest, and of rows with equal ids one counts (see :func:`sound_vectors`). Copies of a vector are
+    one node, of which the ``k + 1`` smallest ids can be results; no table row is lost by this, as no list has room for more. An empty
     table gives no rows. Further columns are ignored.
 
     ``options``: degree, reverse, rounds, cell, sets and delta for the graph, beam and follow for the search.
     """
+    lengths = vector_lengths(vectors, id_col, vector_col)
+    rows = vectors.select(id_col, vector_col)
+    if len(lengths) > 1:
+        longest = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.size(vector_col)).alias("__size"))
+        rows = rows.join(longest, (F.col(id_col) == F.col("__id")) & (F.size(vector_col) == F.col("__size"))).select(id_col, vector_col)
+    found = [_nearest_of(rows, dim, every, k, id_col, vector_col, options) for dim in lengths or [1]]
+    whole = found[0]
+    for other in found[1:]:
+        whole = whole.unionByName(other)
+    return whole
+
+
+def _nearest_of(vectors: DataFrame, dim: int, every: int, k: int, id_col: str, vector_col: str, options: dict) -> DataFrame:
+    """:func:`nearest` for the vectors of one length."""
     spark = vectors.sparkSession
-    sound = store(sound_vectors(vectors, id_col, vector_col), fresh_path(spark, "sound"))
+    sound = store(sound_vectors(vectors, id_col, vector_col, dim), fresh_path(spark, "sound"))
     nodes, members = distinct_vectors(sound, k + 1)
     nodes, members = store(nodes, fresh_path(spark, "nodes")), store(members, fresh_path(spark, "members"))
     graph_options = {o: options[o] for o in ("degree", "reverse", "rounds", "cell", "sets", "delta") if o in options}
