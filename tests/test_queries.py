@@ -38,7 +38,7 @@ def test_forest_learns(spark):
     got = catalog.rf_predict(spark, DATA).toPandas()
     assert got["image_id"].is_unique and len(got) == spark.read.parquet(f"{DATA}/embeddings.parquet").count()
     assert (got["cls"] == got["predicted"]).mean() > got["cls"].value_counts(normalize=True).max()
-    assert sorted(set(catalog.QUERIES) - set(catalog.SQL)) == ["forest_tuning", "rf_predict"]
+    assert sorted(set(catalog.QUERIES) - set(catalog.SQL)) == ["forest_tuning", "rf_predict", "tile_features"]
 
 
 def test_forest_tuning_selects_the_first_best(spark):
