@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import query
-from .operators import canonical, jobs
+from .catalog import SOFT, _soft, query
+from .operators import canonical, guards, jobs
 from .plans import views as V
 from .plans.views import FEEDBACK, table
 from .streaming import audits
@@ -66,6 +66,29 @@ def equal_runs(spark, d):
     return found.groupBy("digest", "n_leaves").agg(F.count(F.lit(1)).alias("n_runs"))
 
 
+# guards
+
+_NAMES = {"view": "Background", "click": " Cardboard", "signup": "soft  plastic", "purchase": "Rigid-Plastic", "error": "METAL "}
+
+
+@query("SELECT CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END::INT AS cls, event_type AS source_id, count(*) AS n FROM events GROUP BY ALL")
+def remap_by_name(spark, d):
+    """Annotations by class, their source categories mapped by normalized names; refusals come before any is counted."""
+    e = table(spark, d, "events")
+    names = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in _NAMES.items()])
+    mapping = guards.name_remap(e.select(F.col("event_type").alias("id"), names.alias("name")).distinct())
+    return e.join(mapping, F.col("event_type") == F.col("source_id")).groupBy("cls", "source_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {SOFT} SELECT vec_id, round(list_max(list_transform(p, lambda x: abs(x - x::FLOAT::DOUBLE))), 10) AS largest FROM soft")
+def runtime_parity(spark, d):
+    """Probabilities of a double and a single precision runtime: the largest difference of each image, within the tolerance throughout."""
+    whole = _soft(spark, d).select("vec_id", "p")
+    found = guards.parity(whole, whole.select("vec_id", F.transform("p", lambda x: x.cast("float")).alias("p")), "vec_id")
+    guards.check_parity(found)
+    return found.select("vec_id", F.round("largest", 10).alias("largest"))
+
+
 # feedback batch
 
 _BATCH_SQL = f"""{FEEDBACK}, h AS (SELECT image_id, count(*) AS n_feedback, string_agg(decision, '>' ORDER BY feedback_id, decision) AS history, max_by(decision, feedback_id) AS decision FROM feedback GROUP BY image_id),

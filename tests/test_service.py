@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from frameledger.operators import canonical, jobs
+from frameledger.operators import canonical, guards, jobs
 from frameledger.sources import artifacts, ledger
 from frameledger.streaming import audits
 
@@ -205,3 +205,30 @@ def test_audits_as_a_stream_over_several_batches(spark, tmp_path):
         late = walk([(at + 1000, *rest) for at, *rest in events], 1000 + max(r[0] for r in rows))
         assert got[name] == late, name
     assert any(v[4] for v in got.values()) and any(v[2] == audits.DEADLINE for v in got.values())
+
+
+# guards
+
+
+def test_names_map_one_to_one_or_are_refused(spark):
+    def remap(*rows):
+        return {r.source_id: r.cls for r in guards.name_remap(spark.createDataFrame(list(rows), "id int, name string")).collect()}
+
+    good = [(0, "background"), (1, "Rigid-Plastic"), (2, "CARDBOARD"), (3, " metal"), (4, "soft plastic")]
+    assert remap(*good) == {0: 0, 1: 3, 2: 1, 3: 4, 4: 2}
+    for rows, says in ((good + [(5, "glass")], "no class is named glass"), (good + [(5, "Metal")], "several categories are named metal"), (good[:-1], "no category is named soft_plastic")):
+        with pytest.raises(guards.LabelError, match=says):
+            remap(*rows)
+
+
+def test_parity_and_versions_are_checked(spark):
+    a = spark.createDataFrame([(1, [0.5, 0.5]), (2, [0.1, 0.9])], "id int, p array<double>")
+    near = spark.createDataFrame([(1, [0.5, 0.500001]), (2, [0.1, 0.9])], "id int, p array<double>")
+    assert guards.check_parity(guards.parity(a, near, "id")) == pytest.approx(1e-6)
+    for rows, says in (([(1, [0.5, 0.6]), (2, [0.1, 0.9])], "differ by 0.1"), ([(1, [0.5, 0.5])], "1 rows"), ([(1, [0.5]), (2, [0.1, 0.9])], "1 rows"), ([(1, [0.5, float("nan")]), (2, [0.1, 0.9])], "1 rows")):
+        with pytest.raises(guards.ParityError, match=says):
+            guards.check_parity(guards.parity(a, spark.createDataFrame(rows, "id int, p array<double>"), "id"))
+    assert guards.check_parity(guards.parity(a.where("false"), a.where("false"), "id")) == 0.0
+    guards.check_versions({"labels": [0, 1], "preprocessing": "1", "more": 2}, {"labels": [0, 1], "preprocessing": "1"})
+    with pytest.raises(guards.VersionError, match="labels is None, not .*; preprocessing is '2', not '1'"):
+        guards.check_versions({"preprocessing": "2"}, {"labels": [0, 1], "preprocessing": "1"})
