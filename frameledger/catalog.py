@@ -601,11 +601,13 @@ def eligible_candidates(spark, d):
 
 @query(f"WITH {TRIALS}, m AS (SELECT participant, quantile_cont(seconds, 0.5) FILTER (condition = 'assisted') / quantile_cont(seconds, 0.5) FILTER (condition = 'unaided') AS ratio FROM trials GROUP BY participant) SELECT round(quantile_cont(ratio, 0.5), 6) AS median_ratio, count(ratio) AS n FROM m")
 def study_medians(spark, d):
-    def median(c: str) -> Column:
-        return F.percentile(F.when(F.col("condition") == c, F.col("seconds")), F.lit(0.5))
+    medians = statistics.quantiles(V.trials(spark, d).select("participant", "condition", "seconds"), "seconds", [0.5], ["participant", "condition"])
 
-    per = V.trials(spark, d).groupBy("participant").agg(F.try_divide(median("assisted"), median("unaided")).alias("ratio"))
-    return per.agg(F.round(F.percentile("ratio", F.lit(0.5)), 6).alias("median_ratio"), F.count("ratio").alias("n"))
+    def of(condition: str) -> Column:
+        return F.max(F.when(F.col("condition") == condition, F.col("q0")))
+
+    per = medians.groupBy("participant").agg(F.try_divide(of("assisted"), of("unaided")).alias("ratio"))
+    return statistics.percentiles(per, "ratio").select(F.round("p50", 6).alias("median_ratio"), "n")
 
 
 @query(f"WITH {TRIALS} SELECT condition, round(count_if(positive AND follow_up) / nullif(count_if(positive), 0)::DOUBLE, 6) AS recall, count(*) AS n FROM trials GROUP BY condition")
@@ -763,8 +765,8 @@ def unmapped_values(spark, d):
 @query(f"WITH {PX}, c AS ({_RAW.format(c='p')}), q AS (SELECT quantile_cont(total_target, 1/3::DOUBLE) AS a, quantile_cont(total_target, 2/3::DOUBLE) AS b FROM c) SELECT CASE WHEN total_target <= a THEN 'low' WHEN total_target <= b THEN 'middle' ELSE 'high' END AS tertile, count(*) AS n FROM c, q GROUP BY 1")
 def stratified_coverage_tertiles(spark, d):
     c = metrics.coverage(V.pixels(spark, d), ["image_id"])
-    cuts = c.agg(F.percentile("total_target", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
-    name = F.when(F.col("total_target") <= F.get("q", F.lit(0)), "low").when(F.col("total_target") <= F.get("q", F.lit(1)), "middle").otherwise("high")
+    cuts = statistics.quantiles(c, "total_target", [1 / 3, 2 / 3])
+    name = F.when(F.col("total_target") <= F.col("q0"), "low").when(F.col("total_target") <= F.col("q1"), "middle").otherwise("high")
     return c.crossJoin(F.broadcast(cuts)).groupBy(name.alias("tertile")).agg(F.count(F.lit(1)).alias("n"))  # one row
 
 

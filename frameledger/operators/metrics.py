@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import CLASSES, IGNORED, TARGETS
+from .statistics import quantiles
 
 
 def confusion_cells(px: DataFrame, by: list[str] = []) -> DataFrame:
@@ -105,7 +106,8 @@ def top_per_gallery(stats: DataFrame, keys: list[str], k: int, id_col: str) -> D
 
 def quantile_bins(values: DataFrame, column: str, parts: int = 3) -> DataFrame:
     """Adds ``bin``: how many of the linear quantiles are <= the value; not ntile, whose ties differ."""
-    cuts = values.agg(F.percentile(column, F.array(*[F.lit(k / parts) for k in range(1, parts)])).alias("cuts"))
+    found = quantiles(values.select(column), column, [k / parts for k in range(1, parts)])
+    cuts = found.select(F.array(*found.columns).alias("cuts"))
     return values.crossJoin(F.broadcast(cuts)).withColumn("bin", F.size(F.filter("cuts", lambda c: c <= F.col(column)))).drop("cuts")  # one row
 
 

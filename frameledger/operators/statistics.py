@@ -132,21 +132,26 @@ def _counted(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
     return placed.join(whole, same).select(*by, column, "k", "before_k", "n") if by else placed.crossJoin(F.broadcast(whole))  # one row
 
 
-def percentiles(rows: DataFrame, column: str, by: list[str] = []) -> DataFrame:
-    """(by..., p50, p95, max, mean, n): exact, with linear interpolation, by counting values in ranges."""
-    counted = _counted(rows, column, by)
+def _cut(column: str, q: float) -> Column:
+    """The value at the quantile ``q`` over a group's :func:`_counted` rows, with linear interpolation."""
 
     def at(place: Column) -> Column:
         return F.max(F.when((F.col("before_k") <= place) & (place < F.col("before_k") + F.col("k")), F.col(column)))
 
-    def cut(q: float) -> Column:
-        place = F.lit(q) * (F.col("n") - 1)
-        low, high = at(F.floor(place)), at(F.ceil(place))
-        part = F.max(place - F.floor(place))
-        return low + (high - low) * part
+    place = F.lit(q) * (F.col("n") - 1)
+    low, high = at(F.floor(place)), at(F.ceil(place))
+    return low + (high - low) * F.max(place - F.floor(place))
+
 
+def quantiles(rows: DataFrame, column: str, qs: list[float], by: list[str] = []) -> DataFrame:
+    """(by..., q0, q1...): exact quantiles by counting values in ranges, so that no task holds a column; one row of nulls without values and groups."""
+    return _counted(rows, column, by).groupBy(*by).agg(*[_cut(column, q).alias(f"q{i}") for i, q in enumerate(qs)])
+
+
+def percentiles(rows: DataFrame, column: str, by: list[str] = []) -> DataFrame:
+    """(by..., p50, p95, max, mean, n): exact, with linear interpolation, by counting values in ranges."""
     mean = F.sum(F.col(column) * F.col("k")) / F.sum("k")
-    return counted.groupBy(*by).agg(cut(0.5).alias("p50"), cut(0.95).alias("p95"), F.max(column).alias("max"), mean.alias("mean"), F.sum("k").alias("n"))
+    return _counted(rows, column, by).groupBy(*by).agg(_cut(column, 0.5).alias("p50"), _cut(column, 0.95).alias("p95"), F.max(column).alias("max"), mean.alias("mean"), F.sum("k").alias("n"))
 
 
 def nearest_rank(rows: DataFrame, column: str, q: float, by: list[str]) -> DataFrame:
