@@ -42,10 +42,10 @@ def bootstrap(sums: DataFrame, group: str, statistic: Callable[[DataFrame, list[
     """(estimate, low, high, n_groups, few_groups) of ``statistic`` under resampling of whole groups; no groups give nulls.
 
     ``sums`` is already summed by group, a row a group, so a replicate draws group rows and not the rows under them.
-    ``statistic`` gets the drawn rows with column r and the columns to group by, and returns (r, value); columns that belong to several runs or
+    ``statistic`` gets the drawn rows with columns r and times (1: a group drawn twice is two rows) and the columns to group by, and returns (r, value); columns that belong to several runs or
     sides of a comparison are drawn together. Undefined values are left out of the interval.
     """
-    rows = stored(numbered_groups(sums, group), "groups")
+    rows = stored(numbered_groups(sums, group).withColumn("times", F.lit(1).cast("long")), "groups")
     k = rows.count()
     tail = (1 - confidence) / 2
     values = statistic(resample(rows.drop("k"), k, replicates, seed), ["r"]).where(~F.isnan("value"))  # a row a replicate
