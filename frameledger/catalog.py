@@ -396,7 +396,7 @@ def _group_sums(spark, d):
 
 @query(f"WITH {BOOT_SQL} SELECT (SELECT round(sum(good) / sum(n)::DOUBLE, 6) FROM g) AS estimate, {INTERVAL} FROM vals")
 def bootstrap_ci(spark, d):
-    return r6(statistics.bootstrap(_group_sums(spark, d), "image_id", _accuracy), "estimate", "low", "high")
+    return r6(statistics.interval(_group_sums(spark, d), "image_id", _accuracy), "estimate", "low", "high")
 
 
 #: Two runs of each of two sides, all of the same images: the given prediction and ones that miss or confuse a part of it.
@@ -446,7 +446,7 @@ def mean_difference(side_a: list[str], side_b: list[str]):
 @query(f"WITH {PAIRED_SQL}, vals AS (SELECT r, {_DIFFERENCE} AS value FROM draws JOIN g USING (g) GROUP BY r) SELECT (SELECT round({_DIFFERENCE}, 6) FROM g) AS estimate, {INTERVAL} FROM vals")
 def paired_bootstrap(spark, d):
     """Two runs of each of two sides under shared draws: the interval of the difference of their mean macro IoU."""
-    return r6(statistics.bootstrap(run_sums(spark, d), "image_id", mean_difference(["a1", "a2"], ["b1", "b2"])), "estimate", "low", "high")
+    return r6(statistics.interval(run_sums(spark, d), "image_id", mean_difference(["a1", "a2"], ["b1", "b2"])), "estimate", "low", "high")
 
 
 @query(f"WITH {PAIRED_SQL}, vals AS (SELECT r, {_macro_sql('a1')} AS value FROM draws JOIN g USING (g) GROUP BY r) SELECT (SELECT round({_macro_sql('a1')}, 6) FROM g) AS estimate, {INTERVAL} FROM vals")
@@ -456,7 +456,7 @@ def bootstrap_macro_iou(spark, d):
     def statistic(rows: DataFrame, by: list[str]) -> DataFrame:
         return rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in _SUMS]).select(*by, macro_iou("a1").alias("value"))
 
-    return r6(statistics.bootstrap(run_sums(spark, d), "image_id", statistic), "estimate", "low", "high")
+    return r6(statistics.interval(run_sums(spark, d), "image_id", statistic), "estimate", "low", "high")
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS max, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY event_type")

@@ -38,7 +38,7 @@ def numbered_groups(sums: DataFrame, group: str) -> DataFrame:
     return numbered.withColumnRenamed("before___one", "g").drop("__one").crossJoin(F.broadcast(sums.agg(F.count_distinct(group).alias("k"))))  # one row
 
 
-def bootstrap(sums: DataFrame, group: str, statistic: Callable[[DataFrame, list[str]], DataFrame], replicates: int = 2000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
+def interval(sums: DataFrame, group: str, statistic: Callable[[DataFrame, list[str]], DataFrame], replicates: int = 2000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
     """(estimate, low, high, n_groups, few_groups) of ``statistic`` under resampling of whole groups; no groups give nulls.
 
     ``sums`` is already summed by group, a row a group, so a replicate draws group rows and not the rows under them.
@@ -54,6 +54,11 @@ def bootstrap(sums: DataFrame, group: str, statistic: Callable[[DataFrame, list[
     return whole.crossJoin(cuts).select("estimate", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"), F.lit(k).cast("long").alias("n_groups"), F.lit(k < 5).alias("few_groups"))  # one row each
 
 
+def bootstrap(sums: DataFrame, group: str, statistic: Callable[[DataFrame, list[str]], DataFrame], replicates: int = 2000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
+    """(low, high, n_groups, few_groups): :func:`interval` without the estimate."""
+    return interval(sums, group, statistic, replicates, seed, confidence).drop("estimate")
+
+
 def ece_bins(predictions: DataFrame, confidence: str, correct: str, bins: int = 15) -> DataFrame:
     """(bin, n, mean_confidence, accuracy, gap) over right-closed equal bins; empty bins have no row."""
     return predictions.groupBy(right_closed_bin(F.col(confidence), bins).alias("bin")).agg(

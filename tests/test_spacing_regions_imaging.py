@@ -45,15 +45,15 @@ def test_bootstrap_of_equal_groups_and_of_a_paired_difference(spark):
         return rows.groupBy(*by).agg((F.sum("good").cast("double") / F.sum("n")).alias("value"))
 
     equal = spark.createDataFrame([(i, 5, 10) for i in range(10)], "image long, good long, n long")
-    assert statistics.bootstrap(equal, "image", mean).first().asDict() == {"estimate": 0.5, "low": 0.5, "high": 0.5, "n_groups": 10, "few_groups": False}
+    assert statistics.interval(equal, "image", mean).first().asDict() == {"estimate": 0.5, "low": 0.5, "high": 0.5, "n_groups": 10, "few_groups": False}
 
     def difference(rows, by):
         return rows.groupBy(*by).agg(((F.sum("a") - F.sum("b")).cast("double") / F.sum("n")).alias("value"))
 
     sides = spark.createDataFrame([(i, 16, 8, 20) for i in range(10)], "image long, a long, b long, n long")
-    got = statistics.bootstrap(sides, "image", difference).first()
+    got = statistics.interval(sides, "image", difference).first()
     assert got.estimate == pytest.approx(0.4) and got.low > 0
-    none = statistics.bootstrap(equal.where("false"), "image", mean).first()
+    none = statistics.interval(equal.where("false"), "image", mean).first()
     assert none.n_groups == 0 and none.low is None and none.estimate is None
 
 
