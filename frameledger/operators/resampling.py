@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 #: Groups of a block.
 BLOCK = 64
 
@@ -74,11 +76,18 @@ def block_draws(spark: SparkSession, k: int, replicates: int, seed: int, block:
 def resample(rows: DataFrame, k: int, replicates: int = 2000, seed: int = 0, block: int = BLOCK) -> DataFrame:
     """The drawn rows of every replicate: the columns of ``rows``, a row a group numbered g from 0, with r; a group drawn twice is two rows."""
     spark = rows.sparkSession
+    # written, so that the join goes by its real size: a few blocks are broadcast and the draws stay where they are made
     packed = rows.groupBy(F.floor(F.col("g") / block).alias("b")).agg(F.array_sort(F.collect_list(F.struct("g", F.struct(*rows.columns).alias("row")))).alias("members"))
+    packed = stored(packed, "blocks")
     draws = block_draws(spark, k, replicates, seed, block).join(packed, "b")
-    slots = draws.select("r", "b", "members", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))
-    at = F.floor(uniform(seed, F.col("r"), F.col("b"), F.lit("slot"), F.col("slot")) * F.size("members")).cast("int")
-    return slots.select("r", F.get("members", at)["row"].alias("row")).select("r", "row.*")
+
+    def member(slot: Column) -> Column:
+        place = F.floor(uniform(seed, F.col("r"), F.col("b"), F.lit("slot"), slot) * F.size("members")).cast("int")
+        return F.get("members", place)["row"]
+
+    # picked before they become rows, as a row of its own for each draw would carry the whole block
+    picked = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), member)
+    return draws.select("r", F.explode(picked).alias("row")).select("r", "row.*")
 
 
 def draws_sql(groups: str = "g", replicates: int = 2000, seed: int = 0, levels: int = 8, block: int = BLOCK) -> str:
