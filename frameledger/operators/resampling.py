@@ -36,10 +36,17 @@ def binomial(n: Column, p: Column, u: Column) -> Column:
 
     ``0 < p < 1``. Only values within nine deviations of the mean are walked, whatever ``n``.
     """
-    mean, deviation = n * p, F.sqrt(n * p * (1 - p))
-    low = F.greatest(F.lit(0).cast("long"), F.floor(mean - 9 * deviation - 9))
-    first = F.exp(log_factorial(n) - log_factorial(low) - log_factorial(n - low) + low * F.ln(p) + (n - low) * F.ln(1 - p))
-    steps = F.sequence(F.lit(0).cast("long"), F.least(n - low, F.ceil(18 * deviation + 18)))
+    # each value is worked out once: a lambda's argument is, where an expression used often isn't
+
+    def bounded(v: Column) -> Column:
+        mean, deviation = v["n"] * v["p"], F.sqrt(v["n"] * v["p"] * (1 - v["p"]))
+        low = F.greatest(F.lit(0).cast("long"), F.floor(mean - 9 * deviation - 9)).cast("long")
+        return F.struct(v["n"].alias("n"), v["p"].alias("p"), v["u"].alias("u"), low.alias("low"), F.ceil(18 * deviation + 18).alias("reach"))
+
+    def begun(v: Column) -> Column:
+        n, p, low = v["n"], v["p"], v["low"]
+        first = F.exp(log_factorial(n) - log_factorial(low) - log_factorial(n - low) + low * F.ln(p) + (n - low) * F.ln(1 - p))
+        return F.struct(n.alias("n"), low.alias("low"), first.alias("first"), (p / (1 - p)).alias("odds"), v["u"].alias("u"), F.sequence(F.lit(0).cast("long"), F.least(n - low, v["reach"])).alias("steps"))
 
     def walk(v: Column) -> Column:
         def step(s: Column, i: Column) -> Column:
@@ -51,8 +58,8 @@ def binomial(n: Column, p: Column, u: Column) -> Column:
         start = F.struct(v["first"].alias("weight"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("below"))
         return F.least(v["n"], v["low"] + F.aggregate(v["steps"], start, step)["below"])
 
-    known = F.struct(n.cast("long").alias("n"), low.cast("long").alias("low"), first.alias("first"), (p / (1 - p)).alias("odds"), u.alias("u"), steps.alias("steps"))
-    return F.transform(F.array(known), walk)[0]
+    given = F.array(F.struct(n.cast("long").alias("n"), p.alias("p"), u.alias("u")))
+    return F.transform(F.transform(F.transform(given, bounded), begun), walk)[0]
 
 
 def block_draws(spark: SparkSession, k: int, replicates: int, seed: int, block: int = BLOCK) -> DataFrame:
