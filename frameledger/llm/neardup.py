@@ -42,6 +42,8 @@ SKETCH_DISTANCE = 34
 _MULTIPLIERS = constants(5, SLOTS + SKETCH_BITS)
 _OFFSETS = constants(6, SLOTS + SKETCH_BITS)
 _LIMIT_SHINGLES = 1 << 18
+#: The logarithm of the most 64-bit words of a filter that keeps texts out of an exchange: 8 MB.
+_FILTER_LOG = 20
 
 
 def _minima(shingles: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -142,8 +144,27 @@ def _overlaps(rows: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both), pa.array(either)], names=["a", "b", "n_both", "n_either"])
 
 
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id may be one of ``ids`` (their only column), by a bit in a filter of 16 bits an id up to 8 MB.
+
+    Others pass by chance, so a join by the ids has to follow; the filter keeps most other texts out of its exchange.
+    """
+    words = 1 << min(_FILTER_LOG, max(10, (ids.count() // 4).bit_length()))
+
+    def place(key: Column) -> Column:
+        return F.shiftrightunsigned(key, 6).bitwiseAND(F.lit(words - 1))
+
+    bits = ids.select(F.xxhash64(*ids.columns).alias("t")).select(place(F.col("t")).alias("at"), F.expr("shiftleft(1L, cast(t & 63 as int))").alias("bit"))
+    every = ids.sparkSession.range(words).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("bit"))
+    held = bits.union(every).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    whole = held.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "bits"))), lambda x: x["bits"]).alias("bits"))
+    key = F.xxhash64("id")
+    return docs.where(F.call_function("getbit", F.get(whole.scalar(), place(key).cast("int")), key.bitwiseAND(F.lit(63)).cast("int")) == 1)
+
+
 def confirm_links(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """Those of the pairs (a, b), a stored table, whose full sets have 100 * intersection >= percent * union."""
+    docs = _among(docs, pairs.select("a").union(pairs.select("b")))
     at_b = pairs.join(docs.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     at_a = at_b.join(docs.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     counted = at_a.select("a", "b", "text_a", "text_b").mapInArrow(lambda rows: _overlaps(rows, width), "a long, b long, n_both long, n_either long")
@@ -181,14 +202,14 @@ def _spelled(rows: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 
 def _ranked(placed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, n, n_own, shingle, at): the start of each given set's shingles in one order for all sets.
+    """(id, n, n_own, shingle, at): the start of each given set's shingles in one order for all sets; ``placed`` is a stored table.
 
     First come those that no other component has, of which there are ``n_own``, then the rarer ones. A
     set that shares too little with another to be linked shares nothing with it in these starts, or
     only at places after which too few shingles follow; the row keeps the place for that. Shingles that
     are a component's own are counted but have no row, unless a set has no other: then ``shingle`` is null.
     """
-    rows = docs.join(placed, "id").select("id", "component", "text").mapInArrow(lambda r: _spelled(r, width), "shingle long, id long, component long").distinct()
+    rows = _among(docs, placed.select("id")).join(placed, "id").select("id", "component", "text").mapInArrow(lambda r: _spelled(r, width), "shingle long, id long, component long").distinct()
     spread = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), (F.min("component") != F.max("component")).alias("mixed"))
     every = Window.partitionBy("id")
     found = rows.join(spread, "shingle").select(
@@ -252,7 +273,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     members = near.select("key", "id").union(near.select("key", F.col("first").alias("id")).distinct())
     placed = _mixed(members, first_round)
-    starts = store(_ranked(placed.select("id", "component").distinct(), texts, width, percent), fresh_path(spark, "starts"))
+    open_sets = store(placed.select("id", "component").distinct(), fresh_path(spark, "placed"))
+    starts = store(_ranked(open_sets, texts, width, percent), fresh_path(spark, "starts"))
     own = starts.groupBy("id").agg(F.max("n_own").alias("n_own"))
     able = small.join(own, "id").where((F.col("n_shingles") - F.col("n_own")) * 100 >= F.col("n_shingles") * percent)
     able = store(able.select("id", "n_shingles", "n_own", "sketch1", "sketch2"), fresh_path(spark, "able"))

@@ -74,6 +74,35 @@ def test_near_duplicates_edges(spark):
     assert neardup.near_duplicates(rows.where("false")).count() == 0
 
 
+def shuffled_bytes(spark):
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    return context.statusStore().executorList(False).head().totalShuffleWrite()
+
+
+def test_near_duplicates_exchange_no_text_without_candidates(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.randbytes(6).hex() for _ in range(3000)) for _ in range(60)]
+    texts += [texts[7] + " more", texts[9] + " more"]
+    given = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_bytes(spark)
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, texts)).collect()}
+        assert shuffled_bytes(spark) - before < sum(map(len, texts)) / 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", given)
+    assert got == {i: i for i in range(60)} | {60: 7, 61: 9}
+
+
+def test_no_document_of_an_id_is_filtered_out(spark):
+    rows = spark.range(-20_000, 20_000).select("id", F.lit("t").alias("text"))
+    ids = spark.range(-20_000, 20_000, 17).select(F.col("id").alias("a"))
+    got = {r.id for r in neardup._among(rows, ids).collect()}
+    assert set(range(-20_000, 20_000, 17)) <= got and len(got) < 7000
+    assert neardup._among(rows, ids.where("false")).count() == 0
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.id: r.component for r in connected_components(edges).collect()}
