@@ -42,6 +42,8 @@ SKETCH_DISTANCE = 34
 _MULTIPLIERS = constants(5, SLOTS + SKETCH_BITS)
 _OFFSETS = constants(6, SLOTS + SKETCH_BITS)
 _LIMIT_SHINGLES = 1 << 18
+#: Texts that a worker takes at once. Spark's batches have 10,000 rows, whose texts, values and draws would all be held.
+_TEXTS_AT_ONCE = 256
 #: The logarithm of the most 64-bit words of a filter that keeps texts out of an exchange: 8 MB.
 _FILTER_LOG = 20
 
@@ -54,8 +56,15 @@ def _minima(shingles: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _describe(rows: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _few(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, in batches of at most ``_TEXTS_AT_ONCE``."""
     for batch in rows:
+        for at in range(0, batch.num_rows, _TEXTS_AT_ONCE):
+            yield batch.slice(at, _TEXTS_AT_ONCE)
+
+
+def _describe(rows: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in _few(rows):
         ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
         counts = np.zeros(len(texts), dtype=np.int64)
         prints = np.zeros((len(texts), 2), dtype=np.uint64)
@@ -134,7 +143,7 @@ def _index(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _overlaps(rows: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
+    for batch in _few(rows):
         left, right = (batch.column(k).cast(pa.binary()).to_pylist() for k in (2, 3))
         both = np.empty(len(left), dtype=np.int64)
         either = np.empty(len(left), dtype=np.int64)
@@ -190,15 +199,13 @@ def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def _spelled(rows: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
-        ids, components = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for at in range(0, batch.num_rows, 256):
-            found = list(shingle_sets(batch.column(2).slice(at, 256).cast(pa.binary()).to_pylist(), width))
-            counts = [len(f) for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(ids[at : at + 256], counts)), pa.array(np.repeat(components[at : at + 256], counts))],
-                names=["shingle", "id", "component"],
-            )
+    for batch in _few(rows):
+        found = list(shingle_sets(batch.column(2).cast(pa.binary()).to_pylist(), width))
+        counts = [len(f) for f in found]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(found).view(np.int64)), *[pa.array(np.repeat(batch.column(k).to_numpy(), counts)) for k in (0, 1)]],
+            names=["shingle", "id", "component"],
+        )
 
 
 def _ranked(placed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:

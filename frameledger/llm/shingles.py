@@ -15,7 +15,7 @@ _SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[list(_SPACES)] = True
 _U = np.uint64
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 18
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:

@@ -6,8 +6,10 @@ import itertools
 import math
 import os
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +97,24 @@ def test_near_duplicates_exchange_no_text_without_candidates(spark):
     assert got == {i: i for i in range(60)} | {60: 7, 61: 9}
 
 
+def test_near_duplicates_hold_few_texts_of_a_batch_at_once():
+    """Beside the batch itself a worker holds under 20 MB, and each text gets what it gets alone."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.randbytes(3).hex() for _ in range(rng.randint(0, 1400))) for _ in range(5000)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    pairs = pa.RecordBatch.from_arrays([batch.column(0), batch.column(0), batch.column(1), batch.column(1)], names=["a", "b", "text_a", "text_b"])
+    for work, given in ((neardup._describe, batch), (neardup._overlaps, pairs)):
+        tracemalloc.start()
+        try:
+            n = sum(made.num_rows for made in work(iter([given]), 4))
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert n == len(texts) and peak < 20 << 20, (work.__name__, peak)
+        few = pa.Table.from_batches(work(iter([given.slice(0, 600)]), 4)).to_pylist()
+        assert few == [r for i in range(600) for made in work(iter([given.slice(i, 1)]), 4) for r in made.to_pylist()]
+
+
 def test_no_document_of_an_id_is_filtered_out(spark):
     rows = spark.range(-20_000, 20_000).select("id", F.lit("t").alias("text"))
     ids = spark.range(-20_000, 20_000, 17).select(F.col("id").alias("a"))
