@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import right_closed_bin
 from ..sources.shared import stored
-from .resampling import resample
+from .resampling import resample, resampled_sums
 
 
 def running(rows: DataFrame, by: list[str], order: str, columns: list[str], descending: bool = False) -> DataFrame:
@@ -38,20 +38,34 @@ def numbered_groups(sums: DataFrame, group: str) -> DataFrame:
     return numbered.withColumnRenamed("before___one", "g").drop("__one").crossJoin(F.broadcast(sums.agg(F.count_distinct(group).alias("k"))))  # one row
 
 
-def interval(sums: DataFrame, group: str, statistic: Callable[[DataFrame, list[str]], DataFrame], replicates: int = 2000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
-    """(estimate, low, high, n_groups, few_groups) of ``statistic`` under resampling of whole groups; no groups give nulls.
+def intervals(sums: DataFrame, group: str, statistics: dict[str, Callable[[DataFrame, list[str]], DataFrame]], replicates: int = 2000, seed: int = 0, confidence: float = 0.95, summed: list[str] | None = None) -> DataFrame:
+    """(statistic, estimate, low, high, n_groups, few_groups) of each of ``statistics`` under the same resampling of whole groups; no groups give nulls.
 
     ``sums`` is already summed by group, a row a group, so a replicate draws group rows and not the rows under them.
-    ``statistic`` gets the drawn rows with columns r and times (1: a group drawn twice is two rows) and the columns to group by, and returns (r, value); columns that belong to several runs or
-    sides of a comparison are drawn together. Undefined values are left out of the interval.
+    A statistic gets the drawn rows with columns r and times (1: a group drawn twice is two rows) and the columns to group by, and returns (r, value); columns that belong to several runs or
+    sides of a comparison are drawn together. Undefined values are left out of the interval. Where statistics take nothing but ``F.sum`` of
+    columns, ``summed`` names these: they get sums of drawn rows, added up where they are drawn.
     """
     rows = stored(numbered_groups(sums, group).withColumn("times", F.lit(1).cast("long")), "groups")
     k = rows.count()
     tail = (1 - confidence) / 2
-    values = statistic(resample(rows.drop("k"), k, replicates, seed), ["r"]).where(~F.isnan("value"))  # a row a replicate
-    cuts = values.agg(F.percentile("value", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
-    whole = statistic(rows.drop("k").withColumn("r", F.lit(0).cast("long")), ["r"]).agg(F.max("value").alias("estimate"))
-    return whole.crossJoin(cuts).select("estimate", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"), F.lit(k).cast("long").alias("n_groups"), F.lit(k < 5).alias("few_groups"))  # one row each
+    if summed is None:
+        drawn = resample(rows.drop("k"), k, replicates, seed)
+    else:  # a row a replicate, written for the statistics
+        drawn = stored(resampled_sums(rows, k, summed, replicates, seed).groupBy("r").agg(*[F.sum(c).alias(c) for c in summed]), "sums")
+    out = None
+    for name, statistic in statistics.items():
+        values = statistic(drawn, ["r"]).where(~F.isnan("value"))  # a row a replicate
+        cuts = values.agg(F.percentile("value", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
+        whole = statistic(rows.drop("k").withColumn("r", F.lit(0).cast("long")), ["r"]).agg(F.max("value").alias("estimate"))
+        one = whole.crossJoin(cuts).select(F.lit(name).alias("statistic"), "estimate", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"), F.lit(k).cast("long").alias("n_groups"), F.lit(k < 5).alias("few_groups"))  # one row each
+        out = one if out is None else out.union(one)
+    return out
+
+
+def interval(sums: DataFrame, group: str, statistic: Callable[[DataFrame, list[str]], DataFrame], replicates: int = 2000, seed: int = 0, confidence: float = 0.95, summed: list[str] | None = None) -> DataFrame:
+    """(estimate, low, high, n_groups, few_groups): :func:`intervals` of one statistic."""
+    return intervals(sums, group, {"": statistic}, replicates, seed, confidence, summed).drop("statistic")
 
 
 def bootstrap(sums: DataFrame, group: str, statistic: Callable[[DataFrame, list[str]], DataFrame], replicates: int = 2000, seed: int = 0, confidence: float = 0.95) -> DataFrame:

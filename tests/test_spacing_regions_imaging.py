@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from frameledger import catalog
 from frameledger.operators import duplicates, imaging, records, regions, resampling, spacing, statistics
 
 
@@ -40,6 +41,46 @@ def test_every_replicate_draws_as_many_groups_as_there_are(spark, k):
     assert drawn.where("v <> g * 10").count() == 0
 
 
+def test_sums_of_draws_equal_those_of_drawn_rows(spark, monkeypatch):
+    """Blocks of 4, so several tasks' ranges, some halved a few at a time; nulls, values that aren't finite, a column of nulls, and draws hashed in many parts."""
+    monkeypatch.setattr(resampling, "SLOTS", 50)
+    monkeypatch.setattr(resampling, "NODES", 7)
+    k, columns = 75, ["v", "w", "x", "z"]
+    rows = spark.range(k).select(
+        F.col("id").alias("g"), F.when(F.col("id") % 3 > 0, F.col("id") * 10).alias("v"), (F.col("id") / 8).alias("w"), F.when(F.col("id") == 5, F.lit(math.inf)).otherwise(1.0).alias("x"), F.when(F.col("id") < 0, 1).alias("z")
+    )
+
+    def by_replicate(drawn):
+        return {r.r: r[1:] for r in drawn.groupBy("r").agg(*[F.sum(c).alias(c) for c in columns]).collect()}
+
+    want = by_replicate(resampling.resample(rows, k, 40, 3, 4))
+    assert len(want) == 40 and by_replicate(resampling.resampled_sums(rows, k, columns, 40, 3, 4)) == want
+    assert resampling.resampled_sums(rows.where("g < 0"), 0, columns, 40).count() == 0
+    with pytest.raises(TypeError):
+        resampling.resampled_sums(rows.withColumn("v", F.col("v").cast("string")), k, ["v"])
+
+
+def test_many_binomials_equal_the_expression(spark):
+    rng = random.Random(5)
+    cases = [(n, p, rng.random()) for n in (1, 2, 60, 5000, 540000) for p in (0.02, 0.5, 0.93) for _ in range(5)] + [(60, 0.5, 0.0), (60, 0.5, 1 - 2**-48)]
+    df = spark.createDataFrame(cases, "n long, p double, u double")
+    assert resampling.binomials(*[np.array(v) for v in zip(*cases)]).tolist() == [r.x for r in df.select(resampling.binomial(F.col("n"), F.col("p"), F.col("u")).alias("x")).collect()]
+
+
+def test_draws_and_groups_are_not_broadcast(spark):
+    """Both grow with the groups: 1,000 of them with two replicates, and the planner would take them for small."""
+    rows = spark.range(1000).select(F.col("id").alias("g"), "id")
+    for drawn in (resampling.resample(rows, 1000, 2), resampling.resampled_sums(rows, 1000, ["id"], 2)):
+        assert "Broadcast" not in drawn._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["bootstrap_ci"])
+def test_queries_sum_groups_where_they_are_drawn(spark, monkeypatch, name):
+    """A row for each draw never arises."""
+    monkeypatch.setattr(statistics, "resample", None)
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_bootstrap_of_equal_groups_and_of_a_paired_difference(spark):
     def mean(rows, by):
         return rows.groupBy(*by).agg((F.sum("good").cast("double") / F.sum("n")).alias("value"))
