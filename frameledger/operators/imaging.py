@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,29 +150,105 @@ def tiles(px: DataFrame, by: list[str], size: int, margin: int, value: str = "va
     return px.select(*by, "y", "x", value, F.explode(reached("y")).alias("ty")).select(*by, "y", "x", value, "ty", F.explode(reached("x")).alias("tx"))
 
 
+#: Pairs of pixels from which on a tile is filtered whole, and pairs that are weighed at once.
+DENSE = 50_000
+PAIRS = 500_000
+
+
+def _weights(scales: tuple[float, ...], margin: int) -> np.ndarray:
+    """(scale and order, place of the source, distance): what a pixel gives to one at a distance along an axis of which it is an inner pixel, the first, the last or the only one."""
+    out = np.zeros((3 * len(scales), 4, 2 * margin + 1))
+    for i, kernel in enumerate(gaussian(s, order) for s in scales for order in (0, 1, 2)):
+        n, w = len(kernel) // 2, kernel[::-1]  # an end stands for all that would lie beyond it
+        for place, along in enumerate((w, np.cumsum(w), np.cumsum(kernel)[::-1], np.full(len(w), w.sum()))):
+            out[i, place, margin - n : margin + n + 1] = along
+    return out.reshape(len(out), -1)
+
+
+def _pair_features(weights: np.ndarray, margin: int, tile: np.ndarray, sizes: np.ndarray, own: np.ndarray, y: np.ndarray, x: np.ndarray, h: np.ndarray, w: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """(features, own pixels): :func:`features_of` at own pixels of several tiles' rows, from pairs of pixels no further apart than a kernel reaches."""
+    many = sizes[tile[own]]
+    target = np.repeat(own, many)
+    source = np.arange(len(target)) + np.repeat((np.cumsum(sizes) - sizes)[tile[own]] - (np.cumsum(many) - many), many)
+    dy, dx = y[source] - y[target], x[source] - x[target]
+    near = (np.abs(dy) <= margin) & (np.abs(dx) <= margin)
+    target, source, dy, dx = target[near], source[near], dy[near], dx[near]
+
+    def along(d: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return weights[:, ((at == 0) + 2 * (at == length - 1)) * (2 * margin + 1) + d + margin]
+
+    ky, kx = along(dy, y[source], h[source]) * value[source], along(dx, x[source], w[source])
+    begin = np.flatnonzero(np.diff(target, prepend=-1))  # each own pixel is a source of its own
+    out = []
+    for k in range(0, len(weights), 3):
+        smooth = {name: np.add.reduceat(ky[k + a] * kx[k + b], begin) for name, a, b in (("", 0, 0), ("x", 0, 1), ("y", 1, 0), ("xx", 0, 2), ("yy", 2, 0), ("xy", 1, 1))}
+        middle, half = (smooth["xx"] + smooth["yy"]) / 2, np.hypot((smooth["xx"] - smooth["yy"]) / 2, smooth["xy"])
+        out += [smooth[""], np.hypot(smooth["x"], smooth["y"]), middle + half, middle - half]
+    return np.stack(out)
+
+
 def pixel_features(px: DataFrame, by: list[str], size: int = 64, scales: tuple[float, ...] = SCALES, value: str = "value") -> DataFrame:
     """(by..., y, x, features): the features of every pixel of images given as pixels (y, x, value).
 
     Images are cut into tiles with halos, so an image of any size is many tasks' work, and the features are those of the whole image. Images are
-    rectangles from (0, 0); a pixel that is missing inside counts as 0; further columns are ignored.
+    rectangles from (0, 0); a pixel that is missing inside counts as 0; further columns are ignored. Tiles of few pixels are worked out many at
+    once, from pairs of near pixels instead of all places.
     """
     margin = halo(scales)
     ends = px.groupBy(*by).agg((F.max("y") + 1).alias("__h"), (F.max("x") + 1).alias("__w"))
     rows = tiles(px, by, size, margin, value).join(ends, by)
     rows = rows.where((F.col("ty") >= 0) & (F.col("tx") >= 0) & (F.col("ty") * size < F.col("__h")) & (F.col("tx") * size < F.col("__w")))
+    weights = _weights(scales, margin)
 
-    def run(tile: pd.DataFrame) -> pd.DataFrame:
-        ty, tx, h, w = (int(tile[c].iloc[0]) for c in ("ty", "tx", "__h", "__w"))
+    def dense(y: np.ndarray, x: np.ndarray, v: np.ndarray, own: np.ndarray, ty: int, tx: int, h: int, w: int) -> np.ndarray:
         top, left = max(0, ty * size - margin), max(0, tx * size - margin)
         bottom, right = min(h, (ty + 1) * size + margin), min(w, (tx + 1) * size + margin)
         image = np.zeros((bottom - top, right - left))
-        image[tile["y"] - top, tile["x"] - left] = tile[value]
-        found = features_of(image, scales)
-        own = tile[(tile["y"] // size == ty) & (tile["x"] // size == tx)]
-        out = own[[*by, "y", "x"]].copy()
-        out["features"] = pd.Series(list(found[:, own["y"] - top, own["x"] - left].T), index=out.index, dtype=object)
-        return out
+        image[y - top, x - left] = v
+        return features_of(image, scales)[:, y[own] - top, x[own] - left]
+
+    def whole_tiles(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        y, x, ty, tx, h, w = (table[c].to_numpy().astype(np.int64) for c in ("y", "x", "ty", "tx", "__h", "__w"))
+        v = table[value].to_numpy().astype(float)
+        is_own = (y // size == ty) & (x // size == tx)
+        ends = np.append(starts[1:], len(y))
+        pairs = (ends - starts) * np.add.reduceat(is_own.astype(np.int64), starts)
+        few = pairs <= DENSE
+        few &= np.logical_and.reduceat(np.isfinite(v), starts)  # what isn't finite spreads as far as its kernel does
+        repeated = np.append((np.diff(y) == 0) & (np.diff(x) == 0), False)
+        repeated[ends - 1] = False
+        v = np.where(repeated & np.repeat(few, ends - starts), 0.0, v)  # of rows of one pixel the last counts
+        made = np.empty((4 * len(scales), len(y)))
+        for a, b in zip(starts[~few], ends[~few]):
+            made[:, a:b][:, is_own[a:b]] = dense(y[a:b], x[a:b], v[a:b], is_own[a:b], *(int(c[a]) for c in (ty, tx, h, w)))
+        few = np.flatnonzero(few & (pairs > 0))
+        for part in np.split(few, np.flatnonzero(np.diff(np.cumsum(pairs[few]) // PAIRS)) + 1):
+            if len(part):
+                sizes = ends[part] - starts[part]
+                at = np.repeat(starts[part] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                own = np.flatnonzero(is_own[at])
+                made[:, at[own]] = _pair_features(weights, margin, np.repeat(np.arange(len(part)), sizes), sizes, own, *(c[at] for c in (y, x, h, w, v)))
+        own = np.flatnonzero(is_own)
+        features = pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32) * len(made), made[:, own].T.ravel())
+        yield from table.select([*by, "y", "x"]).take(own).append_column("features", features).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if kept is None else pa.concat_tables([kept, table])
+            new = np.zeros(len(table), bool)
+            new[:1] = True
+            for c in [*by, "ty", "tx"]:
+                codes = table[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+                new[1:] |= np.diff(codes) != 0
+            starts = np.flatnonzero(new)
+            if len(starts) > 1:
+                yield from whole_tiles(table.slice(0, starts[-1]), starts[:-1])
+            kept = table.slice(starts[-1]) if len(starts) else kept  # the last tile may go on in the next batch
+        if kept is not None and len(kept):
+            yield from whole_tiles(kept, np.zeros(1, np.int64))
 
     types = dict(px.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in [*by, "y", "x"]) + ", features array<double>"
-    return rows.groupBy(*by, "ty", "tx").applyInPandas(run, schema)
+    return rows.repartition(*by, "ty", "tx").sortWithinPartitions(*by, "ty", "tx", "y", "x").mapInArrow(run, schema)

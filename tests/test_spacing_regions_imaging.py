@@ -279,6 +279,36 @@ def test_features_of_tiles_equal_those_of_the_whole(spark):
     assert np.allclose(flat[0], 3) and np.allclose(flat[1:4], 0, atol=1e-9)
 
 
+def test_features_of_scattered_pixels_equal_those_of_the_whole(spark):
+    """Images of few pixels, one wholly filled, narrow ones, corners and a value that isn't finite, in batches that cut tiles apart."""
+    rng = np.random.default_rng(7)
+    images = {}
+    for name, (h, w), n in (("a", (120, 90), 150), ("b", (70, 70), 4900), ("c", (1, 60), 9), ("d", (40, 2), 12), ("e", (1, 1), 1), ("f", (60, 60), 40)):
+        spots = {int(i) for i in rng.choice(h * w, min(n, h * w), replace=False)} | {0, w - 1, (h - 1) * w, h * w - 1}
+        images[name] = (h, w, {(i // w, i % w): float(rng.integers(0, 5)) for i in spots})
+    images["f"][2][(30, 30)] = math.inf
+    rows = [(name, y, x, v) for name, (_, _, px) in images.items() for (y, x), v in px.items()]
+    df = spark.createDataFrame(rows, "image string, y int, x int, value double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        found = imaging.pixel_features(df, ["image"], size=30)
+        got = {(r.image, r.y, r.x): r.features for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    for name, (h, w, px) in images.items():
+        image = np.zeros((h, w))
+        for spot, v in px.items():
+            image[spot] = v
+        whole = imaging.features_of(image)
+        for (y, x) in px:
+            if name != "f" or max(abs(y - 30), abs(x - 30)) > 2 * imaging.halo():
+                assert np.allclose(got[name, y, x], whole[:, y, x], rtol=0, atol=1e-12), (name, y, x)
+    assert not np.isfinite(got["f", 30, 30]).any()
+    # Python is called for many tiles at once, not for each
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 # records
 
 
