@@ -41,6 +41,33 @@ def test_forest_learns(spark):
     assert sorted(set(catalog.QUERIES) - set(catalog.SQL)) == ["forest_tuning", "rf_predict", "tile_features"]
 
 
+def test_forest_in_parts_is_a_forest(spark, monkeypatch):
+    """Few nodes may lie on the driver: the trees come in several fits, every row once, repeated rows too, and probabilities predict as well as those of one fit."""
+    import random
+
+    from frameledger.operators import models
+
+    rng = random.Random(4)
+    data = [(i // 2, (c := rng.choice([0, 1, 2])), [c + rng.gauss(0, 0.6), rng.random()]) for i in range(400)]
+    rows, fits = spark.createDataFrame(data, "id long, cls int, x array<double>"), []
+
+    class Counted(models.RandomForestClassifier):
+        def fit(self, dataset):
+            fits.append((self.getNumTrees(), self.getSeed(), self.getFeatureSubsetStrategy()))
+            return super().fit(dataset)
+
+    monkeypatch.setattr(models, "RandomForestClassifier", Counted)
+
+    def found(**limit):
+        got = models.forest_probabilities(rows, rows, "x", "cls", trees=10, depth=8, **limit).collect()
+        assert sorted((r.id, r.cls, r.x) for r in got) == sorted(data) and all(abs(sum(r.proba) - 1) < 1e-9 for r in got)
+        return sum(max(range(3), key=lambda k: r.proba[k]) == r.cls for r in got) / len(got)
+
+    whole, parts = found(), found(nodes=500)
+    assert fits[0] == (10, 7, "sqrt") and [n for n, _, _ in fits[1:]] == [3, 3, 3, 1] and len({seed for _, seed, _ in fits[1:]}) == 4
+    assert {s for _, _, s in fits} == {"sqrt"} and abs(whole - parts) < 0.06 and parts > 0.7
+
+
 def test_forest_tuning_selects_the_first_best(spark):
     got = catalog.forest_tuning(spark, DATA).toPandas().sort_values(["forest", "power_no"], ignore_index=True)
     assert list(zip(got["forest"], got["power_no"], got["power"])) == [(f, n, p) for f in (0, 1) for n, p in enumerate((0.0, 0.5, 1.0))]
