@@ -249,13 +249,11 @@ def participant_bootstrap(spark, d):
     def ratio(a: str, b: str) -> Column:
         return F.try_divide(F.sum(a).cast("double"), F.sum(b))
 
-    parts = {"seconds": ((ratio("s1", "n1") - ratio("s0", "n0")), 100), "recall": (ratio("hits", "positives"), 1)}
-    out = None
-    for name, (value, scale) in parts.items():
-        one = statistics.bootstrap(sums, "participant", lambda rows, by, value=value: rows.groupBy(*by).agg(value.alias("value")))
-        one = one.select(F.lit(name).alias("statistic"), F.round(F.col("low") / scale, 6).alias("low"), F.round(F.col("high") / scale, 6).alias("high"), "n_groups")
-        out = one if out is None else out.union(one)
-    return out
+    parts = {"seconds": ratio("s1", "n1") - ratio("s0", "n0"), "recall": ratio("hits", "positives")}
+    takes = {name: lambda rows, by, value=value: rows.groupBy(*by).agg(value.alias("value")) for name, value in parts.items()}
+    found = statistics.intervals(sums, "participant", takes, summed=["s1", "n1", "s0", "n0", "hits", "positives"])
+    scale = F.when(F.col("statistic") == "seconds", 100).otherwise(1)
+    return found.select("statistic", F.round(F.col("low") / scale, 6).alias("low"), F.round(F.col("high") / scale, 6).alias("high"), "n_groups")
 
 
 @query(

@@ -74,7 +74,7 @@ def test_draws_and_groups_are_not_broadcast(spark):
         assert "Broadcast" not in drawn._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["bootstrap_ci", "paired_bootstrap", "bootstrap_macro_iou"])
+@pytest.mark.parametrize("name", ["bootstrap_ci", "paired_bootstrap", "bootstrap_macro_iou", "participant_bootstrap"])
 def test_queries_sum_groups_where_they_are_drawn(spark, monkeypatch, name):
     """A row for each draw never arises."""
     monkeypatch.setattr(statistics, "resample", None)
